@@ -88,4 +88,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, columns: list[
     """
     chosen = labels.dropDuplicates([key]).orderBy(F.xxhash64(key), key).limit(rows)
     ids = docs.sparkSession.createDataFrame(chosen.collect(), chosen.schema)
-    return docs.select(key, "text").dropDuplicates([key]).join(F.broadcast(ids), key).select(key, "text", *columns)
+    return docs.select(key, "text").join(F.broadcast(ids), key).dropDuplicates([key]).select(key, "text", *columns)
