@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from almanac.plans import relational, textual
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {**relational.QUERIES, **textual.QUERIES}
+ORACLE_SQL = {**relational.ORACLE_SQL, **textual.ORACLE_SQL}
