@@ -78,7 +78,8 @@ def fit_label_model(n: float, once: np.ndarray, twice: np.ndarray, balance: floa
     """Fit from counts: texts, firings by voter, joint firings by pair.
 
     ``anchor`` (firing rate in toxic minus clean texts of the sample) gives the
-    start, and with it the sign that covariances alone leave open.
+    start: it shows which pairs depend on each other before these can distort
+    the fit, and fixes the sign that covariances alone leave open.
     """
     m = len(once)
     mean = once / max(n, 1)
@@ -88,7 +89,7 @@ def fit_label_model(n: float, once: np.ndarray, twice: np.ndarray, balance: floa
     used = ~np.eye(m, dtype=bool)
     d = anchor.astype(float).copy()
     for trial in range(3):
-        for _ in range(rounds):
+        for _ in range(rounds if trial else 0):
             for i in range(m):
                 k = used[i]
                 d[i] = (cov[i, k] / scale @ d[k] + 0.01 * anchor[i] * (anchor @ anchor)) / (d[k] @ d[k] + 0.01 * (anchor @ anchor) + 1e-12)
