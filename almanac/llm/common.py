@@ -35,13 +35,17 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle and checkpoint files of frames that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder, and let Spark drop the shuffle files of what went before."""
+    """Materialise ``df`` in the shared folder, once the files of finished steps are released."""
     shared_folder(df.sparkSession)
-    out = df.checkpoint(eager=True)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
+    release(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
@@ -84,8 +88,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, columns: list[
     """At most ``rows`` rows of ``labels`` in hash order of ``key``, with the document's text.
 
     The ids are chosen before any text moves, so that the bounded id table can
-    be broadcast and each text is read once.
+    be broadcast and each text is read once. Of labels that repeat an id the
+    largest counts, of texts the first in order.
     """
-    chosen = labels.dropDuplicates([key]).orderBy(F.xxhash64(key), key).limit(rows)
+    chosen = labels.groupBy(key).agg(*(F.max(c).alias(c) for c in columns)).orderBy(F.xxhash64(key), key).limit(rows)
     ids = docs.sparkSession.createDataFrame(chosen.collect(), chosen.schema)
-    return docs.select(key, "text").join(F.broadcast(ids), key).dropDuplicates([key]).select(key, "text", *columns)
+    found = docs.select(key, "text").join(F.broadcast(ids), key)
+    return found.groupBy(key, *columns).agg(F.min("text").alias("text")).select(key, "text", *columns)

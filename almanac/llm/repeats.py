@@ -44,7 +44,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac.llm.common import cut, map_batches, table
+from almanac.llm.common import cut, map_batches, release, table
 from almanac.llm.nearjoin import groups
 
 WINDOW = 400
@@ -327,12 +327,16 @@ def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def repeated(docs: DataFrame, *, key: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
-    """(doc_id, tag, starts, stops, packed) of each distinct row with a span to remove; ``tag`` tells rows with one id apart."""
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("data")).withColumn("tag", tag_of(F.col("data")))
+def shared_anchors(rows: DataFrame) -> DataFrame:
+    """The anchors whose prefix occurs more than once, with how often it does and whether its contexts differ."""
     places = anchor_rows(rows)
     often = places.groupBy("prefix").agg(F.count("*").alias("total"), (F.min("context") != F.max("context")).alias("varied")).where("total > 1")
-    shared = cut(places.join(often, "prefix"))
+    return cut(places.join(often, "prefix"))
+
+
+def marked_texts(rows: DataFrame, hot: int) -> DataFrame:
+    """(doc_id, tag, settled, sends, hot, packed) of rows with shared anchors: offsets to settle, to compare, to count, and the text."""
+    shared = shared_anchors(rows)
     contexts = shared.groupBy("prefix", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "place")).alias("first"))
     contexts = contexts.where("n > 1").select("prefix", "context", "first", F.lit(True).alias("settled"))
     marked = shared.join(contexts, ["prefix", "context"], "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
@@ -350,7 +354,14 @@ def repeated(docs: DataFrame, *, key: str = "doc_id", text: str = "text", hot: i
         squeeze = zstandard.ZstdCompressor(level=1).compress
         return {c: batch.column(c) for c in ("doc_id", "tag", "settled", "sends", "hot")} | {"packed": [squeeze(d) for d in batch.column("data").to_pylist()]}
 
-    kept = cut(map_batches(met, pack, "doc_id long, tag long, settled array<int>, sends array<int>, hot array<int>, packed binary"))
+    return cut(map_batches(met, pack, "doc_id long, tag long, settled array<int>, sends array<int>, hot array<int>, packed binary"))
+
+
+def repeated(docs: DataFrame, *, key: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
+    """(doc_id, tag, settled, spans, packed) of each distinct row with shared anchors; ``tag`` tells rows with one id apart."""
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("data")).withColumn("tag", tag_of(F.col("data")))
+    kept = marked_texts(rows, hot)
+    release(docs.sparkSession)
     sent, heated = kept.agg(F.sum(F.size("sends")), F.sum(F.size("hot"))).first()
     ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (sent or 0) * (WINDOW + LEFT) // RANGE_BYTES + 1)
     spans = merged_spans(sorted_runs(kept, ranges), ranges)
