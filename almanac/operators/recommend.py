@@ -163,6 +163,7 @@ def recommend(tables: dict[str, DataFrame], requests: DataFrame, limit: int = fi
     kind = F.col("p.category")
     verified = F.when(kind == "cdc", F.col("known") & F.col("is_cdc")).when(kind == "del", F.col("known") & F.col("is_del")).when(kind == "huel", F.col("is_huel")).when(kind == "opel", F.col("is_opel"))
     rows = rows.where(kind.isNull() | verified)
+    rows = rows.persist()  # read twice below, and costly to derive
     slots = t["sections"].withColumn("slots", text.meeting_slots(F.col("meeting_text")))
     busy = schedule.occupied(t["current"], slots)
     held = rows.select("student", "course", F.col("p.free_day").alias("free_day"), F.col("p.no_early_classes").alias("no_early_classes")).join(busy, "student", "left").join(slots, "course")
@@ -173,7 +174,7 @@ def recommend(tables: dict[str, DataFrame], requests: DataFrame, limit: int = fi
         F.slice(F.array_sort(F.collect_list(F.when(F.col("feasible"), listed))), 1, 4).alias("sections"),
     )
     rows = rows.join(per_pair, ["student", "course"], "left").fillna(0, ["n_feasible", "n_timed"])
-    scored = matched(rows)
+    scored = matched(rows).persist()  # both results come from it
     unknown = scored.select("student", F.explode("unknown").alias("label")).groupBy("student", "label").agg(F.count("*").alias("n"))
     kept = scored.where("NOT rejected")
     eligibility = F.array_compact(F.array(

@@ -8,11 +8,27 @@ from pyspark.sql import functions as F
 from almanac.operators import policy, query, recommend, requirements
 
 
-def tables(spark, components=(), sums=True, completed=("CS F111",), current=(), units=0, has_midsem=False):
+#: student -> (query, completed, current, registered units)
+ASKED = {
+    "category": ("Suggest machine learning DELs with no midsem", ["CS F111"], [], 0),
+    "words": ("Suggest AI courses", ["CS F111"], [], 0),
+    "no quiz": ("suggest no quizzes AI DEL", ["CS F111"], [], 0),
+    "lenient": ("AI with lenient make-up", ["CS F111"], [], 0),
+    "prerequisite": ("AI", [], [], 0),
+    "units": ("AI", ["CS F111"], [], 24),  # 27 > 25
+    "done": ("AI", ["CS F111", "CS F301"], [], 0),
+    "exam": ("AI", ["CS F111"], ["CS F111"], 0),  # the current course's exam is in the same slot
+    "monday": ("AI, Mondays free", ["CS F111"], [], 0),
+    "tuesday": ("AI, Tuesdays free", ["CS F111"], [], 0),
+    "anything": ("", ["CS F111", "CS F211"], [], 0),
+}
+
+
+def tables(spark, asked=ASKED, components=(), sums=True, has_midsem=False):
     def of(rows, schema):
         return spark.createDataFrame(list(rows), schema)
 
-    students = of([("s", "COMPUTER SCIENCE", "first_degree", 2025, units, [])], "student string, programme string, degree_level string, admission_year int, existing_units int, interests array<string>")
+    students = of([(s, "COMPUTER SCIENCE", "first_degree", 2025, a[3], []) for s, a in asked.items()], "student string, programme string, degree_level string, admission_year int, existing_units int, interests array<string>")
     catalogue = of([("CS F301", "Machine Learning", 3, "CS F111", ["CS F111"]), ("CS F302", "Deep Learning", 3, "CS F211", ["CS F211"])], "course string, title string, units int, prerequisite_expression string, needs array<string>")
     exam = "struct<date:string,session:string>"
     offerings = of([("CS F301", 1001, "MACHINE LEARNING", 3, False, False, ("09/10", "AN1"), None, 1), ("CS F302", 1002, "DEEP LEARNING", 3, False, False, None, None, 2), ("CS F111", 1003, "PROGRAMMING", 3, False, False, ("09/10", "AN1"), None, 3)],
@@ -23,67 +39,56 @@ def tables(spark, components=(), sums=True, completed=("CS F111",), current=(),
     parts = of(components, "doc_id string, row_number int, name string, type string, weight double, marks double, count int, book_policy string, raw_text string")
     categories = of([("COMPUTER SCIENCE", "DEL", "CS F301")], "programme string, category string, course string")
     humanities = of([], "course string")
-    done, now = of([("s", c) for c in completed], "student string, course string"), of([("s", c) for c in current], "student string, course string")
+    done, now = (of([(s, c) for s, a in asked.items() for c in a[k]], "student string, course string") for k in (1, 2))
     return {
         "students": students, "completed": done, "current": now, "catalogue": catalogue, "offerings": offerings, "sections": sections, "groups": of([], "group string, course string"),
         "categories": categories, "humanities": humanities, "facts": recommend.handout_facts(handouts, parts), "progress": requirements.progress(students, categories, humanities, done.unionByName(now)),
     }
 
 
-def ask(spark, text, **options):
-    asked = spark.createDataFrame([("s", text)], "student string, query string").withColumn("p", query.preferences(F.col("query")))
-    top, unknown = recommend.recommend(tables(spark, **options), asked)
-    return top.collect(), {r["label"]: r["n"] for r in unknown.collect()}
+def ask(spark, asked=ASKED, **options):
+    requests = spark.createDataFrame([(s, a[0]) for s, a in asked.items()], "student string, query string").withColumn("p", query.preferences(F.col("query")))
+    top, unknown = recommend.recommend(tables(spark, asked, **options), requests)
+    rows = {s: [] for s in asked}
+    for r in sorted(top.collect(), key=lambda r: r["rank"]):
+        rows[r["student"]].append(r)
+    return rows, {(r["student"], r["label"]): r["n"] for r in unknown.collect()}
 
 
-QUIZ = [("d", 1, "Quiz", "quiz", 10.0, None, None, None, "Quiz 10")]
+@pytest.fixture(scope="module")
+def answers(spark):
+    return ask(spark)
 
 
-def test_no_midsem_and_category(spark):
-    rows, _ = ask(spark, "Suggest machine learning DELs with no midsem")
-    assert [r["course"] for r in rows] == ["CS F301"]
-    r = rows[0]
-    assert r["title"] == "Machine Learning" and r["requirement"] == "DEL" and r["eligible_candidates"] == 1
+def test_category_and_evidence(answers):
+    r = answers[0]["category"][0]
+    assert r["course"] == "CS F301" and r["title"] == "Machine Learning" and r["requirement"] == "DEL" and r["eligible_candidates"] == 1
     assert "verified DEL for COMPUTER SCIENCE" in r["eligibility"]
     assert r["score"] == pytest.approx(10 + 6 + 2 + 0.18)
     assert {c["claim"] for c in r["claims"]} == {"no mid-semester exam is explicitly supported", "a clash-free listed section is available"}
     assert [s["section"] for s in r["sections"]] == ["L1"]
 
 
-def test_keywords_from_abbreviations(spark):
-    rows, _ = ask(spark, "Suggest AI courses")
-    assert [r["course"] for r in rows] == ["CS F301"] and rows[0]["matches"][0] == "matches artificial, intelligence"
-
-
-def test_quiz_free(spark):
-    assert [r["course"] for r in ask(spark, "suggest no quizzes AI DEL")[0]] == ["CS F301"]
-    assert ask(spark, "suggest no quizzes AI DEL", components=QUIZ) == ([], {})
-    assert ask(spark, "suggest no quizzes AI DEL", sums=False) == ([], {"quiz-free evaluation": 1})
+def test_filters(answers):
+    courses = {s: [r["course"] for r in rows] for s, rows in answers[0].items()}
+    assert courses == {
+        "category": ["CS F301"], "words": ["CS F301"], "no quiz": ["CS F301"], "lenient": [], "prerequisite": [], "units": [], "done": [], "exam": [], "monday": [], "tuesday": ["CS F301"], "anything": ["CS F301", "CS F302"],
+    }
+    assert answers[0]["words"][0]["matches"][0] == "matches artificial, intelligence"
+    assert answers[0]["anything"][0]["score"] == pytest.approx(1 + 2 + 0.18)
+    assert answers[1] == {("lenient", "makeup-policy leniency"): 1}
 
 
 def test_unknown_facts_are_counted_and_reject(spark):
-    rows, unknown = ask(spark, "AI with no midsem", has_midsem=None)
-    assert rows == [] and unknown == {"no mid-semester exam": 1}
-    rows, unknown = ask(spark, "AI with lenient make-up")
-    assert rows == [] and unknown == {"makeup-policy leniency": 1}
-
-
-def test_prerequisites_units_and_exams(spark):
-    assert ask(spark, "AI", completed=())[0] == []
-    assert ask(spark, "AI", units=24)[0] == []  # 27 > 25
-    assert ask(spark, "AI", completed=("CS F111", "CS F301"))[0] == []
-    assert ask(spark, "AI", completed=("CS F111",), current=("CS F111",))[0] == []  # the current course's exam is in the same slot
-
-
-def test_sections(spark):
-    assert ask(spark, "AI, Mondays free")[0] == []
-    assert [r["course"] for r in ask(spark, "AI, Tuesdays free")[0]] == ["CS F301"]
+    asked = {s: ASKED[s] for s in ("category", "no quiz")}
+    rows, unknown = ask(spark, asked, sums=False, has_midsem=None)
+    assert rows == {"category": [], "no quiz": []}
+    assert unknown == {("category", "no mid-semester exam"): 1, ("no quiz", "quiz-free evaluation"): 1}
 
 
-def test_requests_without_keywords_meet_all_courses(spark):
-    rows, _ = ask(spark, "", completed=("CS F111", "CS F211"))
-    assert [r["course"] for r in rows] == ["CS F301", "CS F302"]
-    assert rows[0]["score"] == pytest.approx(1 + 2 + 0.18)
+def test_a_listed_quiz_rejects(spark):
+    quiz = [("d", 1, "Quiz", "quiz", 10.0, None, None, None, "Quiz 10")]
+    assert ask(spark, {"no quiz": ASKED["no quiz"]}, components=quiz) == ({"no quiz": []}, {})
 
 
 def test_limits():
@@ -91,7 +96,8 @@ def test_limits():
 
 
 def test_progress(spark):
-    rows = {r["category"]: r for r in tables(spark, completed=("CS F301",))["progress"].collect()}
+    asked = {"s": ("", ["CS F301"], [], 0)}
+    rows = {r["category"]: r for r in tables(spark, asked)["progress"].collect()}
     assert (rows["DEL"]["total"], rows["DEL"]["completed"], rows["DEL"]["remaining"]) == (4, 1, 3)
     profile = spark.createDataFrame([("s", {"CDC": 4}, {"CDC": 6})], "student string, requirement_totals map<string,int>, requirement_completed map<string,int>")
     assert {r["category"]: r["remaining"] for r in requirements.profile_remaining(profile).collect()}["CDC"] == 0
