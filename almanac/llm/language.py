@@ -159,8 +159,11 @@ def fit(labelled: DataFrame, key: str = "doc_id", rows: int = SAMPLE_ROWS) -> La
     sample = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select(F.xxhash64(key).alias("h"), key, "text", "lang")
     ids = sample.select("h", key).distinct().orderBy("h", key).limit(rows)
     last = ids.agg(F.max("h")).first()[0]
-    chosen = sample.where(F.col("h") <= F.lit(last)).collect() if last is not None else []
-    return train([(r["text"], r["lang"]) for r in sorted(chosen, key=lambda r: (r["h"], str(r[key]), r["text"]))])
+    if last is None:
+        return None
+    # Of rows that repeat an id one is taken, so the bound holds.
+    chosen = sample.where(F.col("h") <= F.lit(last)).groupBy("h", key).agg(F.min(F.struct("text", "lang")).alias("row")).collect()
+    return train([tuple(r["row"]) for r in sorted(chosen, key=lambda r: (r["h"], str(r[key])))])
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,8 +21,8 @@ bound is below 2^53, else in Python integers.
 Edge cases: null vectors and vectors with null or non-finite components take no
 part, nor do vectors whose length differs from the query's; a query with fewer
 than k candidates gets all of them; ties go to the smaller id; repeated ids are
-separate candidates for other queries and no candidates of their own id; an
-empty table gives no rows; other columns are ignored.
+separate candidates for other queries and no candidates of their own id, and
+query rows that share an id are ranked together as one query; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
