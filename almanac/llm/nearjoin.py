@@ -2,13 +2,15 @@
 
 Texts become sets of hashed five-word shingles, and sets of equal content one
 node with a number of copies. Each set has 64 minhash coordinates. In a run,
-every tree node picks coordinates at random (each with probability
-1 / (threshold * 64)), and a set follows each picked coordinate into the child
-that its value names; only sets that share the value meet there. Buckets with
-one set end; small ones are compared by brute force; large ones are split
-again. What is still large at ``MAX_DEPTH`` is compared exactly, in blocks, so
-no bucket is capped. Runs repeat until the chance that a pair at the threshold
-never met is below 1 - ``TARGET_RECALL``.
+the root picks coordinates at random (each with probability 1 / (threshold *
+64)), and a set follows each picked coordinate into the child that its value
+names; only sets that share the value meet there. Buckets with one set end;
+small ones are compared by brute force; large ones are split again, by
+``PATHS`` random paths of ``STEP`` coordinates. A large bucket whose sets agree
+so often that splitting would not thin it (``DENSE``), and what is still large
+at ``MAX_DEPTH``, is compared exactly, in blocks, so no bucket is capped. Runs
+repeat until the chance that a pair at the threshold never met is below
+1 - ``TARGET_RECALL``.
 
 A pair that meets in several buckets is examined in the least of them only,
 which both sides can tell from their lists of buckets. It is first held
@@ -43,9 +45,15 @@ THRESHOLD = 0.8
 COORDINATES = 64
 #: Least share of pairs at the threshold that must meet in a bucket.
 TARGET_RECALL = 0.9999
-MAX_DEPTH = 3
+MAX_DEPTH = 6
+#: Below the root, a bucket is split by so many paths of so many coordinates.
+PATHS, STEP = 5, 3
+#: A bucket with fewer distinct values in a coordinate, per set, is compared at once.
+DENSE = 0.35
 #: Buckets up to this size are compared as they are.
 BUCKET = 512
+#: Shingles that a unit of comparison lays out at once.
+SLICE = 1 << 20
 LEAST_AGREEING = 30
 WORD = re.compile(r"\w+")
 #: Words whose hashes a worker remembers.
@@ -60,11 +68,13 @@ def runs_needed(threshold: float = THRESHOLD, recall: float = TARGET_RECALL, dep
     """Runs until a pair at the threshold has met with probability ``recall``.
 
     With a Poisson number of picks (mean 1 / threshold) a pair at the threshold
-    shares one child on average, so it survives d levels with p(d) = 1 - exp(-p(d - 1)).
+    shares one child of the root on average; further down it shares each of
+    ``PATHS`` children with probability threshold ** STEP.
     """
     p = 1.0
-    for _ in range(depth):
-        p = 1 - math.exp(-p)
+    for _ in range(depth - 1):
+        p = 1 - math.exp(-PATHS * threshold**STEP * p)
+    p = 1 - math.exp(-p)
     return math.ceil(math.log(1 - recall) / math.log(1 - p))
 
 
@@ -131,28 +141,41 @@ def root_keys(runs: int, threshold: float, seed: int = 11) -> Column:
     return F.array(*keys)
 
 
-def child_keys(threshold: float) -> Column:
+def child_keys() -> Column:
     """Names of the buckets that a set in bucket ``node`` enters at the next level."""
-    scale = 1 << 20
-    picks = F.filter(F.sequence(F.lit(0), F.lit(COORDINATES - 1)), lambda c: F.pmod(F.xxhash64("node", c, F.lit("pick")), F.lit(scale)) < int(scale / (threshold * COORDINATES)))
-    return F.transform(picks, lambda c: F.xxhash64("node", c, F.get("sig", c)))
+    def value(path: int, step: int) -> Column:
+        return F.get("sig", F.pmod(F.xxhash64("node", F.lit(path), F.lit(step)), F.lit(COORDINATES)).cast("int"))
+
+    return F.array(*(F.xxhash64("node", F.lit(p), *(value(p, k) for k in range(STEP))) for p in range(PATHS)))
 
 
 def buckets(sets: DataFrame, threshold: float, runs: int, depth: int, limit: int) -> DataFrame:
-    """(node, sid, blocks): members of the buckets to compare; more than one block only at the last level."""
+    """(node, sid, blocks): members of the buckets to compare; more than one block only for large ones."""
     members = sets.select("sid", F.explode(root_keys(runs, threshold)).alias("node"))
     found = None
+
+    def settle(rows: DataFrame) -> None:
+        nonlocal found
+        rows = rows.select("node", "sid", F.greatest(F.lit(1), F.ceil(F.col("size") / limit)).cast("int").alias("blocks"))
+        found = rows if found is None else found.unionByName(rows)
+
     for level in range(1, depth + 1):
         shared = members.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
         level_members = cut(members.join(shared, "node"))
-        last = level == depth
-        small = level_members if last else level_members.where(F.col("size") <= limit)
-        small = small.select("node", "sid", F.greatest(F.lit(1), F.ceil(F.col("size") / limit)).cast("int").alias("blocks"))
-        found = small if found is None else found.unionByName(small)
-        if last or (large := level_members.where(F.col("size") > limit)).isEmpty():
-            return found
-        members = large.join(sets.select("sid", "sig"), "sid").select("sid", F.explode(child_keys(threshold)).alias("node"))
-        members = members.distinct()
+        if level == depth:
+            settle(level_members)
+            break
+        settle(level_members.where(F.col("size") <= limit))
+        large = level_members.where(F.col("size") > limit)
+        if large.isEmpty():
+            break
+        signed_members = cut(large.join(sets.select("sid", "sig"), "sid"))
+        kinds = [F.approx_count_distinct(F.get("sig", F.lit(c))) for c in (5, 23, 41, 59)]
+        spread = sum(kinds[1:], kinds[0]) / (len(kinds) * F.count("*"))
+        dense = signed_members.groupBy("node").agg((spread < DENSE).alias("dense"))
+        judged = signed_members.join(dense, "node")
+        settle(judged.where("dense"))
+        members = judged.where("NOT dense").select("sid", F.explode(child_keys()).alias("node")).distinct()
     return found
 
 
@@ -177,8 +200,11 @@ def fixed(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
 
 
-def first_meetings(node: np.ndarray, own: list, sides: np.ndarray) -> np.ndarray:
-    """Pairs (as a square matrix) of members of one unit that meet in no lesser bucket."""
+def first_meetings(node: int, own: list, sides: np.ndarray) -> np.ndarray:
+    """Pairs (as a square matrix) of members of one unit that meet in no lesser bucket.
+
+    ``sides`` is 0 or 1 where a unit compares two blocks with each other, else -1.
+    """
     g = len(own)
     fresh = np.ones((g, g), bool)
     holders: dict[int, list[int]] = {}
@@ -188,7 +214,7 @@ def first_meetings(node: np.ndarray, own: list, sides: np.ndarray) -> np.ndarray
     for at in holders.values():
         if len(at) > 1:
             fresh[np.ix_(at, at)] = False
-    fresh &= sides[:, None] < sides[None, :] if sides.any() and not sides.all() else np.triu(np.ones((g, g), bool), 1)
+    fresh &= np.triu(np.ones((g, g), bool), 1) if sides[0] < 0 else sides[:, None] < sides[None, :]
     return fresh
 
 
@@ -201,7 +227,7 @@ def candidates(members: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
     rows = rows.withColumn("block", block).withColumn("other", F.explode(others))
     lo, hi = F.least("block", "other"), F.greatest("block", "other")
-    rows = rows.select("sid", "sig", "own", "node", F.when(F.col("blocks") == 1, F.col("node")).otherwise(F.xxhash64("node", lo, hi)).alias("unit"), (F.col("block") > lo).cast("int").alias("side"))
+    rows = rows.select("sid", "sig", "own", "node", F.when(F.col("blocks") == 1, F.col("node")).otherwise(F.xxhash64("node", lo, hi)).alias("unit"), F.when(lo == hi, -1).otherwise((F.col("block") > lo).cast("int")).alias("side"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, starts in groups(batches, "unit"):
@@ -246,24 +272,40 @@ def similar_pairs(sets: list[np.ndarray], pairs: np.ndarray, threshold: float) -
     if len(pairs) <= 12:
         common = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in pairs])
     else:
-        owner = np.repeat(np.arange(len(sets)), sizes)
-        _, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        shared = counts[column] > 1
-        owner, column = owner[shared], column[shared]
-        names, column = np.unique(column, return_inverse=True)
         total = np.zeros((len(sets), len(sets)), np.float32)
-        order = np.argsort(column, kind="stable")
-        owner, column = owner[order], column[order]
-        for first in range(0, len(names), 4096):
-            lo, hi = np.searchsorted(column, [first, first + 4096])
-            m = np.zeros((len(sets), 4096), np.float32)
-            m[owner[lo:hi], column[lo:hi] - first] = 1
-            total += m @ m.T
+        # Shingles are counted by slices of their hashes, so that memory is bounded.
+        slices = int(sizes.sum()) // SLICE + 1
+        for part in range(slices):
+            own = [s[s % np.uint64(slices) == part] for s in sets] if slices > 1 else sets
+            owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in own])
+            _, column, counts = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+            shared = counts[column] > 1
+            owner, column = owner[shared], column[shared]
+            names, column = np.unique(column, return_inverse=True)
+            order = np.argsort(column, kind="stable")
+            owner, column = owner[order], column[order]
+            for first in range(0, len(names), 2048):
+                lo, hi = np.searchsorted(column, [first, first + 2048])
+                m = np.zeros((len(sets), 2048), np.float32)
+                m[owner[lo:hi], column[lo:hi] - first] = 1
+                total += m @ m.T
         common = total[pairs[:, 0], pairs[:, 1]]
     union = sizes[pairs[:, 0]] + sizes[pairs[:, 1]] - common
     return common >= threshold * union - 1e-9
 
 
+def local_pairs(names: np.ndarray, partners: list[bytes]) -> np.ndarray:
+    """Distinct pairs of positions in the sorted ``names`` from each name's partners, which are end to end."""
+    first = np.repeat(np.arange(len(names)), [len(p) // 16 for p in partners])
+    other = np.frombuffer(b"".join(partners), "S16")
+    second = np.minimum(np.searchsorted(names, other), len(names) - 1)
+    known = names[second] == other
+    if not known.any():
+        return np.empty((0, 2), np.int64)
+    keys = np.unique(first[known] * len(names) + second[known])
+    return np.stack([keys // len(names), keys % len(names)], axis=1)
+
+
 def links(found: DataFrame, sets: DataFrame, docs: DataFrame, key: str, threshold: float) -> DataFrame:
     """(a, b, weight): per set the copies of similar sets (b null), and forest edges a - b (weight 0)."""
     wanted = found.groupBy("sid").agg(F.collect_list(F.struct("unit", "partners")).alias("units")).join(sets.select("sid", "rep", "copies"), "sid")
@@ -285,21 +327,20 @@ def links(found: DataFrame, sets: DataFrame, docs: DataFrame, key: str, threshol
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, starts in groups(batches, "unit"):
-            sids, copies, partners, data = (t.column(c).to_pylist() for c in ("sid", "copies", "partners", "shingles"))
+            sids, copies = t.column("sid").to_pylist(), t.column("copies").to_numpy()
+            partners, data = t.column("partners").combine_chunks(), t.column("shingles").combine_chunks()
             out: list[tuple] = []
             for a, b in zip(starts[:-1].tolist(), [*starts[1:].tolist(), len(sids)][: len(starts) - 1], strict=True):
-                place: dict[bytes, int] = {}
-                for i in range(a, b):
-                    place.setdefault(sids[i], i)  # a row repeated in the input comes more than once
-                local = {sid: k for k, sid in enumerate(place)}
-                names, at = list(place), list(place.values())
-                pairs = {(local[sids[i]], local[p]) for i in at for p in (partners[i][k : k + 16] for k in range(0, len(partners[i]), 16)) if p in local}
-                if not pairs:
+                # A row repeated in the input comes more than once.
+                names, at = np.unique(np.array(sids[a:b], "S16"), return_index=True)
+                at = (at + a).tolist()
+                pairs_array = local_pairs(names, [partners[i].as_py() for i in at])
+                if not len(pairs_array):
                     continue
-                pairs_array = np.array(sorted(pairs))
-                ok = pairs_array[similar_pairs([np.frombuffer(data[i], np.uint64) for i in at], pairs_array, threshold)]
+                ok = pairs_array[similar_pairs([np.frombuffer(data[i].as_buffer(), np.uint64) for i in at], pairs_array, threshold)]
+                names = [sids[i] for i in at]
                 weights = np.zeros(len(names), np.int64)
-                count = np.array([copies[i] for i in at], np.int64)
+                count = copies[at]
                 np.add.at(weights, ok[:, 0], count[ok[:, 1]])
                 np.add.at(weights, ok[:, 1], count[ok[:, 0]])
                 out += [(names[i], None, int(w)) for i, w in enumerate(weights.tolist()) if w]
