@@ -15,8 +15,10 @@ digit positions stay; check digits are computed anew.
 
 Edge cases: a null text stays null; an empty text stays empty; a text without
 such values is returned unchanged; overlapping candidates go to the leftmost,
-then to the first kind in the order above; repeated rows are treated alike;
-other columns pass through. Texts are read whole.
+then to the first kind in the order above, then to the longest that passes its
+validation; card numbers in other than the customary groups come after all
+others; repeated rows are treated alike; other columns pass through. Texts are
+read whole.
 """
 
 from __future__ import annotations
@@ -42,17 +44,26 @@ KINDS = ("card", "iban", "phone", "ssn", "ip", "date", "email", "access_key", "s
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 HEX = DIGITS + "abcdef"
 
-PATTERN = re.compile(
-    r"(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
-    r"|(?P<card>(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]))"
-    r"|(?P<phone>(?<![\w+])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|[2-9]\d\d[ .-])\d{3}[ .-]\d{4}(?!\w))"
-    r"|(?P<ssn>(?<![\w-])\d{3}-\d\d-\d{4}(?![\w-]))"
-    r"|(?P<ip>(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d))"
-    r"|(?P<date>(?<![\w/.-])(?:\d{4}-\d\d-\d\d|\d\d/\d\d/\d{4}|\d\d\.\d\d\.\d{4})(?![\w/-]))"
-    r"|(?P<email>(?<![\w.+-])[A-Za-z0-9](?:[\w.+-]*[A-Za-z0-9])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,})"
-    r"|(?P<access_key>(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9]))"
-    r"|(?P<secret>(?i:password|passwd|pwd|secret|token|api[_-]?key)\s*[:=]\s*[\"']?(?P<value>[A-Za-z0-9_+/.-]{6,}))"
-)
+#: Where a card number may end: before no word character, and before a hyphen only if a last short group follows, such as a CVV.
+CARD_END = r"(?:(?![\w-])|(?=-\d{3,4}(?![\w-])))"
+#: Customary groups of card numbers, by one separator.
+GROUPED = "|".join(rf"\d{{4}}(?:{s}\d{{4}}){{2}}{s}(?:\d{{4}}{s}\d{{1,3}}|\d{{1,4}}){CARD_END}|\d{{4}}{s}\d{{6}}{s}\d{{4,5}}{CARD_END}" for s in " -")
+PATTERNS = {
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "card": rf"(?<![\w.-])(?:\d{{13,19}}{CARD_END}|{GROUPED})",
+    "phone": r"(?<![\w+])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|[2-9]\d\d[ .-])\d{3}[ .-]\d{4}(?!\w)",
+    "ssn": r"(?<![\w-])\d{3}-\d\d-\d{4}(?![\w-])",
+    "ip": r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)",
+    "date": r"(?<![\w/.-])(?:\d{4}-\d\d-\d\d(?=T\d\d|(?![\w/-]))|(?:\d\d/\d\d/\d{4}|\d\d\.\d\d\.\d{4})(?![\w/-]))",
+    "email": r"(?<![\w.+-])[A-Za-z0-9](?:[\w.+-]*[A-Za-z0-9])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}",
+    "access_key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
+    "secret": r"(?i:password|passwd|pwd|secret|token|api[_-]?key)\s*[:=]\s*[\"']?(?P<value>[A-Za-z0-9_+/.-]{6,})",
+}
+PATTERN = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in PATTERNS.items()))
+SINGLE = {kind: re.compile(pattern) for kind, pattern in PATTERNS.items()}
+#: A card number in any groups; tried where nothing of a customary form is found.
+LOOSE = re.compile(r"(?<![\w.-])\d(?:[ -]?\d){12,18}" + CARD_END)
+END = re.compile(CARD_END)
 #: A text without any of these holds no value of any kind.
 HINT = re.compile(r"[0-9@]|(?i:passw|pwd|secret|token|api.?key)|A[KS]IA")
 
@@ -209,23 +220,76 @@ def secret(f: Feistel, s: str) -> str | None:
 RULES = {"card": card, "iban": iban, "phone": phone, "ssn": ssn, "ip": ip, "date": date, "email": email, "access_key": access_key, "secret": secret}
 
 
+def shorter(text: str, start: int, end: int) -> list[int]:
+    """The end of a match and, longest first, the group ends within it."""
+    return [end, *(e for e in range(end - 1, start, -1) if text[e] in " -" and END.match(text, e))]
+
+
+def customary(text: str, feistel: Feistel) -> list[tuple[int, int, str, str]]:
+    """(start, end, kind, pseudonym) of the values in a form of their kind, in order."""
+    found, at = [], 0
+    while m := PATTERN.search(text, at):
+        s, at = m.start(), m.start() + 1
+        # Kinds before the matched one have no candidate here.
+        for kind in list(PATTERNS)[list(PATTERNS).index(m.lastgroup) :]:
+            first = SINGLE[kind].match(text, s)
+            ends = [] if first is None else shorter(text, s, first.end()) if kind in ("iban", "card") else [first.end()]
+            for e in ends:
+                if e < first.end() and not SINGLE[kind].fullmatch(text, s, e):
+                    continue
+                begin = first.start("value") if kind == "secret" else s
+                new = RULES[kind](feistel, text[begin:e])
+                if new is not None:
+                    found.append((begin, e, kind, new))
+                    at = e
+                    break
+            if at > s + 1:
+                break
+    return found
+
+
+def loose(text: str, feistel: Feistel, start: int, stop: int) -> list[tuple[int, int, str, str]]:
+    """The same for card numbers in other groups between two places.
+
+    Shorter readings and later starts within a failed one are tried only for
+    groups of three digits or more; of a row of smaller numbers, some reading
+    would nearly always pass the check digit.
+    """
+    found, at, barred = [], start, start
+    while m := LOOSE.search(text, at, stop):
+        s, at = m.start(), m.start() + 1
+        for e in shorter(text, s, m.end()):
+            number = text[s:e]
+            n = sum(map(str.isdigit, number))
+            if n < 13 or not END.match(text, e):
+                continue
+            whole = e == m.end() and s >= barred
+            new = card(feistel, number) if whole or min(map(len, re.split("[ -]", number))) >= 3 else None
+            if new is not None:
+                found.append((s, e, "card", new))
+                at = e
+                break
+        barred = max(barred, m.end())
+    return found
+
+
 def pseudonymise(text: str | None, feistel: Feistel) -> tuple[str | None, Counter]:
     """The text with pseudonyms, and how many values of each kind were replaced."""
     counts: Counter = Counter()
     if not text or not HINT.search(text):
         return text, counts
-
-    def one(m: re.Match) -> str:
-        kind = m.lastgroup if m.lastgroup != "value" else "secret"
-        whole = m.group()
-        value = m.group("value") if kind == "secret" else whole
-        new = RULES[kind](feistel, value)
-        if new is None:
-            return whole
+    found = customary(text, feistel)
+    if LOOSE.search(text):
+        edges = [0, *(e for f in found for e in f[:2]), len(text)]
+        for a, b in zip(edges[::2], edges[1::2], strict=True):
+            found += loose(text, feistel, a, b)
+        found.sort()
+    out, at = [], 0
+    for s, e, kind, new in found:
         counts[kind] += 1
-        return whole[: len(whole) - len(value)] + new
-
-    return PATTERN.sub(one, text), counts
+        out += [text[at:s], new]
+        at = e
+    return "".join([*out, text[at:]]), counts
 
 
 def protect(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
