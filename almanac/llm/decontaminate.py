@@ -15,8 +15,10 @@ item's seeds occur: no tile can lie elsewhere.
 
 Edge cases: null and empty texts and items without a token match nothing; an
 item shorter than ``min_match`` tokens must occur as a whole; repeated rows are
-judged alike; an empty benchmark leaves all documents clean. Tokens are
-lower-cased runs of letters, digits and underscores. Texts are read whole.
+judged alike; ids of documents and items may repeat with other texts or be
+null: every text is matched, and ``items`` lists the ids that are not null; an
+empty benchmark leaves all documents clean. Tokens are lower-cased runs of
+letters, digits and underscores. Texts are read whole.
 """
 
 from __future__ import annotations
@@ -209,21 +211,24 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id",
     words = F.coalesce(F.regexp_count("text", F.lit(r"(?U)\w+")), F.lit(0))
     size = benchmark.agg(F.sum(words)).first()[0] or 0
     if size > max_broadcast_seeds:
-        return by_join(docs, benchmark, key, min_match, threshold)
-    rows = benchmark.where("text IS NOT NULL AND item_id IS NOT NULL").select("item_id", "text").collect()
-    sent = docs.sparkSession.sparkContext.broadcast(Seeds(sorted((r[0], r[1]) for r in rows), min_match))
+        return by_join(docs, benchmark, min_match, threshold)
+    rows = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long"), "text").distinct().collect()
+    # Items are matched by number: an id may have several texts, or be null.
+    ids = [r[0] for r in rows]
+    sent = docs.sparkSession.sparkContext.broadcast((ids, Seeds([(n, r[1]) for n, r in enumerate(rows)], min_match)))
 
     kept = [c for c in docs.columns if c not in ADDED]
 
     def run(batches):
-        seeds = sent.value
+        ids, seeds = sent.value
         for batch in batches:
             if not batch.num_rows:
                 continue
             found = [seeds.coverage(tokens(t)) for t in batch.column("text").to_pylist()]
-            items = [sorted(i for i, c in f.items() if c >= threshold) for f in found]
+            over = [[ids[n] for n, c in f.items() if c >= threshold] for f in found]
+            items = [sorted({i for i in x if i is not None}) for x in over]
             new = [
-                pa.array([bool(x) for x in items]), pa.array(items, pa.list_(pa.int64())),
+                pa.array([bool(x) for x in over]), pa.array(items, pa.list_(pa.int64())),
                 pa.array([max(f.values(), default=0.0) for f in found], pa.float64()),
             ]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *new], names=[*kept, *ADDED])
@@ -232,36 +237,47 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id",
     return docs.select(*kept).mapInArrow(run, ", ".join([*shape, "contaminated boolean", "items array<long>", "coverage double"]))
 
 
-def by_join(docs: DataFrame, benchmark: DataFrame, key: str, min_match: int, threshold: float) -> DataFrame:
-    """The same rows for a benchmark of any size: documents and items meet by a shuffle on seed hashes."""
+def by_join(docs: DataFrame, benchmark: DataFrame, min_match: int, threshold: float) -> DataFrame:
+    """The same rows for a benchmark of any size: documents and items meet by a shuffle on seed hashes.
+
+    Both are named by a 128-bit hash of their texts, on which alone a match
+    depends; ids may repeat or be null.
+    """
     def seed_rows(batch: pa.RecordBatch, name: str) -> dict:
-        ids, text_ids, hashes = [], [], []
+        ids, hashes = [], []
         for i, t in zip(batch.column(name).to_pylist(), batch.column("text").to_pylist(), strict=True):
             words = tokens(t)
-            own = {hash_words(words[k : k + n]) for n in range(1, min_match + 1) for k in range(len(words) - n + 1) if n == min_match or name == key or n == len(words)}
+            own = {hash_words(words[k : k + n]) for n in range(1, min_match + 1) for k in range(len(words) - n + 1) if n == min_match or name == "doc" or n == len(words)}
             ids += [i] * len(own)
             hashes += own
         return {name: ids, "seed": hashes}
 
-    left = map_batches(docs.select(F.col(key).cast("long").alias(key), "text"), lambda b: seed_rows(b, key), f"{key} long, seed long")
-    right = map_batches(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"), lambda b: seed_rows(b, "item_id"), "item_id long, seed long")
-    pairs = left.join(right, "seed").select(key, "item_id").distinct()
-    texts = docs.select(F.col(key).cast("long").alias(key), "text").distinct()
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item"))
+    def named(rows: DataFrame, name: str) -> DataFrame:
+        return rows.where("text IS NOT NULL").select(F.md5("text").alias(name), "text").dropDuplicates([name])
+
+    texts, items = named(docs, "doc"), named(benchmark, "item")
+    left = map_batches(texts, lambda b: seed_rows(b, "doc"), "doc string, seed long")
+    right = map_batches(items, lambda b: seed_rows(b, "item"), "item string, seed long")
+    pairs = left.join(right, "seed").select("doc", "item").distinct()
 
     def run(batch: pa.RecordBatch) -> dict:
         shares = []
-        for item, i, t in zip(batch.column("item").to_pylist(), batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            shares.append(Seeds([(i, item)], min_match).coverage(tokens(t)).get(i, 0.0))
-        return {key: batch.column(key), "item_id": batch.column("item_id"), "share": shares}
-
-    tiled = map_batches(pairs.join(items, "item_id").join(texts, key), run, f"{key} long, item_id long, share double")
-    found = tiled.groupBy(key).agg(
-        F.array_sort(F.collect_set(F.when(F.col("share") >= threshold, F.col("item_id")))).alias("items"), F.max("share").alias("coverage")
+        for item, t in zip(batch.column("item_text").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            shares.append(Seeds([(0, item)], min_match).coverage(tokens(t)).get(0, 0.0))
+        return {"doc": batch.column("doc"), "item": batch.column("item"), "share": shares}
+
+    met = pairs.join(items.withColumnRenamed("text", "item_text"), "item").join(texts, "doc")
+    tiled = map_batches(met, run, "doc string, item string, share double")
+    over = F.col("share") >= threshold
+    ids = benchmark.where("text IS NOT NULL").groupBy(F.md5("text").alias("item")).agg(F.collect_set(F.col("item_id").cast("long")).alias("ids"))
+    found = tiled.join(ids, "item").groupBy("doc").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(over, F.col("ids")))))).alias("items"), F.max("share").alias("coverage"), F.bool_or(over).alias("contaminated")
+    )
+    kept = [c for c in docs.columns if c not in ADDED]
+    rows = docs.select(*kept, F.md5("text").alias("_doc")).join(found.withColumnRenamed("doc", "_doc"), "_doc", "left")
+    return rows.select(
+        *kept, F.coalesce("contaminated", F.lit(False)).alias("contaminated"), F.coalesce("items", F.array().cast("array<long>")).alias("items"), F.coalesce("coverage", F.lit(0.0)).alias("coverage")
     )
-    rows = docs.select(*(c for c in docs.columns if c not in ADDED)).join(found, key, "left")
-    items_of = F.coalesce("items", F.array().cast("array<long>"))
-    return rows.select(*(c for c in docs.columns if c not in ADDED), (F.size(items_of) > 0).alias("contaminated"), items_of.alias("items"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"))
 
 
 def hash_words(words: list[str]) -> int:
