@@ -194,12 +194,13 @@ def covered(pattern: list[str], words: list[str], places: list[tuple[int, int]],
         else:
             regions.append([s, e])
     distinct = dict.fromkeys(tuple(words[s:e]) for s, e in regions)
-    # The same region again and again adds nothing beyond one for each token of the pattern.
+    # Each copy of a region may serve one tile, and a tile is min_match tokens at least (or the whole of a shorter pattern).
+    least = max(1, min(min_match, len(pattern)))
     counts = defaultdict(int)
     text: list = []
     for region in (tuple(words[s:e]) for s, e in regions):
         counts[region] += 1
-        if counts[region] <= len(pattern) // len(region) + 1:
+        if counts[region] <= len(pattern) // least + 1:
             text += [*region, (len(text),)]
     if not distinct:
         return 0.0
