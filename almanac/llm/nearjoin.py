@@ -21,8 +21,9 @@ leave a task as one sum per set plus a spanning forest, never as all pairs.
 
 Edge cases: a text of fewer than five words is one shingle of all its words; a
 null text or one without a word is linked to nothing, not even to its like;
-repeated rows are copies of each other; an empty table gives an empty result;
-other columns are ignored by the join and kept by the pipeline stage. Words are
+repeated rows are copies of each other; rows with a null id are compared like
+others, and a class without any id has a null class_id; an empty table gives an
+empty result; other columns are ignored by the join and kept by the pipeline stage. Words are
 lower-cased runs of letters, digits and underscores. Texts are read whole.
 """
 
@@ -308,8 +309,13 @@ def local_pairs(names: np.ndarray, partners: list[bytes]) -> np.ndarray:
 
 def links(found: DataFrame, sets: DataFrame, docs: DataFrame, key: str, threshold: float) -> DataFrame:
     """(a, b, weight): per set the copies of similar sets (b null), and forest edges a - b (weight 0)."""
-    wanted = found.groupBy("sid").agg(F.collect_list(F.struct("unit", "partners")).alias("units")).join(sets.select("sid", "rep", "copies"), "sid")
-    texts = docs.select(F.col(key).cast("long").alias("rep"), "text").join(wanted, "rep")
+    # A set of which every copy has a null id is found by its text; of equal texts one is sent.
+    at, by_text = F.coalesce("rep", "unnamed").alias("at"), F.col("rep").isNull().alias("by_text")
+    wanted = found.groupBy("sid").agg(F.collect_list(F.struct("unit", "partners")).alias("units")).join(sets.select("sid", at, by_text, "copies"), "sid")
+    own = F.col(key).cast("long")
+    named = docs.where(own.isNotNull()).select(own.alias("at"), F.lit(False).alias("by_text"), "text")
+    nameless = docs.where(own.isNull()).select(F.xxhash64("text").alias("at"), F.lit(True).alias("by_text"), "text").distinct()
+    texts = named.unionByName(nameless).join(wanted, ["at", "by_text"])
 
     def shingles(batch: pa.RecordBatch) -> dict:
         shingler = Shingler()
@@ -380,7 +386,7 @@ def components(edges: DataFrame) -> DataFrame:
 def classes_of(docs: DataFrame, *, key: str = "doc_id", threshold: float = THRESHOLD, recall: float = TARGET_RECALL, depth: int = MAX_DEPTH, limit: int = BUCKET) -> DataFrame:
     """(key, text_hash, root, class_id, n_links) per row; ``root`` is the class, null for a row without shingles."""
     rows = cut(signed(docs, key))
-    sets = cut(rows.where("sid IS NOT NULL").groupBy("sid", "n", "sig").agg(F.min(key).alias("rep"), F.count("*").alias("copies")))
+    sets = cut(rows.where("sid IS NOT NULL").groupBy("sid", "n", "sig").agg(F.min(key).alias("rep"), F.min(F.when(F.col(key).isNull(), F.col("text_hash"))).alias("unnamed"), F.count("*").alias("copies")))
     least = LEAST_AGREEING if threshold >= 0.75 else 0
     members = buckets(sets, threshold, runs_needed(threshold, recall, depth), depth, limit)
     found = cut(links(candidates(members, sets, least), sets, docs, key, threshold))

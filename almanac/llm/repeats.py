@@ -27,8 +27,9 @@ shuffle, which is as exact and spreads over all tasks.
 
 Edge cases: a null text counts as empty; texts shorter than a window stay
 whole; repeated rows are copies of each other; rows that share an id but not
-the text are kept apart; an empty table gives an empty result; other columns
-are ignored. Texts are treated whole, as UTF-8 bytes.
+the text are kept apart; a null id is an id like others, as rows are named by
+their texts then; an empty table gives an empty result; other columns are
+ignored. Texts are treated whole, as UTF-8 bytes.
 """
 
 from __future__ import annotations
@@ -359,7 +360,7 @@ def marked_texts(rows: DataFrame, hot: int) -> DataFrame:
 
 def repeated(docs: DataFrame, *, key: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """(doc_id, tag, settled, spans, packed) of each distinct row with shared anchors; ``tag`` tells rows with one id apart."""
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("data")).withColumn("tag", tag_of(F.col("data")))
+    rows = docs.select(named(key, text).alias("doc_id"), F.col(text).cast("binary").alias("data")).withColumn("tag", tag_of(F.col("data")))
     kept = marked_texts(rows, hot)
     release(docs.sparkSession)
     sent, heated = kept.agg(F.sum(F.size("sends")), F.sum(F.size("hot"))).first()
@@ -371,6 +372,12 @@ def repeated(docs: DataFrame, *, key: str = "doc_id", text: str = "text", hot: i
     return kept.dropDuplicates(["doc_id", "tag"]).join(found, ["doc_id", "tag"], "left").select("doc_id", "tag", "settled", "spans", "packed")
 
 
+def named(key: str, text: str) -> Column:
+    """The id of a row, or for a null id 60 bits of another hash of its text, so that joins find it."""
+    own = F.conv(F.substring(F.md5(F.coalesce(F.col(text).cast("binary"), F.lit(b""))), 1, 15), 16, 10).cast("long")
+    return F.coalesce(F.col(key).cast("long"), own)
+
+
 def tag_of(data: Column) -> Column:
     """32 bits of a text's hash."""
     return F.xxhash64(data).bitwiseAND(0xFFFFFFFF)
@@ -393,11 +400,11 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     found = map_batches(repeated(docs, key=key, text=text, hot=hot), run, "doc_id long, tag long, n_removed long, n_spans long, sha string, kept binary")
     data = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), tag_of(F.col(text).cast("binary")).alias("tag"), F.octet_length(data).cast("long").alias("n_bytes"), F.sha2(data, 256).alias("own"), *([data.alias("all")] if with_text else []))
+    rows = docs.select(F.col(key).cast("long").alias("_key"), named(key, text).alias("doc_id"), tag_of(F.col(text).cast("binary")).alias("tag"), F.octet_length(data).cast("long").alias("n_bytes"), F.sha2(data, 256).alias("own"), *([data.alias("all")] if with_text else []))
     out = rows.join(found, ["doc_id", "tag"], "left")
     zero = F.lit(0).cast("long")
     return out.select(
-        F.col("doc_id").alias(key), "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"),
+        F.col("_key").alias(key), "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"),
         F.coalesce("sha", "own").alias("kept_sha256"), *([F.coalesce("kept", "all").alias("kept")] if with_text else []),
     )
 
