@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from almanac.functions import fixed, text
@@ -251,10 +251,27 @@ slots AS (SELECT course, computer_code, list(DISTINCT day * 100 + period) AS slo
 SELECT student, course, count(*) AS n_timed, count(*) FILTER (WHERE NOT list_has_any(slots, busy) AND NOT friday AND NOT early) AS n_feasible
 FROM occupied, slots GROUP BY student, course"""))
 def slot_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feasible sections of every fortieth course for students with occupied slots, Fridays free and no first period."""
+    """Feasible sections of every fortieth course for students with occupied slots, Fridays free and no first period; slot_overlap_all takes all courses."""
+    return overlaps(spark, sf_dir, F.col("course") % 40 == 1)
+
+
+SLOTS_ALL_SQL = """,
+occupied AS (SELECT student, list(DISTINCT day * 100 + period) AS busy FROM current_courses JOIN offerings USING (course) GROUP BY student),
+slots AS (SELECT course, computer_code, list(DISTINCT day * 100 + period) AS slots, bool_or(day = 4) AS friday, bool_or(period = 1) AS early FROM offerings GROUP BY ALL)
+SELECT student, course, count(*) AS n_timed, count(*) FILTER (WHERE NOT list_has_any(slots, busy) AND NOT friday AND NOT early) AS n_feasible
+FROM occupied, slots GROUP BY student, course"""
+
+
+@query(with_view(SLOTS_ALL_SQL))
+def slot_overlap_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for every course."""
+    return overlaps(spark, sf_dir, F.lit(True))
+
+
+def overlaps(spark: SparkSession, sf_dir: str, wanted: Column) -> DataFrame:
     slots = academic.offerings(spark, sf_dir).groupBy("course", "computer_code").agg(F.collect_set("slot").alias("slots"))
     busy = schedule.occupied(current(spark, sf_dir), slots)
-    rows = busy.join(slots.where("course % 40 = 1")).withColumn("free_day", F.lit(4)).withColumn("no_early_classes", F.lit(True))
+    rows = busy.join(slots.where(wanted)).withColumn("free_day", F.lit(4)).withColumn("no_early_classes", F.lit(True))
     placed = schedule.feasible_sections(rows)
     return placed.groupBy("student", "course").agg(F.count_if("timed").alias("n_timed"), F.count_if("feasible").alias("n_feasible"))
 
