@@ -141,7 +141,7 @@ def prerequisite_division(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_view(""" SELECT course, string_agg(CAST(needs AS VARCHAR), ',' ORDER BY needs) AS missing, count(*) AS n_missing
 FROM prereq WHERE NOT EXISTS (SELECT 1 FROM completed d WHERE d.course = needs AND d.student = 1) GROUP BY course"""))
 def missing_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sorted prerequisites that the first student lacks."""
+    """The sorted prerequisites that the first student lacks, for every course; missing_lists_all takes the planned courses of all students."""
     one = completed(spark, sf_dir).where("student = 1")
     pairs = academic.courses(spark, sf_dir).select(F.lit(1).cast("long").alias("student"), "course")
     lacking = policy.missing_prerequisites(pairs, academic.prerequisites(spark, sf_dir), one)
@@ -220,6 +220,17 @@ def planned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(academic.courses(spark, sf_dir).select("course", "units"), "course")
 
 
+@query(with_view(PLANNED_SQL + """ SELECT student, course, string_agg(CAST(needs AS VARCHAR), ',' ORDER BY needs) AS missing, count(*) AS n_missing
+FROM (SELECT DISTINCT p.student, p.course, q.needs FROM planned p JOIN prereq q USING (course) WHERE NOT EXISTS (SELECT 1 FROM completed d WHERE d.student = p.student AND d.course = q.needs)) AS x
+GROUP BY student, course"""))
+def missing_lists_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sorted prerequisites that each student lacks for each planned course."""
+    pairs = planned(spark, sf_dir).select("student", "course").distinct()
+    lacking = policy.missing_prerequisites(pairs, academic.prerequisites(spark, sf_dir), completed(spark, sf_dir))
+    needs = F.sort_array(F.collect_set("needs"))
+    return lacking.groupBy("student", "course").agg(F.array_join(needs, ",").alias("missing"), F.count_distinct("needs").alias("n_missing"))
+
+
 @query(with_view(PLANNED_SQL + """,
 chosen AS (SELECT course, computer_code, cancelled, restricted FROM offerings QUALIFY row_number() OVER (PARTITION BY course, computer_code ORDER BY ordinal DESC) = 1),
 load AS (SELECT s.student, sum(units) + any_value(existing_units) AS units, any_value(CASE WHEN degree_level = 'first_degree' THEN 25 ELSE 20 END) AS most
@@ -379,8 +390,19 @@ def dataset_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
   (SELECT count(*) FROM completed d WHERE d.student = t.student AND EXISTS (SELECT 1 FROM current_courses c WHERE c.student = d.student AND c.course = d.course)) AS n_both
 FROM taken t WHERE student % 10 = 3 GROUP BY student"""))
 def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Union and intersection of a student's completed and current courses, as sets."""
-    rows = academic.enrolment(spark, sf_dir).where("student % 10 = 3")
+    """Union and intersection of a student's completed and current courses, as sets, for one student in ten; set_operations_all takes all."""
+    return course_sets(academic.enrolment(spark, sf_dir).where("student % 10 = 3"))
+
+
+@query(with_view(""" SELECT student, string_agg(CAST(course AS VARCHAR), ',' ORDER BY course) AS either,
+  (SELECT count(*) FROM completed d WHERE d.student = t.student AND EXISTS (SELECT 1 FROM current_courses c WHERE c.student = d.student AND c.course = d.course)) AS n_both
+FROM taken t GROUP BY student"""))
+def set_operations_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for every student."""
+    return course_sets(academic.enrolment(spark, sf_dir))
+
+
+def course_sets(rows: DataFrame) -> DataFrame:
     sets = rows.groupBy("student").agg(
         F.collect_set(F.when(F.col("status") == "completed", F.col("course"))).alias("done"), F.collect_set(F.when(F.col("status") == "current", F.col("course"))).alias("now"),
     )
