@@ -50,7 +50,17 @@ def token_sql(expression: str) -> str:
 
 @query(f"SELECT doc_id, array_to_string({token_sql('text')}, ' ') AS tokens, CAST(len({token_sql('text')}) AS INT) AS n FROM documents WHERE lang = 'en'")
 def tokens_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", text.tokens(F.col("text")).alias("t"))
+    return keywords_of(read(spark, sf_dir, "documents").where("lang = 'en'"))
+
+
+@query(f"SELECT doc_id, array_to_string({token_sql('text')}, ' ') AS tokens, CAST(len({token_sql('text')}) AS INT) AS n FROM documents")
+def tokens_distinct_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keywords of documents in every language, or in none that is known."""
+    return keywords_of(read(spark, sf_dir, "documents"))
+
+
+def keywords_of(docs: DataFrame) -> DataFrame:
+    rows = docs.select("doc_id", text.tokens(F.col("text")).alias("t"))
     return rows.select("doc_id", F.array_join("t", " ").alias("tokens"), F.size("t").alias("n"))
 
 
@@ -211,6 +221,15 @@ def two_column_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.two_columns(english, ["doc_id", "page_no"], "line_no", "line").select("doc_id", F.col("line_no").cast("long").alias("line_no"), "col_no", "part")
 
 
+@query("""
+WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents),
+halves AS (SELECT *, max(length(line)) OVER (PARTITION BY doc_id) // 2 AS half FROM lines)
+SELECT doc_id, line_no, 1 AS col_no, substr(line, 1, half) AS part FROM halves UNION ALL SELECT doc_id, line_no, 2, substr(line, half + 1) FROM halves""")
+def two_column_split_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for documents in every language, or in none that is known."""
+    return sequence.two_columns(lines(spark, sf_dir), ["doc_id", "page_no"], "line_no", "line").select("doc_id", F.col("line_no").cast("long").alias("line_no"), "col_no", "part")
+
+
 CELLS = [(1, 1, 10.0), (1, 2, 31.0), (1, 3, 29.0), (2, 1, 60.0), (3, 1, 12.0), (3, 2, 48.0)]
 
 
@@ -268,10 +287,21 @@ def page_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, CAST(len(list_filter(list_transform(regexp_extract_all(regexp_replace(text, '[ \t\n\r\f\x0B]+', ' ', 'g') || ' ', '(.*?[.!?])+? '), lambda s: trim(s)), lambda s: s <> '')) AS INT) AS n_sentences
 FROM documents WHERE lang = 'en' AND regexp_matches(text, '[.!?]\s*$')""")
 def sentence_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_counts(read(spark, sf_dir, "documents").where(F.col("lang") == "en").where(F.regexp_like("text", F.lit(r"[.!?]\s*\z"))))
+
+
+@query(r"""
+SELECT doc_id, CAST(len(list_filter(string_split(regexp_replace(trim(regexp_replace(text, '[ \t\n\r\f\x0B]+', ' ', 'g')), '([.!?]) ', '\1' || chr(31), 'g'), chr(31)), lambda s: trim(s) <> '')) AS INT) AS n_sentences
+FROM documents""")
+def sentence_clauses_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of all documents; what follows the last mark counts as one."""
+    return sentence_counts(read(spark, sf_dir, "documents"))
+
+
+def sentence_counts(docs: DataFrame) -> DataFrame:
     from almanac.operators.handouts import sentences
 
-    rows = read(spark, sf_dir, "documents").where(F.col("lang") == "en").where(F.regexp_like("text", F.lit(r"[.!?]\s*\z")))
-    return rows.select("doc_id", F.size(sentences(text.compact(F.col("text")))).alias("n_sentences"))
+    return docs.select("doc_id", F.size(sentences(text.compact(F.col("text")))).alias("n_sentences"))
 
 
 @query("""
