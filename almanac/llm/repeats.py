@@ -22,8 +22,10 @@ groups that share a right side of length R are searched for their longest
 common left sides by sorting those.
 
 A prefix in more than ``HOT`` anchors is not merged in one range: the windows
-around its anchors are counted by a 128-bit hash with partial sums before the
-shuffle, which is as exact and spreads over all tasks.
+around the anchors that stand for its contexts are counted by a 128-bit hash
+with partial sums before the shuffle, which is as exact and spreads over all
+tasks. Joins that bring counts back to anchors have plain exchanges on both
+sides, so that Spark can split the partition of a hot prefix, context or window.
 
 Edge cases: a null text counts as empty; texts shorter than a window stay
 whole; repeated rows are copies of each other; rows that share an id but not
@@ -300,21 +302,22 @@ def spans_of(group: list[Entry], shared: list[int]) -> list[tuple[int, int, int,
 
 
 def counted_spans(kept: DataFrame) -> DataFrame:
-    """(doc_id, tag, start, stop) of the repeated windows around hot anchors."""
+    """(doc_id, tag, start, stop) of the repeated windows around hot anchors; an anchor for each context takes part, which is all that unsettled ones can match."""
 
     def run(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {c: [] for c in ("window", "doc_id", "tag", "start")}
+        out: dict[str, list] = {c: [] for c in ("low", "high", "doc_id", "tag", "start")}
         for i, tag, packed, hot in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tag", "packed", "hot")), strict=True):
             if hot:
                 data = memoryview(zstandard.decompress(packed))
                 for p in sorted({p for a in hot for p in range(max(0, a - LEFT), min(a, len(data) - WINDOW) + 1)}):
-                    for c, v in zip(out, (xxhash.xxh128_digest(data[p : p + WINDOW]), i, tag, p), strict=True):
+                    low, high = struct.unpack("<qq", xxhash.xxh128_digest(data[p : p + WINDOW]))
+                    for c, v in zip(out, (low, high, i, tag, p), strict=True):
                         out[c].append(v)
         return out
 
-    windows = map_batches(kept.where("size(hot) > 0").select("doc_id", "tag", "packed", "hot"), run, "window binary, doc_id long, tag long, start int")
-    twice = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1")
-    return windows.join(twice, "window").select("doc_id", "tag", "start", (F.col("start") + WINDOW).alias("stop"))
+    windows = map_batches(kept.where("size(hot) > 0").select("doc_id", "tag", "packed", "hot"), run, "low long, high long, doc_id long, tag long, start int")
+    twice = cut(windows.groupBy("low", "high").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+    return counted(windows, twice, "low", "high").select("doc_id", "tag", "start", (F.col("start") + WINDOW).alias("stop"))
 
 
 def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -331,23 +334,34 @@ def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def shared_anchors(rows: DataFrame) -> DataFrame:
     """The anchors whose prefix occurs more than once, with how often it does and whether its contexts differ."""
     places = anchor_rows(rows)
-    often = places.groupBy("prefix").agg(F.count("*").alias("total"), (F.min("context") != F.max("context")).alias("varied")).where("total > 1")
-    return cut(places.join(often, "prefix"))
+    often = cut(places.groupBy("prefix").agg(F.count("*").alias("total"), (F.min("context") != F.max("context")).alias("varied")).where("total > 1"))
+    return cut(counted(places, often, "prefix"))
+
+
+def counted(rows: DataFrame, counts: DataFrame, key: str, *more: str, how: str = "inner") -> DataFrame:
+    """Join ``counts`` to ``rows`` on ``key`` and ``more``.
+
+    The complement of the key is joined on, so that counts which are already
+    dealt by the key itself get an exchange of their own: only between two
+    plain exchanges does Spark split the partition of a hot key.
+    """
+    other = counts.withColumn("_key", F.bitwise_not(key)).drop(key)
+    return rows.withColumn("_key", F.bitwise_not(key)).join(other, ["_key", *more], how).drop("_key")
 
 
 def marked_texts(rows: DataFrame, hot: int) -> DataFrame:
     """(doc_id, tag, settled, sends, hot, packed) of rows with shared anchors: offsets to settle, to compare, to count, and the text."""
     shared = shared_anchors(rows)
     contexts = shared.groupBy("prefix", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "place")).alias("first"))
-    contexts = contexts.where("n > 1").select("prefix", "context", "first", F.lit(True).alias("settled"))
-    marked = shared.join(contexts, ["prefix", "context"], "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
+    contexts = cut(contexts.where("n > 1").select("prefix", "context", "first", F.lit(True).alias("settled")))
+    marked = counted(shared, contexts, "context", "prefix", how="left").withColumn("settled", F.coalesce("settled", F.lit(False)))
     stands = ~F.col("settled") | (F.col("first") == F.struct("doc_id", "place"))
     offset = F.shiftright("place", 32).cast("int")
     is_hot = F.col("total") > hot
     per_doc = marked.groupBy("doc_id", F.col("place").bitwiseAND(0xFFFFFFFF).alias("tag")).agg(
         F.collect_set(F.when(F.col("settled"), offset)).alias("settled"),
         F.collect_set(F.when(F.col("varied") & stands & ~is_hot, offset * 2 + F.when(F.col("settled"), 0).otherwise(1))).alias("sends"),
-        F.collect_set(F.when(F.col("varied") & is_hot, offset)).alias("hot"),
+        F.collect_set(F.when(F.col("varied") & stands & is_hot, offset)).alias("hot"),
     )
     met = rows.join(per_doc, ["doc_id", "tag"])
 
