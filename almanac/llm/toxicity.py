@@ -2,22 +2,27 @@
 
 Voters. Each voter looks for one word or word beginning, or for one surface
 pattern. The lexicon of words and beginnings is mined from a bounded sample of
-labelled training rows; patterns are fixed.
+labelled training rows, and holds only what is toxic beyond chance; patterns
+are fixed. Nothing else is learned from labels but the class balance and the
+side that each voter takes.
 
 Label model. A voter fires or abstains. With class balance b, two voters that
 are independent given the class have covariance b (1 - b) d_i d_j, where d is
 the voter's firing rate in toxic minus that in clean texts. d is fitted to the
 off-diagonal of the covariance matrix of all documents' votes (a fixed number
 of sums per corpus), leaving out pairs whose residual shows that they depend
-on each other; such pairs share their evidence in the posterior.
+on each other; such pairs share their evidence in the posterior. Both firing
+and abstaining are evidence.
 
-Classifier. A logistic regression with an L1 penalty on hashed words and word
-beginnings is trained on the posteriors of the bounded sample (where a
-training row has a label, the label is one more voter). It alone scores texts.
+Classifier. A logistic regression with an L1 penalty on words and word
+beginnings is trained on the label model's posteriors of a bounded sample of
+documents, most of them without a label; a label is never a target. It alone
+scores texts.
 
 Edge cases: null and empty texts get the score of a text without features;
-without any labelled training row all texts score the prior 0.05; repeated
-rows get equal scores; other columns are ignored. Texts are read whole.
+without labelled training rows of both kinds, or without a voter, all texts
+score the prior 0.05; repeated rows get equal scores; of labels that repeat an
+id the largest counts; other columns are ignored. Texts are read whole.
 """
 
 from __future__ import annotations
@@ -35,14 +40,16 @@ from pyspark.sql import functions as F
 
 from almanac.llm.common import fold, labelled_sample, map_batches, table
 
-#: Bound of the labelled sample, drawn in equal parts of both labels.
+#: Bound of the labelled sample that voters are mined from, drawn in equal parts of both labels.
 SAMPLE_ROWS = 4000
+#: Bound of the documents, drawn whatever their labels, whose posteriors join those of the sample as targets.
+UNLABELLED_ROWS = 4000
 VOTERS = 48
 FEATURES = 1024
 STEMS = (4, 5, 6, 8)
 PRIOR = 0.05
-#: How often a label of the training rows is taken to be right.
-LABEL_ACCURACY = 0.98
+#: Least likelihood ratio statistic (G squared) of a mined voter: beyond what tens of thousands of features show by chance.
+LEAST_EVIDENCE = 20.0
 WORD = re.compile(r"\w+")
 PATTERNS = {
     "shouting": re.compile(r"!{3,}"),
@@ -61,48 +68,58 @@ def features(text: str | None) -> set[str]:
 
 @dataclass
 class LabelModel:
-    """Firing rates of the voters in toxic and in clean texts, and how far each shares evidence."""
+    """Firing rates of the voters in toxic and in clean texts, how far each shares evidence, and which pairs exclude each other."""
 
     toxic: np.ndarray
     clean: np.ndarray
     share: np.ndarray
+    excludes: np.ndarray
     balance: float
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        """A voter that fires is evidence; one that abstains is none."""
-        z = np.log(self.balance / (1 - self.balance)) + votes @ (np.log(self.toxic / self.clean) * self.share)
+        """The chance that a text with these votes is toxic; a voter whose rival fires says nothing by abstaining."""
+        fires, abstains = np.log(self.toxic / self.clean), np.log((1 - self.toxic) / (1 - self.clean))
+        silent = (1 - votes) * (votes @ self.excludes == 0)
+        z = np.log(self.balance / (1 - self.balance)) + votes @ (fires * self.share) + silent @ (abstains * self.share)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def fit_label_model(n: float, once: np.ndarray, twice: np.ndarray, balance: float, anchor: np.ndarray, rounds: int = 200) -> LabelModel:
     """Fit from counts: texts, firings by voter, joint firings by pair.
 
-    ``anchor`` (firing rate in toxic minus clean texts of the sample) gives the
-    start: it shows which pairs depend on each other before these can distort
-    the fit, and fixes the sign that covariances alone leave open.
+    ``anchor`` (firing rate in toxic minus clean texts of the sample) shows
+    which pairs depend on each other given the class: those whose covariance is
+    off by more than half of what independence makes it, beyond chance. A
+    voter's d comes from the covariances with its independent partners, with
+    the anchor fixing the sign; with fewer than two such partners covariances
+    do not determine it, and it stays at the anchor.
     """
     m = len(once)
     mean = once / max(n, 1)
     scale = balance * (1 - balance)
     cov = twice / max(n, 1) - np.outer(mean, mean)
     spread = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-    used = ~np.eye(m, dtype=bool)
+    chance = 4 * np.outer(spread, spread) / math.sqrt(max(n, 1))
+    off = ~np.eye(m, dtype=bool)
     d = anchor.astype(float).copy()
-    for trial in range(3):
-        for _ in range(rounds if trial else 0):
-            for i in range(m):
-                k = used[i]
-                d[i] = (cov[i, k] / scale @ d[k] + 0.01 * anchor[i] * (anchor @ anchor)) / (d[k] @ d[k] + 0.01 * (anchor @ anchor) + 1e-12)
-            d = np.clip(d, -0.98, 0.98)
-        rest = np.abs(cov - scale * np.outer(d, d)) / np.outer(spread, spread)
-        if trial < 2:
-            dependent = (rest > 0.25) & ~np.eye(m, dtype=bool)
-            used = ~np.eye(m, dtype=bool) & ~dependent
-            used[used.sum(axis=1) < 2] = ~np.eye(m, dtype=bool)[used.sum(axis=1) < 2]
+
+    def dependence() -> tuple[np.ndarray, np.ndarray]:
+        expected = scale * np.outer(d, d)
+        rest = cov - expected
+        return (np.abs(rest) > np.maximum(0.5 * np.abs(expected), chance)) & off, rest
+
+    dependent, rest = dependence()
+    used = off & ~dependent & (np.abs(anchor) > 0.01)[None, :]
+    for _ in range(rounds):
+        for i in np.flatnonzero(used.sum(axis=1) >= 2).tolist():
+            k = used[i]
+            d[i] = (cov[i, k] / scale @ d[k] + 0.01 * anchor[i] * (anchor @ anchor)) / (d[k] @ d[k] + 0.01 * (anchor @ anchor) + 1e-12)
+        d = np.clip(d, -0.98, 0.98)
+    dependent, rest = dependence()
     toxic = np.clip(mean + (1 - balance) * d, 1e-4, 1 - 1e-4)
     clean = np.clip(mean - balance * d, 1e-4, 1 - 1e-4)
-    linked = np.where(dependent, np.minimum(rest, 1), 0)
-    return LabelModel(toxic, clean, 1 / (1 + linked.sum(axis=1)), balance)
+    linked = np.where(dependent & (rest > 0), np.minimum(rest / np.outer(spread, spread), 1), 0)
+    return LabelModel(toxic, clean, 1 / (1 + linked.sum(axis=1)), (dependent & (rest < 0)).astype(float), balance)
 
 
 @dataclass
@@ -136,44 +153,72 @@ def vote(text: str | None, voters: list[str]) -> list[int]:
     return [i for i, v in enumerate(voters) if (PATTERNS[v[1:]].search((text or "").lower()) if v[0] == ":" else v in has)]
 
 
-def mine(sample: list[tuple[set[str], int]]) -> tuple[Counter, Counter]:
-    good, bad = Counter(), Counter()
-    for has, label in sample:
-        (bad if label else good).update(has)
-    return good, bad
+class Rows:
+    """The features of texts as arrays of numbers; features in fewer than three texts are left out."""
 
+    def __init__(self, texts: list[str | None]):
+        seen = Counter()
+        for text in texts:
+            seen.update(features(text))
+        self.names = sorted(f for f, c in seen.items() if c >= 3)
+        place = {f: i for i, f in enumerate(self.names)}
+        self.rows = [np.array(sorted(place[f] for f in features(text) if f in place), np.int32) for text in texts]
 
-def choose_voters(good: Counter, bad: Counter, n_good: int, n_bad: int, voters: int = VOTERS) -> list[str]:
-    """Features that are much commoner in toxic rows, each new to the ones before by its beginning, then the patterns."""
-    floor = max(2, 0.004 * n_bad)
-    ranked = sorted((f for f, c in bad.items() if c >= floor), key=lambda f: (-(bad[f] / n_bad) * math.log(((bad[f] + 0.5) / n_bad) / ((good[f] + 0.5) / max(n_good, 1))), f))
-    chosen: list[str] = []
-    for f in ranked:
-        if (bad[f] + 0.5) / n_bad > 4 * (good[f] + 0.5) / max(n_good, 1) and not any(f.startswith(c[:4]) for c in chosen):
-            chosen.append(f)
-            if len(chosen) == voters:
-                break
-    return chosen + [f":{name}" for name in PATTERNS]
+    def sums(self, weights: np.ndarray) -> np.ndarray:
+        """Per feature, the weight of the texts that have it."""
+        total = np.zeros(len(self.names))
+        for row, w in zip(self.rows, weights.tolist(), strict=True):
+            if w:
+                total[row] += w
+        return total
+
+
+def evidence(bad: np.ndarray, good: np.ndarray, n_bad: float, n_good: float) -> np.ndarray:
+    """Likelihood ratio statistic (G squared) of features against independence of the label."""
+    def part(seen, expected):
+        return seen * np.log(np.maximum(seen, 1e-12) / np.maximum(expected, 1e-12))
+
+    n, both = n_bad + n_good, bad + good
+    rest = n - both
+    return 2 * (part(bad, both * n_bad / n) + part(good, both * n_good / n) + part(n_bad - bad, rest * n_bad / n) + part(n_good - good, rest * n_good / n))
 
 
-def train_classifier(sample: list[set[str]], target: np.ndarray, good: Counter, bad: Counter, n_good: int, n_bad: int, balance: float, steps: int = 800, penalty: float = 1e-4) -> tuple[dict[str, float], float]:
-    """L1-penalised logistic regression (accelerated proximal gradient) on soft labels."""
-    def gain(f: str) -> float:
-        p, q = (bad[f] + 0.5) / (n_bad + 1), (good[f] + 0.5) / (n_good + 1)
-        return (p - q) ** 2 / (p + q)
+def choose_voters(names: list[str], bad: np.ndarray, good: np.ndarray, n_bad: int, n_good: int, voters: int = VOTERS) -> list[str]:
+    """Features that are much commoner in toxic rows, beyond chance, each new to the ones before by its beginning, then the patterns.
 
-    names = sorted((f for f in bad.keys() | good.keys() if bad[f] + good[f] >= 3), key=lambda f: (-gain(f), f))[:FEATURES]
-    place = {f: i for i, f in enumerate(names)}
-    x = np.zeros((len(sample), len(names)), np.float32)
-    for r, has in enumerate(sample):
-        x[r, [place[f] for f in has if f in place]] = 1
-    # The sample holds both labels in equal parts; weights bring back the balance of the corpus.
+    The sample is drawn by label, so evidence is counted as in a sample of one toxic row in ten.
+    """
+    weight = min(1.0, n_good / 9 / n_bad)
+    strong = evidence(bad * weight, good, n_bad * weight, n_good)
+    usual = (bad + 0.5) / n_bad > 4 * (good + 0.5) / n_good
+    chosen: list[str] = []
+    for i in sorted(np.flatnonzero(usual & (strong >= LEAST_EVIDENCE)).tolist(), key=lambda i: (-strong[i], names[i])):
+        if not any(names[i].startswith(c[:4]) for c in chosen):
+            chosen.append(names[i])
+            if len(chosen) == voters:
+                break
+    return chosen + [f":{name}" for name in PATTERNS] if chosen else []
+
+
+def train_classifier(sample: Rows, target: np.ndarray, balance: float, steps: int = 800, penalty: float = 1e-4) -> tuple[dict[str, float], float]:
+    """L1-penalised logistic regression (accelerated proximal gradient) on posteriors."""
+    bad, good = sample.sums(target), sample.sums(1 - target)
+    p, q = (bad + 0.5) / (target.sum() + 1), (good + 0.5) / ((1 - target).sum() + 1)
+    gain = (p - q) ** 2 / (p + q)
+    best = sorted(range(len(gain)), key=lambda i: (-gain[i], i))[:FEATURES]
+    place = np.full(len(gain), -1)
+    place[best] = np.arange(len(best))
+    x = np.zeros((len(sample.rows), len(best)), np.float32)
+    for r, row in enumerate(sample.rows):
+        at = place[row]
+        x[r, at[at >= 0]] = 1
+    # The sample holds more toxic rows than the corpus; weights bring back its balance.
     in_sample = float(np.clip(target.mean(), 1e-3, 1 - 1e-3))
     weight = target * balance / in_sample + (1 - target) * (1 - balance) / (1 - in_sample)
     weight, target = (weight / weight.sum()).astype(np.float32), target.astype(np.float32)
-    w, b = np.zeros(len(names), np.float32), math.log(balance / (1 - balance))
+    w, b = np.zeros(len(best), np.float32), math.log(balance / (1 - balance))
     v, c, t = w.copy(), b, 1.0
-    u = np.ones(len(names), np.float32)
+    u = np.ones(len(best), np.float32)
     for _ in range(20):  # the largest eigenvalue bounds the curvature
         u = x.T @ (weight * (x @ (u / max(float(np.linalg.norm(u)), 1e-9))))
     step = np.float32(4.0 / (1.1 * float(np.linalg.norm(u)) + 1))
@@ -186,7 +231,7 @@ def train_classifier(sample: list[set[str]], target: np.ndarray, good: Counter,
         nt = (1 + math.sqrt(1 + 4 * t * t)) / 2
         v, c = new + np.float32((t - 1) / nt) * (new - w), nb + (t - 1) / nt * (nb - b)
         w, b, t = new, nb, nt
-    return {f: float(w[i]) for f, i in place.items() if abs(w[i]) > 1e-4}, b
+    return {sample.names[f]: float(w[i]) for i, f in enumerate(best) if abs(w[i]) > 1e-4}, b
 
 
 def vote_counts(docs: DataFrame, voters: list[str]) -> tuple[float, np.ndarray, np.ndarray]:
@@ -213,8 +258,19 @@ def vote_counts(docs: DataFrame, voters: list[str]) -> tuple[float, np.ndarray,
     return float(n), np.diag(twice).copy(), twice
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", rows: int = SAMPLE_ROWS) -> ToxicityModel:
-    """Fit on ``labels`` (key, toxic), whose rows all count as training rows, and the votes of all ``docs``."""
+def unlabelled_sample(docs: DataFrame, rows: int, key: str) -> list[str | None]:
+    """Texts of at most ``rows`` ids in hash order; of texts that share an id one is taken."""
+    ids = docs.select(F.xxhash64(F.col(key).cast("string"), F.lit("unlabelled")).alias("h")).distinct().orderBy("h").limit(rows)
+    last = ids.agg(F.max("h")).first()[0]
+    if last is None:
+        return []
+    h = F.xxhash64(F.col(key).cast("string"), F.lit("unlabelled"))
+    found = docs.select(h.alias("h"), "text").where(F.col("h") <= F.lit(last)).groupBy("h").agg(F.min("text").alias("text")).collect()
+    return [r["text"] for r in sorted(found, key=lambda r: r["h"])]
+
+
+def fit(docs: DataFrame, labels: DataFrame, training: DataFrame | None = None, key: str = "doc_id", rows: int = SAMPLE_ROWS, unlabelled: int = UNLABELLED_ROWS) -> ToxicityModel:
+    """Fit on ``labels`` (key, toxic), whose rows all count as training rows, the texts of ``training`` (all of ``docs`` if none), and the votes of all ``docs``."""
     known = labels.where("toxic IS NOT NULL").select(key, F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic"))
     balance = known.agg(F.avg("toxic")).first()[0]
     if balance is None:
@@ -222,23 +278,24 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", rows: int = SAM
     balance = float(np.clip(balance, 0.005, 0.5))
     chosen = [r for label in (0, 1) for r in labelled_sample(docs, known.where(F.col("toxic") == label), key, ["toxic"], rows // 2).collect()]
     chosen.sort(key=lambda r: (zlib.crc32(str(r[key]).encode()), str(r[key])))
-    sample = [(features(r["text"]), int(r["toxic"])) for r in chosen]
-    n_bad = sum(label for _, label in sample)
-    n_good = len(sample) - n_bad
-    if not n_bad or not n_good:
+    truth = np.array([int(r["toxic"]) for r in chosen])
+    if not 0 < truth.sum() < len(truth):
+        return ToxicityModel()
+    texts = [r["text"] for r in chosen] + unlabelled_sample(docs if training is None else training, unlabelled, key)
+    sample = Rows(texts)
+    known_rows = np.arange(len(texts)) < len(truth)
+    is_bad = np.zeros(len(texts))
+    is_bad[: len(truth)] = truth
+    voters = choose_voters(sample.names, sample.sums(is_bad), sample.sums(known_rows - is_bad), int(truth.sum()), int(len(truth) - truth.sum()))
+    if not voters:
         return ToxicityModel()
-    good, bad = mine(sample)
-    voters = choose_voters(good, bad, n_good, n_bad)
-    votes = np.zeros((len(sample), len(voters)))
-    for r, row in enumerate(chosen):
-        votes[r, vote(row["text"], voters)] = 1
-    truth = np.array([label for _, label in sample])
-    anchor = votes[truth == 1].mean(axis=0) - votes[truth == 0].mean(axis=0)
+    votes = np.zeros((len(texts), len(voters)))
+    for r, text in enumerate(texts):
+        votes[r, vote(text, voters)] = 1
+    own = votes[: len(truth)]
+    anchor = own[truth == 1].mean(axis=0) - own[truth == 0].mean(axis=0)
     model = fit_label_model(*vote_counts(docs, voters), balance, anchor)
-    p = model.posterior(votes)
-    odds = np.log(np.clip(p, 1e-9, 1 - 1e-9) / (1 - np.clip(p, 1e-9, 1 - 1e-9))) + np.where(truth == 1, 1, -1) * math.log(LABEL_ACCURACY / (1 - LABEL_ACCURACY))
-    target = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-    weights, bias = train_classifier([has for has, _ in sample], target, good, bad, n_good, n_bad, balance)
+    weights, bias = train_classifier(sample, model.posterior(votes), balance)
     return ToxicityModel(weights, bias, voters, model)
 
 
@@ -255,5 +312,5 @@ def score(docs: DataFrame, model: ToxicityModel, key: str = "doc_id") -> DataFra
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held = fold(F.col("doc_id"), 5) == 0
-    model = fit(docs, labels.where(~held))
+    model = fit(docs, labels.where(~held), docs.where(~held))
     return score(docs, model).withColumn("held_out", held).withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
