@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac.llm.common import map_batches, table
+from almanac.llm.common import fresh, map_batches, table
 
 MIN_MATCH = 5
 THRESHOLD = 0.5
@@ -275,7 +275,8 @@ def by_join(docs: DataFrame, benchmark: DataFrame, min_match: int, threshold: fl
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(over, F.col("ids")))))).alias("items"), F.max("share").alias("coverage"), F.bool_or(over).alias("contaminated")
     )
     kept = [c for c in docs.columns if c not in ADDED]
-    rows = docs.select(*kept, F.md5("text").alias("_doc")).join(found.withColumnRenamed("doc", "_doc"), "_doc", "left")
+    (name,) = fresh([*kept, *ADDED], "doc")
+    rows = docs.select(*kept, F.md5("text").alias(name)).join(found.withColumnRenamed("doc", name), name, "left")
     return rows.select(
         *kept, F.coalesce("contaminated", F.lit(False)).alias("contaminated"), F.coalesce("items", F.array().cast("array<long>")).alias("items"), F.coalesce("coverage", F.lit(0.0)).alias("coverage")
     )

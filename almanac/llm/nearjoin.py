@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac.llm.common import cut, map_batches, table
+from almanac.llm.common import cut, fresh, map_batches, table
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -413,9 +413,10 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     placed = classes_of(docs)
     first = placed.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count("*").alias("rows"))
     alone = placed.where("root IS NULL").select("doc_id", "text_hash", F.lit(1).cast("long").alias("rows")).distinct()
-    keep = first.select("first.*", "rows").unionByName(alone).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash", "rows": "_rows"})
-    kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))).drop("_id", "_hash")
+    own, hashed, rows = fresh(docs.columns, "kept_id", "kept_hash", "rows")
+    keep = first.select("first.*", "rows").unionByName(alone).withColumnsRenamed({"doc_id": own, "text_hash": hashed, "rows": rows})
+    kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col(own)) & (F.xxhash64("text") == F.col(hashed))).drop(own, hashed)
     # Only in a class of several rows can the kept row be there twice.
-    single = kept.where("_rows = 1").drop("_rows")
-    repeated = kept.where("_rows > 1").drop("_rows").dropDuplicates(["doc_id", "text"])
+    single = kept.where(F.col(rows) == 1).drop(rows)
+    repeated = kept.where(F.col(rows) > 1).drop(rows).dropDuplicates(["doc_id", "text"])
     return single.unionByName(repeated)

@@ -8,15 +8,19 @@ strengths are estimated from the spread between groups (method of moments), so
 sparse sites rest on the global prior. A document's final log-odds are its own
 plus the shift of its path's prior against the corpus.
 
-Only sums per group are shuffled, with partial sums first; a host with a third
-of all rows costs one row per task.
+Every text is scored once. Only sums per group are shuffled, with partial sums
+first; a host with a third of all rows costs one row per task. The posteriors
+of the paths are sent to the scored rows if there are at most
+``MAX_BROADCAST_PATHS`` of them; beyond that, both meet by a shuffle in which
+each path is dealt to ``SALTS`` tasks.
 
 Edge cases: a null or blank text has all features 0 and is rejected (score 0);
 a null host or path is a group of its own; without labels of both kinds all
 texts that have words are kept (score 1); repeated rows get equal scores;
 other columns are carried through ``classify`` unless a name clashes with an
 added column, which is then replaced. ``documents`` has no URL, so its queries
-take the source as host and the language section of the source as path.
+take the source as host and the language section of the source as path;
+``site`` gives host and path of tables with URLs.
 """
 
 from __future__ import annotations
@@ -30,11 +34,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac.llm.common import cut, labelled_sample, table
+from almanac.llm.common import cut, fresh, labelled_sample, table
 
 #: Bound of the labelled sample the classifier is fitted on.
 SAMPLE_ROWS = 6000
 THRESHOLD = 0.5
+#: Most paths whose posteriors are sent to every executor, and the tasks each is dealt to beyond that.
+MAX_BROADCAST_PATHS = 100_000
+SALTS = 32
 SYMBOLS = "%&*$#@|~^<>{}[]=_\\+"
 NAMES = ("log_words", "symbols", "upper", "bangs", "pipes", "digits", "word_length", "distinct", "run", "lines", "stops", "letters", "short", "dense")
 LINE = re.compile(r"\n+")
@@ -142,42 +149,49 @@ def shrunk(groups: DataFrame, keys: list[str], parent: Column, out: str) -> Data
     """
     spread = parent * (1 - parent)
     excess = F.pow(F.col("good") / F.col("n") - parent, 2) - spread / F.col("n")
-    sums = groups.agg(F.sum(F.col("n") * excess).alias("over"), F.sum((F.col("n") - 1) * spread).alias("room"))
-    strength = F.least(F.lit(1e4), F.greatest(F.lit(2.0), F.col("room") / F.greatest(F.col("over"), F.lit(1e-12)) - 1))
-    return groups.crossJoin(F.broadcast(sums.select(strength.alias("strength")))).select(  # one row
-        *keys, ((F.col("good") + F.col("strength") * parent) / (F.col("n") + F.col("strength"))).alias(out)
-    )
+    over, room = groups.agg(F.sum(F.col("n") * excess), F.sum((F.col("n") - 1) * spread)).first()
+    strength = min(1e4, max(2.0, (room or 0.0) / max(over or 0.0, 1e-12) - 1))
+    return groups.select(*keys, ((F.col("good") + strength * parent) / (F.col("n") + strength)).alias(out))
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
-    """Add doc_score, host_prior, path_prior, score and keep to every row of ``docs``."""
+def site(url: Column) -> tuple[Column, Column]:
+    """Host and first path segment of a URL; null where it has none."""
+    return F.lower(F.try_parse_url(url, F.lit("HOST"))), F.nullif(F.split_part(F.try_parse_url(url, F.lit("PATH")), F.lit("/"), F.lit(2)), F.lit(""))
+
+
+def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, key: str = "doc_id", threshold: float = THRESHOLD, text: str = "text", with_text: bool = True, max_broadcast: int = MAX_BROADCAST_PATHS) -> DataFrame:
+    """Add doc_score, host_prior, path_prior, score and keep to every row of ``docs``; ``with_text`` says whether the text is kept."""
     added = ["doc_score", "host_prior", "path_prior", "score", "keep"]
     rows = docs.select(*(c for c in docs.columns if c not in added))
+    kept = [c for c in rows.columns if with_text or c != text]
     model = fit(docs, labels, key)
     if model is None:
-        words = F.coalesce(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
+        words = F.coalesce(F.regexp_like(text, F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
         one = F.when(words, F.lit(1.0)).otherwise(0.0)
-        return rows.select("*", *(one.alias(c) for c in added[:-1]), words.alias("keep"))
-    hidden = {"_host": host.cast("string"), "_path": path.cast("string")}
-    scored = with_features(rows.withColumns(hidden), model)
-    per_path = scored.groupBy("_host", "_path").agg(F.count("*").alias("n"), F.sum("doc_score").alias("good"))
-    per_path = cut(per_path)  # a row per path, so that texts are scored twice and not five times
-    per_host = per_path.groupBy("_host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
-    overall = per_host.agg((F.sum("good") / F.sum("n")).alias("overall"))
-    hosts = shrunk(per_host.crossJoin(F.broadcast(overall)), ["_host", "overall"], F.col("overall"), "host_prior")
-    hosts = hosts.withColumnRenamed("_host", "_of")
-    joined = per_path.join(hosts, F.col("_host").eqNullSafe(F.col("_of"))).drop("_of")
-    paths = shrunk(joined, ["_host", "_path", "overall", "host_prior"], F.col("host_prior"), "path_prior")
-    paths = paths.withColumnsRenamed({"_host": "_h", "_path": "_p"})
-    both = scored.join(paths, F.col("_host").eqNullSafe(F.col("_h")) & F.col("_path").eqNullSafe(F.col("_p")))
-    odds = logit(F.col("doc_score")) + logit(F.col("path_prior")) - logit(F.col("overall"))
+        return rows.select(*kept, *(one.alias(c) for c in added[:-1]), words.alias("keep"))
+    h, p, other_h, other_p, salt = fresh([*docs.columns, *added], "host", "path", "of_host", "of_path", "salt")
+    scored = cut(with_features(rows.withColumns({h: host.cast("string"), p: path.cast("string")}), model, text).select(*kept, h, p, "doc_score"))
+    per_path = cut(scored.groupBy(h, p).agg(F.count("*").alias("n"), F.sum("doc_score").alias("good")))
+    n_paths, n, good = per_path.agg(F.count("*"), F.sum("n"), F.sum("good")).first()
+    overall = (good or 0.0) / max(n or 0, 1)
+    hosts = shrunk(per_path.groupBy(h).agg(F.sum("n").alias("n"), F.sum("good").alias("good")), [h], F.lit(overall), "host_prior").withColumnRenamed(h, other_h)
+    joined = per_path.join(hosts, F.col(h).eqNullSafe(F.col(other_h))).drop(other_h)
+    paths = shrunk(joined, [h, p, "host_prior"], F.col("host_prior"), "path_prior").withColumnsRenamed({h: other_h, p: other_p})
+    same = F.col(h).eqNullSafe(F.col(other_h)) & F.col(p).eqNullSafe(F.col(other_p))
+    if n_paths <= max_broadcast:
+        both = scored.join(F.broadcast(paths), same)
+    else:
+        dealt = paths.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        left, right = scored.withColumn(f"{salt}_of", F.pmod(F.xxhash64(key, "doc_score"), F.lit(SALTS)).cast("int")), dealt
+        both = left.join(right, same & (F.col(f"{salt}_of") == F.col(salt)))
+    odds = logit(F.col("doc_score")) + logit(F.col("path_prior")) - logit(F.lit(overall))
     score = F.when(F.col("doc_score") > 0, 1 / (1 + F.exp(-odds))).otherwise(0.0)
-    return both.withColumn("score", score).withColumn("keep", F.col("score") >= threshold).select(*rows.columns, *added)
+    return both.withColumn("score", score).withColumn("keep", F.col("score") >= threshold).select(*kept, *added)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    found = classify(docs, labels, F.col("source"), F.col("lang"))
+    found = classify(docs, labels, F.col("source"), F.col("lang"), with_text=False)
     return found.select("doc_id", "doc_score", "host_prior", "path_prior", "score", "keep")
 
 

@@ -211,7 +211,7 @@ def test_search_stops_early_and_stays_exact():
     rng = np.random.default_rng(9)
     rows = np.floor(rng.normal(0, 1, (300, 4)) * 2.0 ** rng.integers(0, 12, (300, 1)))
     q = np.floor(rng.normal(0, 50, (3, 4)))
-    got = topk.search(np.array([-1, -2, -3]), q, np.arange(300), topk.segments(rows), rows, 5)
+    got = topk.search(np.array([-1, -2, -3]), q, np.arange(300), rows, 5)
     for n, r in enumerate((-1, -2, -3)):
         want = sorted((-int(q[n] @ rows[i]), i) for i in range(300))[:5]
         assert [(-s, i) for q_, i, s in got if q_ == r] == want
