@@ -20,10 +20,13 @@ def duck(sf_dir):
 
 
 def plain(v):
-    if v is None or v is pd.NaT or (isinstance(v, float) and math.isnan(v)):
+    """One form of a value: pandas turns whole numbers beside nulls into floats, and nulls into NA or NaN."""
+    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
         return None
     v = v.item() if hasattr(v, "item") else v
-    return round(v, 6) if isinstance(v, float) else v
+    if isinstance(v, float):
+        return int(v) if v.is_integer() else round(v, 6)
+    return v
 
 
 def rows(df, columns):
