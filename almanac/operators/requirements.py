@@ -30,18 +30,19 @@ def progress(students: DataFrame, categories: DataFrame, humanities: DataFrame,
     required = electives_required(F.col("programme")) if required is None else required
     known = categories.select("programme").distinct()
     programmes = student_programmes(students).join(known, "programme", "left_semi")
-    pools = programmes.join(categories, "programme")
-    cdc = pools.where("category = 'CDC'").select("student", "course").distinct()
-    done_cdc = cdc.join(taken.distinct(), ["student", "course"], "left_semi")
+    # Totals depend on a student's programmes alone: they are counted once for each set of programmes.
+    sets = programmes.groupBy("student").agg(F.sort_array(F.collect_set("programme")).alias("set"))
+    core = categories.where("category = 'CDC'").select("programme", "course").distinct()
+    core_sizes = sets.select("set").distinct().select("set", F.explode("set").alias("programme")).join(core, "programme").groupBy("set").agg(F.count_distinct("course").alias("total"))
+    # What is done comes from the taken courses, a few per student.
+    hits = programmes.join(taken.distinct(), "student").join(categories, ["programme", "course"])
     per_programme = (
-        programmes.join(
-            pools.where("category = 'DEL'").join(taken.distinct(), ["student", "course"], "left_semi").groupBy("student", "programme").agg(F.count_distinct("course").alias("hit")),
-            ["student", "programme"], "left",
-        ).withColumn("needed", required.cast("long"))
+        programmes.join(hits.where("category = 'DEL'").groupBy("student", "programme").agg(F.count_distinct("course").alias("hit")), ["student", "programme"], "left")
+        .withColumn("needed", required.cast("long"))
         .groupBy("student").agg(F.sum("needed").alias("total"), F.sum(F.least("needed", F.coalesce("hit", F.lit(0).cast("long")))).alias("completed"))
     )
     counts = {
-        "CDC": (cdc.groupBy("student").agg(F.count("*").alias("total")), done_cdc.groupBy("student").agg(F.count("*").alias("completed"))),
+        "CDC": (sets.join(core_sizes, "set").select("student", "total"), hits.where("category = 'CDC'").groupBy("student").agg(F.count_distinct("course").alias("completed"))),
         "HUEL": (None, taken.distinct().join(humanities.select("course").distinct(), "course", "left_semi").groupBy("student").agg(F.count("*").alias("completed"))),
         "OPEL": (None, open_done.distinct().groupBy("student").agg(F.count("*").alias("completed")) if open_done is not None else None),
     }

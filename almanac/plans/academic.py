@@ -44,6 +44,12 @@ def enrolment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.join(li, o.o_orderkey == li.l_orderkey).select(F.col("o_custkey").alias("student"), F.col("l_partkey").alias("course"), status.alias("status")).distinct()
 
 
+def wishes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(student, course): the courses that a student looks at, those taken and the one listed after each."""
+    rows = enrolment(spark, sf_dir).select("student", F.explode(F.array("course", F.col("course") + 1)).alias("course")).distinct()
+    return rows.join(courses(spark, sf_dir).select("course"), "course", "left_semi").select("student", "course")
+
+
 #: Columns that order the rows of ``lineitem``; its key alone is not unique.
 ORDINAL = ["l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 
@@ -86,6 +92,7 @@ enrolment AS (SELECT DISTINCT o_custkey AS student, l_partkey AS course, CASE WH
 completed AS (SELECT student, course FROM enrolment WHERE status = 'completed'),
 current_courses AS (SELECT student, course FROM enrolment WHERE status = 'current'),
 taken AS (SELECT DISTINCT student, course FROM enrolment),
+wishes AS (SELECT DISTINCT student, course FROM (SELECT student, unnest([course, course + 1]) AS course FROM taken) AS w JOIN courses USING (course)),
 offerings AS (
   SELECT l_partkey AS course, l_suppkey AS computer_code, l_returnflag = 'R' AS cancelled, l_suppkey % 3 = 0 AS restricted,
     strftime(l_shipdate, '%d/%m') AS exam_date, ['FN1', 'FN2', 'AN1', 'AN2'][l_linenumber % 4 + 1] AS exam_session,

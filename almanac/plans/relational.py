@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from almanac.functions import fixed, text
 from almanac.operators import policy, requirements, schedule, sequence
 from almanac.operators.quality import all_or_nothing, near_100
+from almanac.operators.rounds import first_survivors, settled
 from almanac.plans import academic
 from almanac.plans.academic import read, with_view
 
@@ -33,8 +34,8 @@ def current(spark: SparkSession, sf_dir: str) -> DataFrame:
     return academic.enrolment(spark, sf_dir).where("status = 'current'").select("student", "course")
 
 
-#: What a request for "red" courses looks at: every student with every course whose title has the word.
-RED = "SELECT student, course FROM students, (SELECT course FROM courses WHERE list_contains(string_split(lower(title), ' '), 'red')) AS c"
+#: The pairs of student and course that eligibility is asked for.
+ASKED = "SELECT student, course FROM wishes"
 
 
 def red_courses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,25 +64,37 @@ SELECT student, course, title, units, computer_code, round(5.0::DOUBLE + ln(6::D
   CAST(row_number() OVER (PARTITION BY student ORDER BY course) AS INT) AS rank
 FROM kept QUALIFY rank <= {fixed.DEFAULT_RESULTS}"""))
 def recommend_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every student, the eight best courses that match "red", with all eligibility rules."""
+    """For every student, the eight best courses that match "red", with all eligibility rules.
+
+    What a student may take by year and units depends on two small numbers, so
+    the courses are listed once for each pair of them, in order. Each student
+    then goes down one list until eight courses pass the student's own checks.
+    """
     v = academic
     offerings = v.offerings(spark, sf_dir)
     chosen = sequence.first_wins(offerings.where("NOT cancelled"), ["course"], ["ordinal"])
     facts = red_courses(spark, sf_dir).join(policy.offered(offerings), "course").join(chosen.select("course", "computer_code", "restricted"), "course")
-    everyone = v.students(spark, sf_dir)
-    allowed = policy.batch_allows(F.col("all_restricted"), F.col("admission_year")) & policy.batch_allows(F.col("restricted"), F.col("admission_year"))
-    fits = F.col("existing_units") + F.col("units") <= policy.unit_limit(F.col("degree_level"))
-    # Courses are cut by keyword before they meet the students.
-    pairs = everyone.join(facts, allowed & fits).select("student", "course")
-    done, now = completed(spark, sf_dir), current(spark, sf_dir)
-    pairs = policy.not_taken(pairs, done.unionByName(now).distinct())
-    pairs = policy.prerequisites_met(pairs, v.prerequisites(spark, sf_dir), done)
-    pairs = policy.no_equivalent_done(pairs, v.equivalents(spark, sf_dir), done)
-    pairs = schedule.without_exam_clash(pairs, chosen, now, offerings)
     score = F.round(F.lit(5.0) + F.log1p(F.lit(5.0)) / 10, 2).alias("score")
-    rows = pairs.join(facts.select("course", "title", "units", "computer_code"), "course").select("student", "course", "title", "units", "computer_code", score)
-    place = F.row_number().over(Window.partitionBy("student").orderBy(F.desc("score"), "course"))
-    return rows.withColumn("rank", place).where(F.col("rank") <= fixed.DEFAULT_RESULTS)
+    facts = settled(facts.select("course", "title", "units", "computer_code", score, (F.col("all_restricted") | F.col("restricted")).alias("reserved")))
+    everyone = v.students(spark, sf_dir).select(
+        "student", F.col("admission_year").eqNullSafe(F.lit(fixed.RESTRICTED_YEAR)).alias("newcomer"), (policy.unit_limit(F.col("degree_level")) - F.col("existing_units")).alias("room"),
+    )
+    most = max(*fixed.UNIT_LIMIT.values(), fixed.UNIT_LIMIT_OTHER)
+    for_whom = F.when(F.col("reserved"), F.array(F.lit(True))).otherwise(F.array(F.lit(True), F.lit(False)))
+    lists = facts.select("course", "score", F.explode(for_whom).alias("newcomer"), "units").select("course", "score", "newcomer", F.explode(F.sequence(F.col("units"), F.lit(most))).alias("room"))
+    lists = settled(lists.withColumn("place", F.row_number().over(Window.partitionBy("newcomer", "room").orderBy(F.desc("score"), "course"))))
+    done, now = settled(completed(spark, sf_dir)), settled(current(spark, sf_dir))
+    taken = done.unionByName(now).distinct()
+
+    def survive(pairs: DataFrame) -> DataFrame:
+        kept = policy.not_taken(pairs, taken)
+        kept = policy.prerequisites_met(kept, v.prerequisites(spark, sf_dir), done)
+        kept = policy.no_equivalent_done(kept, v.equivalents(spark, sf_dir), done)
+        return schedule.without_exam_clash(kept, chosen, now, offerings)
+
+    best = first_survivors(everyone, lists, ["newcomer", "room"], survive, fixed.DEFAULT_RESULTS)
+    rank = F.row_number().over(Window.partitionBy("student").orderBy("place")).alias("rank")
+    return best.join(facts, "course").select("student", "course", "title", "units", "computer_code", "score", rank)
 
 
 @query(with_view(" SELECT course, computer_code, day, period FROM offerings WHERE NOT cancelled QUALIFY row_number() OVER (PARTITION BY course ORDER BY ordinal) = 1"))
@@ -106,24 +119,20 @@ def longest_title_override(spark: SparkSession, sf_dir: str) -> DataFrame:
     return large.select(F.col("p_partkey").alias("course"), "title")
 
 
-@query(with_view(f" SELECT student, course FROM ({RED}) AS p WHERE NOT EXISTS (SELECT 1 FROM taken t WHERE t.student = p.student AND t.course = p.course)"))
+@query(with_view(f" SELECT student, course FROM ({ASKED}) AS p WHERE NOT EXISTS (SELECT 1 FROM taken t WHERE t.student = p.student AND t.course = p.course)"))
 def enrolment_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return policy.not_taken(red_pairs(spark, sf_dir), academic.enrolment(spark, sf_dir).select("student", "course").distinct())
-
-
-def red_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return academic.students(spark, sf_dir).select("student").join(red_courses(spark, sf_dir).select("course"))
+    return policy.not_taken(academic.wishes(spark, sf_dir), academic.enrolment(spark, sf_dir).select("student", "course").distinct())
 
 
 @query(with_view(f""",
 first_open AS (SELECT * FROM offerings WHERE NOT cancelled QUALIFY row_number() OVER (PARTITION BY course ORDER BY ordinal) = 1),
 busy AS (SELECT DISTINCT student, exam_date, exam_session FROM current_courses JOIN offerings USING (course))
-SELECT p.student, p.course FROM ({RED}) AS p
+SELECT p.student, p.course FROM ({ASKED}) AS p
 WHERE NOT EXISTS (SELECT 1 FROM first_open f JOIN busy b USING (exam_date, exam_session) WHERE f.course = p.course AND b.student = p.student)"""))
 def exam_clash_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     offerings = academic.offerings(spark, sf_dir)
     chosen = sequence.first_wins(offerings.where("NOT cancelled"), ["course"], ["ordinal"])
-    return schedule.without_exam_clash(red_pairs(spark, sf_dir), chosen, current(spark, sf_dir), offerings)
+    return schedule.without_exam_clash(academic.wishes(spark, sf_dir), chosen, current(spark, sf_dir), offerings)
 
 
 @query(with_view(" SELECT course, title FROM courses WHERE EXISTS (SELECT 1 FROM offerings o WHERE o.course = courses.course AND NOT o.cancelled)"))
@@ -132,28 +141,17 @@ def offered_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return academic.courses(spark, sf_dir).join(open_now, "course", "left_semi").select("course", "title")
 
 
-@query(with_view(f""" SELECT student, course FROM ({RED}) AS p
+@query(with_view(f""" SELECT student, course FROM ({ASKED}) AS p
 WHERE NOT EXISTS (SELECT 1 FROM prereq q LEFT JOIN completed d ON d.course = q.needs AND d.student = p.student WHERE q.course = p.course AND d.course IS NULL)"""))
 def prerequisite_division(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return policy.prerequisites_met(red_pairs(spark, sf_dir), academic.prerequisites(spark, sf_dir), completed(spark, sf_dir))
-
+    return policy.prerequisites_met(academic.wishes(spark, sf_dir), academic.prerequisites(spark, sf_dir), completed(spark, sf_dir))
 
-@query(with_view(""" SELECT course, string_agg(CAST(needs AS VARCHAR), ',' ORDER BY needs) AS missing, count(*) AS n_missing
-FROM prereq WHERE NOT EXISTS (SELECT 1 FROM completed d WHERE d.course = needs AND d.student = 1) GROUP BY course"""))
-def missing_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sorted prerequisites that the first student lacks, for every course; missing_lists_all takes the planned courses of all students."""
-    one = completed(spark, sf_dir).where("student = 1")
-    pairs = academic.courses(spark, sf_dir).select(F.lit(1).cast("long").alias("student"), "course")
-    lacking = policy.missing_prerequisites(pairs, academic.prerequisites(spark, sf_dir), one)
-    needs = F.sort_array(F.collect_set("needs"))
-    return lacking.groupBy("course").agg(F.array_join(needs, ",").alias("missing"), F.count_distinct("needs").alias("n_missing"))
 
-
-@query(with_view(f""" SELECT student, course FROM ({RED}) AS p
+@query(with_view(f""" SELECT student, course FROM ({ASKED}) AS p
 WHERE NOT EXISTS (SELECT 1 FROM equivalents e1 JOIN equivalents e2 ON e1.grp = e2.grp AND e1.course <> e2.course JOIN completed d ON d.course = e2.course
   WHERE e1.course = p.course AND d.student = p.student)"""))
 def equivalence_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return policy.no_equivalent_done(red_pairs(spark, sf_dir), academic.equivalents(spark, sf_dir), completed(spark, sf_dir))
+    return policy.no_equivalent_done(academic.wishes(spark, sf_dir), academic.equivalents(spark, sf_dir), completed(spark, sf_dir))
 
 
 @query(with_view(""" SELECT s.admission_year, o.course FROM (SELECT DISTINCT admission_year FROM students) AS s,
@@ -191,19 +189,19 @@ def requirement_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_view(f""" SELECT p.student, p.course, coalesce(bool_or(c.category = 'CDC'), false) AS is_cdc, coalesce(bool_or(c.category = 'DEL'), false) AS is_del,
   EXISTS (SELECT 1 FROM humanities h WHERE h.course = p.course) AS is_huel
-FROM ({RED}) AS p JOIN students s USING (student) LEFT JOIN categories c ON c.programme = s.programme AND c.course = p.course GROUP BY p.student, p.course"""))
+FROM ({ASKED}) AS p JOIN students s USING (student) LEFT JOIN categories c ON c.programme = s.programme AND c.course = p.course GROUP BY p.student, p.course"""))
 def category_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = red_pairs(spark, sf_dir).join(academic.students(spark, sf_dir).select("student", "programme"), "student")
+    pairs = academic.wishes(spark, sf_dir).join(academic.students(spark, sf_dir).select("student", "programme"), "student")
     return requirements.membership(pairs, academic.categories(spark, sf_dir), academic.humanities(spark, sf_dir)).select("student", "course", "is_cdc", "is_del", "is_huel")
 
 
-@query(with_view(PROGRESS_SQL + f""" SELECT p.student, p.course FROM ({RED}) AS p JOIN students s USING (student)
+@query(with_view(PROGRESS_SQL + f""" SELECT p.student, p.course FROM ({ASKED}) AS p JOIN students s USING (student)
 WHERE NOT EXISTS (SELECT 1 FROM categories c WHERE c.programme = s.programme AND c.course = p.course AND category = 'CDC')
   AND NOT (EXISTS (SELECT 1 FROM categories c WHERE c.programme = s.programme AND c.course = p.course AND category = 'DEL')
     AND EXISTS (SELECT 1 FROM progress g WHERE g.student = p.student AND g.category = 'DEL' AND remaining > 0))
   AND NOT (EXISTS (SELECT 1 FROM humanities h WHERE h.course = p.course) AND EXISTS (SELECT 1 FROM progress g WHERE g.student = p.student AND g.category = 'HUEL' AND remaining > 0))"""))
 def open_elective_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = red_pairs(spark, sf_dir).join(academic.students(spark, sf_dir).select("student", "programme"), "student")
+    pairs = academic.wishes(spark, sf_dir).join(academic.students(spark, sf_dir).select("student", "programme"), "student")
     rows = requirements.membership(pairs, academic.categories(spark, sf_dir), academic.humanities(spark, sf_dir), progress_rows(spark, sf_dir))
     return rows.where("is_opel").select("student", "course")
 
@@ -223,7 +221,7 @@ def planned(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_view(PLANNED_SQL + """ SELECT student, course, string_agg(CAST(needs AS VARCHAR), ',' ORDER BY needs) AS missing, count(*) AS n_missing
 FROM (SELECT DISTINCT p.student, p.course, q.needs FROM planned p JOIN prereq q USING (course) WHERE NOT EXISTS (SELECT 1 FROM completed d WHERE d.student = p.student AND d.course = q.needs)) AS x
 GROUP BY student, course"""))
-def missing_lists_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def missing_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sorted prerequisites that each student lacks for each planned course."""
     pairs = planned(spark, sf_dir).select("student", "course").distinct()
     lacking = policy.missing_prerequisites(pairs, academic.prerequisites(spark, sf_dir), completed(spark, sf_dir))
@@ -258,31 +256,14 @@ def unit_limit_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_view(""",
 occupied AS (SELECT student, list(DISTINCT day * 100 + period) AS busy FROM current_courses JOIN offerings USING (course) GROUP BY student),
-slots AS (SELECT course, computer_code, list(DISTINCT day * 100 + period) AS slots, bool_or(day = 4) AS friday, bool_or(period = 1) AS early FROM offerings WHERE course % 40 = 1 GROUP BY ALL)
-SELECT student, course, count(*) AS n_timed, count(*) FILTER (WHERE NOT list_has_any(slots, busy) AND NOT friday AND NOT early) AS n_feasible
-FROM occupied, slots GROUP BY student, course"""))
-def slot_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feasible sections of every fortieth course for students with occupied slots, Fridays free and no first period; slot_overlap_all takes all courses."""
-    return overlaps(spark, sf_dir, F.col("course") % 40 == 1)
-
-
-SLOTS_ALL_SQL = """,
-occupied AS (SELECT student, list(DISTINCT day * 100 + period) AS busy FROM current_courses JOIN offerings USING (course) GROUP BY student),
 slots AS (SELECT course, computer_code, list(DISTINCT day * 100 + period) AS slots, bool_or(day = 4) AS friday, bool_or(period = 1) AS early FROM offerings GROUP BY ALL)
-SELECT student, course, count(*) AS n_timed, count(*) FILTER (WHERE NOT list_has_any(slots, busy) AND NOT friday AND NOT early) AS n_feasible
-FROM occupied, slots GROUP BY student, course"""
-
-
-@query(with_view(SLOTS_ALL_SQL))
-def slot_overlap_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same for every course."""
-    return overlaps(spark, sf_dir, F.lit(True))
-
-
-def overlaps(spark: SparkSession, sf_dir: str, wanted: Column) -> DataFrame:
+SELECT student, course, count(*) AS n_timed, count(*) FILTER (WHERE NOT coalesce(list_has_any(slots, busy), false) AND NOT friday AND NOT early) AS n_feasible
+FROM wishes JOIN slots USING (course) LEFT JOIN occupied USING (student) GROUP BY student, course"""))
+def slot_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of the courses that students look at which fit beside their current ones, with Fridays free and no first period."""
     slots = academic.offerings(spark, sf_dir).groupBy("course", "computer_code").agg(F.collect_set("slot").alias("slots"))
     busy = schedule.occupied(current(spark, sf_dir), slots)
-    rows = busy.join(slots.where(wanted)).withColumn("free_day", F.lit(4)).withColumn("no_early_classes", F.lit(True))
+    rows = academic.wishes(spark, sf_dir).join(slots, "course").join(busy, "student", "left").withColumn("free_day", F.lit(4)).withColumn("no_early_classes", F.lit(True))
     placed = schedule.feasible_sections(rows)
     return placed.groupBy("student", "course").agg(F.count_if("timed").alias("n_timed"), F.count_if("feasible").alias("n_feasible"))
 
@@ -386,24 +367,12 @@ def dataset_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts[0].join(counts[1]).join(counts[2])
 
 
-@query(with_view(""" SELECT student, string_agg(CAST(course AS VARCHAR), ',' ORDER BY course) AS either,
-  (SELECT count(*) FROM completed d WHERE d.student = t.student AND EXISTS (SELECT 1 FROM current_courses c WHERE c.student = d.student AND c.course = d.course)) AS n_both
-FROM taken t WHERE student % 10 = 3 GROUP BY student"""))
-def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Union and intersection of a student's completed and current courses, as sets, for one student in ten; set_operations_all takes all."""
-    return course_sets(academic.enrolment(spark, sf_dir).where("student % 10 = 3"))
-
-
 @query(with_view(""" SELECT student, string_agg(CAST(course AS VARCHAR), ',' ORDER BY course) AS either,
   (SELECT count(*) FROM completed d WHERE d.student = t.student AND EXISTS (SELECT 1 FROM current_courses c WHERE c.student = d.student AND c.course = d.course)) AS n_both
 FROM taken t GROUP BY student"""))
-def set_operations_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same for every student."""
-    return course_sets(academic.enrolment(spark, sf_dir))
-
-
-def course_sets(rows: DataFrame) -> DataFrame:
-    sets = rows.groupBy("student").agg(
+def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Union and intersection of each student's completed and current courses, as sets."""
+    sets = academic.enrolment(spark, sf_dir).groupBy("student").agg(
         F.collect_set(F.when(F.col("status") == "completed", F.col("course"))).alias("done"), F.collect_set(F.when(F.col("status") == "current", F.col("course"))).alias("now"),
     )
     either = F.array_join(F.sort_array(F.array_union("done", "now")), ",")

@@ -6,8 +6,14 @@ from almanac.operators import evaltable, handouts
 from almanac.sources import ingest
 
 
-def values(text, what="weight"):
-    return [getattr(r, what) for r in evaltable.evaluation(text)]
+def evaluated(spark, text):
+    rows = evaltable.evaluation_rows(spark.createDataFrame([("a", text)], "doc_id string, text string"), "doc_id")
+    return rows.orderBy("row_number").collect()
+
+
+def read(spark, reader, block):
+    lines = evaltable.table_lines(spark.createDataFrame([("a", block)], "doc_id string, block string"), "doc_id")
+    return evaltable.READERS[reader](lines, "doc_id").orderBy("row_number").collect()
 
 
 OUTLINE = """Course No. : CS F301
@@ -79,28 +85,64 @@ def test_little_text_needs_ocr(parsed):
     assert "e" in parsed[0] or True
 
 
-def test_durations_and_dates_are_no_weights():
+def test_durations_and_dates_are_no_weights(spark):
     head = "Evaluation Scheme:\nComponent      Duration    Weightage\n"
-    assert values(head + "Quiz           90 min\nProject        3 h            60%\n") == [None, 60.0] or values(head + "Quiz           90 min\nProject        3 h            60%\n") == [60.0]
-    assert [r.weight for r in evaltable.named_rows("Mid Semester Test 90 minutes 30 12/10/2026\n")] == [30.0]
-    assert evaltable.named_rows("Quiz 30 minutes\n") == []
-    assert evaltable.named_rows("Quiz 10 20\n") == []
-
-
-def test_marks_need_a_declared_total():
-    block = "Component   Duration   Marks (200)\n"
-    assert evaltable.valued("Quiz", 60.0, "", block).weight == 30.0
-    assert evaltable.valued("Quiz", 60.0, "", "Component  Duration  Marks\n").weight is None
-    assert evaltable.valued("Quiz", 60.0, "", "Component  Duration  Weightage\n").marks is None
-
-
-def test_readers_of_flattened_tables():
-    assert [(r.name, r.weight) for r in evaltable.indexed_rows("1. Quiz\n  20\n2. Project\n  30\n")] == [("Quiz", 20.0), ("Project", 30.0)]
-    assert [(r.name, r.weight) for r in evaltable.loose_rows("Quiz 30 min 10+5\nLab 20\n")] == [("Quiz", 15.0), ("Lab", 20.0)]
-    assert [(r.name, r.weight) for r in evaltable.multiline_rows("Mid Sem Test\n 30 %\nSeminar 20\nSeminar 40\n")] == [("Mid Sem Test", 30.0), ("Seminar", 20.0)]
-    assert [r.weight for r in evaltable.bullet_rows("● 10% Viva:\n● 90 % Report\n")] == [10.0, 90.0]
-    assert [r.weight for r in evaltable.numbered_percentages("1. Quiz 20%\n2. Lab 10% and 5%\n")] == [20.0]
-    assert [r.weight for r in evaltable.flat_rows("Quiz 30 min 15\n")] == [15.0]
+    assert [r.weight for r in evaluated(spark, head + "Quiz           90 min\nProject        3 h            60%\n")] == [None, 60.0]
+    assert [r.weight for r in read(spark, "named", "Mid Semester Test 90 minutes 30 12/10/2026\n")] == [30.0]
+    assert read(spark, "named", "Quiz 30 minutes\n") == read(spark, "named", "Quiz 10 20\n") == []
+    share = read(spark, "named", "Quiz 10 marks 20%\n")
+    assert [(r.weight, r.weight_basis) for r in share] == [(20.0, "explicit_percentage")]
+
+
+def test_marks_need_a_declared_total(spark):
+    body = "Quiz          1 h       60\nProject       -         140\n"
+    for head, weights, marks in (("Marks (200)", [30, 70], [60, 140]), ("Marks", [None, None], [60, 140]), ("Weightage", [60, 140], [None, None])):
+        rows = evaluated(spark, f"Evaluation Scheme:\nComponent     Duration  {head}\n{body}")
+        assert ([r.weight for r in rows], [r.marks for r in rows]) == (weights, marks)
+
+
+def test_readers_of_flattened_tables(spark):
+    def pairs(reader, block):
+        return [(r.name, r.weight) for r in read(spark, reader, block)]
+
+    assert pairs("sequenced", "1. Quiz\n  20\n2. Project\n  30\n") == [("Quiz", 20.0), ("Project", 30.0)]
+    assert pairs("sequenced", "Quiz\n1. 20\nProject\n2. 30\n") == [("Quiz", 20.0), ("Project", 30.0)]
+    assert pairs("loose", "Quiz 30 min 10+5\nLab 20\n") == [("Quiz", 15.0), ("Lab", 20.0)]
+    assert pairs("carried", "Mid Sem Test\n 30 %\nSeminar 20\nSeminar 40\n") == [("Mid Sem Test", 30.0), ("Seminar", 20.0)]
+    assert pairs("bulleted", "● 10% Viva:\n● 90 % Report\n") == [("Viva", 10.0), ("Report", 90.0)]
+    assert pairs("aligned", "Component  Weightage  Remarks\nEssay   40   closed\nTalk   60   open\nTotal   100  x\nEssay   1   no\n") == [("Essay", 40.0), ("Talk", 60.0)]
+
+
+def test_names_over_several_lines(spark):
+    block = """Evaluation Scheme:
+Component              Duration     Weightage (%)     Remarks
+Mid-Semester           90 min           30            Closed
+Test
+Project report and     -                30            Open
+presentation
+Lab work /
+Viva                   -                40            Open
+* The project will be judged by two teachers and carries 12 more
+Quiz                   -                9             no
+"""
+    assert [(r.name, r.weight) for r in evaluated(spark, block)] == [("Mid-Semester Test", 30.0), ("Project report and presentation", 30.0), ("Lab work / Viva", 40.0)]
+
+
+def test_which_reader_is_believed(spark):
+    def reader_of(counts):
+        rows = [("a", r, w) for r, weights in counts.items() for w in weights]
+        return {r["reader"] for r in evaltable.arbitrated(spark.createDataFrame(rows, "doc_id string, reader string, weight double"), "doc_id").collect()}
+
+    assert reader_of({"named": [60.0, 40.0], "columned": [60.0]}) == {"named"}
+    assert reader_of({"named": [60.0, 40.0], "columned": [50.0, 50.0]}) == {"columned"}
+    assert reader_of({"sequenced": [1.0, 2.0], "columned": [60.0]}) == {"sequenced"}
+    assert reader_of({"sequenced": [50.0, 50.0], "columned": [60.0, 50.0]}) == {"sequenced"}
+    assert reader_of({"loose": [50.0, 50.0], "carried": [60.0, 50.0], "bulleted": [1.0]}) == {"loose"}
+
+
+def test_texts_without_a_table(spark):
+    for text in (None, "", "Evaluation Scheme:\n", "Course Title : Heat\n", "Evaluation Scheme:\nComponent   Weightage\nQuiz\nLab\nViva\n"):
+        assert evaluated(spark, text) == []
 
 
 def test_page_furniture_keeps_lengths(spark):

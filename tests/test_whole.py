@@ -9,14 +9,14 @@ def ids(rows, column="doc_id"):
 
 def test_text_queries_take_every_document(spark, sf_dir):
     every = ids(academic.read(spark, sf_dir, "documents"))
-    for name in ("tokens_distinct_all", "two_column_split_all", "sentence_clauses_all"):
+    for name in ("tokens_distinct", "two_column_split", "sentence_clauses"):
         assert ids(registry.QUERIES[name](spark, sf_dir)) == every
 
 
 def test_student_and_course_queries_take_all(spark, sf_dir):
-    assert ids(registry.QUERIES["slot_overlap_all"](spark, sf_dir), "course") == ids(academic.offerings(spark, sf_dir), "course")
-    assert ids(registry.QUERIES["set_operations_all"](spark, sf_dir), "student") == ids(academic.enrolment(spark, sf_dir), "student")
-    assert len(ids(registry.QUERIES["missing_lists_all"](spark, sf_dir), "student")) > 1
+    assert ids(registry.QUERIES["slot_overlap"](spark, sf_dir), "course") == ids(academic.wishes(spark, sf_dir).join(academic.offerings(spark, sf_dir).select("course"), "course", "left_semi"), "course")
+    assert ids(registry.QUERIES["set_operations"](spark, sf_dir), "student") == ids(academic.enrolment(spark, sf_dir), "student")
+    assert len(ids(registry.QUERIES["missing_lists"](spark, sf_dir), "student")) > 1
 
 
 def test_texts_with_accents_and_without_a_mark_at_the_end(spark):
