@@ -15,9 +15,13 @@ def not_taken(pairs: DataFrame, taken: DataFrame) -> DataFrame:
     return pairs.join(taken, ["student", "course"], "left_anti")
 
 
-def no_equivalent_done(pairs: DataFrame, groups: DataFrame, completed: DataFrame) -> DataFrame:
-    """Pairs without an equivalent, other course completed. ``groups`` (group, course)."""
-    done = completed.join(groups, "course").select("student", "group", F.col("course").alias("other"))
+def done_in_groups(groups: DataFrame, completed: DataFrame) -> DataFrame:
+    """(student, group, other): completed courses by the group of equivalents they are in. ``groups`` (group, course)."""
+    return completed.join(groups, "course").select("student", "group", F.col("course").alias("other"))
+
+
+def no_equivalent_done(pairs: DataFrame, groups: DataFrame, done: DataFrame) -> DataFrame:
+    """Pairs without an equivalent, other course in ``done`` (see ``done_in_groups``)."""
     blocked = pairs.join(groups, "course").join(done, ["student", "group"]).where("course <> other").select("student", "course").distinct()
     return pairs.join(blocked, ["student", "course"], "left_anti")
 

@@ -149,13 +149,13 @@ def recommend(tables: dict[str, DataFrame], requests: DataFrame, limit: int = fi
     # A query with keywords meets courses by token; only one without keywords meets all courses.
     by_token = courses.select("course", F.explode("descriptive_tokens").alias("token"))
     with_words = asked.where("size(p.keywords) > 0").select("student", F.explode("p.keywords").alias("token")).join(by_token, "token").select("student", "course").distinct()
-    without = asked.where("size(p.keywords) = 0").select("student").distinct().crossJoin(courses.select("course"))
+    without = asked.where("size(p.keywords) = 0").select("student").distinct().crossJoin(courses.select("course"))  # the query asks for every course
     pairs = with_words.unionByName(without)
     pairs = policy.not_taken(pairs, t["completed"].unionByName(t["current"]).distinct())
-    pairs = policy.no_equivalent_done(pairs, t["groups"], t["completed"])
+    pairs = policy.no_equivalent_done(pairs, t["groups"], policy.done_in_groups(t["groups"], t["completed"]))
     needs = courses.select("course", F.explode("needs").alias("needs"))
     pairs = policy.prerequisites_met(pairs, needs, t["completed"])
-    pairs = schedule.without_exam_clash(pairs, chosen, t["current"], offerings)
+    pairs = schedule.without_exam_clash(pairs, schedule.exam_slots(chosen), schedule.exam_busy(t["current"], offerings))
     rows = pairs.join(courses, "course").join(asked, "student").where(policy.batch_allows(F.col("all_restricted"), F.col("admission_year")))
     rows = rows.where(~F.col("chosen_restricted") | F.col("admission_year").eqNullSafe(F.lit(fixed.RESTRICTED_YEAR)))
     rows = rows.where(F.coalesce("existing_units", F.lit(0)) + F.col("load") <= policy.unit_limit(F.col("degree_level")))

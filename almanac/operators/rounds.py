@@ -24,17 +24,17 @@ def first_survivors(students: DataFrame, lists: DataFrame, keys: Sequence[str],
     """(student, course, place) of each student's first ``k`` courses that ``survive`` keeps.
 
     ``students`` (student, keys) share the ``lists`` (keys, place from 1,
-    course). Each round looks at the next courses, twice as many as before, for
+    course). Each round looks at the next courses, four times as many as before, for
     the students who still lack some; so a student meets about as many courses
     as it takes to find ``k``, not the whole list.
     """
     longest = lists.agg(F.max("place")).first()[0] or 0
-    found, waiting, seen, size = None, students, 0, 2 * k
+    found, waiting, seen, size = None, students, 0, 4 * k
     while True:
         part = lists.where((F.col("place") > seen) & (F.col("place") <= seen + size))
         kept = settled(survive(waiting.join(part, list(keys)).select("student", "course", "place")))
         found = kept if found is None else found.unionByName(kept)
-        seen, size = seen + size, size * 2
+        seen, size = seen + size, size * 4
         if seen >= longest:
             break
         served = found.groupBy("student").agg(F.count("*").alias("n")).where(F.col("n") >= k)

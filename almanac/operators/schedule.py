@@ -6,28 +6,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def exam_slots(offerings: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, kind, date, session) for every exam that a row of ``offerings`` (midsem, compre) states."""
+def exam_slots(offerings: DataFrame) -> DataFrame:
+    """(course, exams): the distinct exam slots that rows of ``offerings`` (course, midsem, compre) state, as texts of kind, date and session."""
     def one(kind: str):
         e = F.col(kind)
-        return F.struct(F.lit(kind).alias("kind"), e["date"].alias("date"), e["session"].alias("session"))
+        return F.when(e["date"].isNotNull(), F.concat_ws("|", F.lit(kind), e["date"], F.coalesce(e["session"], F.lit(""))))
 
-    both = F.filter(F.array(one("midsem"), one("compre")), lambda e: e["date"].isNotNull())
-    return offerings.select(*keys, F.inline(both))
+    each = offerings.select("course", F.explode(F.array_compact(F.array(one("midsem"), one("compre")))).alias("exam"))
+    return each.groupBy("course").agg(F.collect_set("exam").alias("exams"))
 
 
-def without_exam_clash(pairs: DataFrame, chosen: DataFrame, current: DataFrame, offerings: DataFrame) -> DataFrame:
-    """(student, course) pairs whose ``chosen`` offering shares no exam slot with any offering of a current course."""
-    busy = current.join(exam_slots(offerings, ["course"]), "course").select("student", "kind", "date", "session").distinct()
-    wanted = pairs.join(exam_slots(chosen, ["course"]), "course")
-    clashing = wanted.join(busy, ["student", "kind", "date", "session"], "left_semi").select("student", "course").distinct()
-    return pairs.join(clashing, ["student", "course"], "left_anti")
+def exam_busy(current: DataFrame, offerings: DataFrame) -> DataFrame:
+    """(student, busy): the exam slots of all offerings of a student's current courses, no more than the term has."""
+    held = current.select("student", "course").distinct().join(exam_slots(offerings), "course")
+    return held.groupBy("student").agg(F.array_distinct(F.flatten(F.collect_list("exams"))).alias("busy"))
+
+
+def without_exam_clash(pairs: DataFrame, wanted: DataFrame, busy: DataFrame) -> DataFrame:
+    """(student, course) pairs of which no exam slot in ``wanted`` (course, exams) is in ``busy`` (student, busy)."""
+    rows = pairs.join(wanted, "course", "left").join(busy, "student", "left")
+    return rows.where(~F.coalesce(F.arrays_overlap("exams", "busy"), F.lit(False))).select(*pairs.columns)
 
 
 def occupied(current: DataFrame, sections: DataFrame) -> DataFrame:
     """(student, occupied): the sorted slots of all sections of the student's current courses."""
-    slots = current.join(sections, "course").select("student", F.explode("slots").alias("slot")).distinct()
-    return slots.groupBy("student").agg(F.sort_array(F.collect_set("slot")).alias("occupied"))
+    per_course = sections.groupBy("course").agg(F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots")).where("size(slots) > 0")
+    held = current.select("student", "course").distinct().join(per_course, "course")
+    return held.groupBy("student").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("slots")))).alias("occupied"))
 
 
 def feasible_sections(rows: DataFrame, free_day: str = "free_day", no_early: str = "no_early_classes") -> DataFrame:

@@ -83,14 +83,18 @@ def recommend_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     for_whom = F.when(F.col("reserved"), F.array(F.lit(True))).otherwise(F.array(F.lit(True), F.lit(False)))
     lists = facts.select("course", "score", F.explode(for_whom).alias("newcomer"), "units").select("course", "score", "newcomer", F.explode(F.sequence(F.col("units"), F.lit(most))).alias("room"))
     lists = settled(lists.withColumn("place", F.row_number().over(Window.partitionBy("newcomer", "room").orderBy(F.desc("score"), "course"))))
-    done, now = settled(completed(spark, sf_dir)), settled(current(spark, sf_dir))
-    taken = done.unionByName(now).distinct()
+    # What each round needs of a student is made once.
+    done, now = settled(completed(spark, sf_dir)), current(spark, sf_dir)
+    taken = settled(done.unionByName(now).distinct())
+    groups, needs = v.equivalents(spark, sf_dir), v.prerequisites(spark, sf_dir)
+    same, busy = settled(policy.done_in_groups(groups, done)), settled(schedule.exam_busy(now, offerings))
+    wanted = settled(schedule.exam_slots(chosen).join(facts.select("course"), "course", "left_semi"))
 
     def survive(pairs: DataFrame) -> DataFrame:
         kept = policy.not_taken(pairs, taken)
-        kept = policy.prerequisites_met(kept, v.prerequisites(spark, sf_dir), done)
-        kept = policy.no_equivalent_done(kept, v.equivalents(spark, sf_dir), done)
-        return schedule.without_exam_clash(kept, chosen, now, offerings)
+        kept = policy.prerequisites_met(kept, needs, done)
+        kept = policy.no_equivalent_done(kept, groups, same)
+        return schedule.without_exam_clash(kept, wanted, busy)
 
     best = first_survivors(everyone, lists, ["newcomer", "room"], survive, fixed.DEFAULT_RESULTS)
     rank = F.row_number().over(Window.partitionBy("student").orderBy("place")).alias("rank")
@@ -132,7 +136,7 @@ WHERE NOT EXISTS (SELECT 1 FROM first_open f JOIN busy b USING (exam_date, exam_
 def exam_clash_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     offerings = academic.offerings(spark, sf_dir)
     chosen = sequence.first_wins(offerings.where("NOT cancelled"), ["course"], ["ordinal"])
-    return schedule.without_exam_clash(academic.wishes(spark, sf_dir), chosen, current(spark, sf_dir), offerings)
+    return schedule.without_exam_clash(academic.wishes(spark, sf_dir), schedule.exam_slots(chosen), schedule.exam_busy(current(spark, sf_dir), offerings))
 
 
 @query(with_view(" SELECT course, title FROM courses WHERE EXISTS (SELECT 1 FROM offerings o WHERE o.course = courses.course AND NOT o.cancelled)"))
@@ -151,7 +155,8 @@ def prerequisite_division(spark: SparkSession, sf_dir: str) -> DataFrame:
 WHERE NOT EXISTS (SELECT 1 FROM equivalents e1 JOIN equivalents e2 ON e1.grp = e2.grp AND e1.course <> e2.course JOIN completed d ON d.course = e2.course
   WHERE e1.course = p.course AND d.student = p.student)"""))
 def equivalence_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return policy.no_equivalent_done(academic.wishes(spark, sf_dir), academic.equivalents(spark, sf_dir), completed(spark, sf_dir))
+    groups = academic.equivalents(spark, sf_dir)
+    return policy.no_equivalent_done(academic.wishes(spark, sf_dir), groups, policy.done_in_groups(groups, completed(spark, sf_dir)))
 
 
 @query(with_view(""" SELECT s.admission_year, o.course FROM (SELECT DISTINCT admission_year FROM students) AS s,
