@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from almanac.functions import fixed, text
 from almanac.operators import policy, schedule
+from almanac.operators.rounds import settled
 from almanac.operators.sequence import first_wins
 
 STRICT = {"no_attendance": ("attendance_required", "no attendance requirement"), "no_midsem": ("has_midsem", "no mid-semester exam"), "no_compre": ("has_compre", "no comprehensive exam")}
@@ -140,7 +141,7 @@ def recommend(tables: dict[str, DataFrame], requests: DataFrame, limit: int = fi
         .join(open_now, "course").join(catalogue.select("course", F.col("title").alias("listed_title"), "units", "prerequisite_expression", "needs"), "course", "left")
         .join(facts, "course", "left")
         .where("NOT (coalesce(prerequisite_expression, '') <> '' AND coalesce(size(needs), 0) <= 0)")
-        .withColumn("title", F.coalesce(F.nullif("offered_title", F.lit("")), F.nullif("listed_title", F.lit("")), "course"))
+        .withColumn("title", F.coalesce(F.nullif("offered_title", F.lit("")), F.nullif("listed_title", F.lit("")), F.col("course").cast("string")))
         .withColumn("load", F.coalesce(F.nullif("offered_u", F.lit(0)), F.nullif("units", F.lit(0)), F.lit(0)))
         .withColumn("title_tokens", text.tokens(F.col("title")))
         .withColumn("descriptive_tokens", text.tokens(F.concat_ws(" ", "title", "described")))
@@ -163,7 +164,7 @@ def recommend(tables: dict[str, DataFrame], requests: DataFrame, limit: int = fi
     kind = F.col("p.category")
     verified = F.when(kind == "cdc", F.col("known") & F.col("is_cdc")).when(kind == "del", F.col("known") & F.col("is_del")).when(kind == "huel", F.col("is_huel")).when(kind == "opel", F.col("is_opel"))
     rows = rows.where(kind.isNull() | verified)
-    rows = rows.persist()  # read twice below, and costly to derive
+    rows = settled(rows)  # read twice below, and costly to derive
     slots = t["sections"].withColumn("slots", text.meeting_slots(F.col("meeting_text")))
     busy = schedule.occupied(t["current"], slots)
     held = rows.select("student", "course", F.col("p.free_day").alias("free_day"), F.col("p.no_early_classes").alias("no_early_classes")).join(busy, "student", "left").join(slots, "course")
@@ -174,7 +175,7 @@ def recommend(tables: dict[str, DataFrame], requests: DataFrame, limit: int = fi
         F.slice(F.array_sort(F.collect_list(F.when(F.col("feasible"), listed))), 1, 4).alias("sections"),
     )
     rows = rows.join(per_pair, ["student", "course"], "left").fillna(0, ["n_feasible", "n_timed"])
-    scored = matched(rows).persist()  # both results come from it
+    scored = settled(matched(rows))  # both results come from it
     unknown = scored.select("student", F.explode("unknown").alias("label")).groupBy("student", "label").agg(F.count("*").alias("n"))
     kept = scored.where("NOT rejected")
     eligibility = F.array_compact(F.array(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from almanac.plans import relational, textual
+from almanac.plans import advice, relational, textual
 
-QUERIES = {**relational.QUERIES, **textual.QUERIES}
-ORACLE_SQL = {**relational.ORACLE_SQL, **textual.ORACLE_SQL}
+QUERIES = {**relational.QUERIES, **textual.QUERIES, **advice.QUERIES}
+ORACLE_SQL = {**relational.ORACLE_SQL, **textual.ORACLE_SQL, **advice.ORACLE_SQL}
