@@ -44,8 +44,8 @@ KINDS = ("card", "iban", "phone", "ssn", "ip", "date", "email", "access_key", "s
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 HEX = DIGITS + "abcdef"
 
-#: Where a card number may end: before no word character, and before a hyphen only if a last short group follows, such as a CVV.
-CARD_END = r"(?:(?![\w-])|(?=-\d{3,4}(?![\w-])))"
+#: Where a card number may end: before no word character, and before a hyphen only if no word or a last short group follows, such as a CVV.
+CARD_END = r"(?:(?!\w|-\w)|(?=-\d{3,4}(?![\w-])))"
 #: Customary groups of card numbers, by one separator.
 GROUPED = "|".join(rf"\d{{4}}(?:{s}\d{{4}}){{2}}{s}(?:\d{{4}}{s}\d{{1,3}}|\d{{1,4}}){CARD_END}|\d{{4}}{s}\d{{6}}{s}\d{{4,5}}{CARD_END}" for s in " -")
 PATTERNS = {
@@ -211,9 +211,20 @@ def access_key(f: Feistel, s: str) -> str | None:
     return s[:4] + symbols(f, s[4:], "access", lambda _: UPPER + DIGITS)
 
 
+#: Labels after which even a plain word is a secret, unless prose says it of passwords.
+PASSWORD = re.compile(r"(?i)passw|pwd")
+PROSE = frozenset("required optional protected incorrect invalid expired changed reset needed missing forgotten hidden unknown default policy manager recovery generator strength rotation".split())
+
+
+def is_prose(text: str, label: int, start: int, end: int) -> bool:
+    """Whether the value after a label is a word of prose, as in "password: required", or the start of an address."""
+    word = text[start:end].rstrip("._/-")
+    if not (word.isalpha() and (word.islower() or word.istitle())):
+        return False
+    return not PASSWORD.match(text, label) or word.lower() in PROSE or text[end : end + 1] == "@"
+
+
 def secret(f: Feistel, s: str) -> str | None:
-    if s.isalpha() and (s.islower() or s.istitle()):  # a word, as in "password: required"
-        return None
     return symbols(f, s, "secret", (lambda _: HEX) if set(s) <= set(HEX) else None)
 
 
@@ -238,7 +249,7 @@ def customary(text: str, feistel: Feistel) -> list[tuple[int, int, str, str]]:
                 if e < first.end() and not SINGLE[kind].fullmatch(text, s, e):
                     continue
                 begin = first.start("value") if kind == "secret" else s
-                new = RULES[kind](feistel, text[begin:e])
+                new = None if kind == "secret" and is_prose(text, s, begin, e) else RULES[kind](feistel, text[begin:e])
                 if new is not None:
                     found.append((begin, e, kind, new))
                     at = e
