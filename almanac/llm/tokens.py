@@ -70,23 +70,47 @@ def counter(vocabulary: str) -> Counter:
     return Counter(vocabulary)
 
 
+#: A leaf: its text, and the characters and tokens of each pre-token in it.
+Leaf = tuple[str, list[tuple[int, int]]]
+
+
+def leaves_of(text: str, pairs: list[tuple[int, int]], per: int = LEAF) -> list[Leaf]:
+    """Leaves of ``per`` pre-tokens, each with its part of the text."""
+    out, at = [], 0
+    for k in range(0, len(pairs), per):
+        part = pairs[k : k + per]
+        end = at + sum(c for c, _ in part)
+        out.append((text[at:end], part))
+        at = end
+    return out
+
+
 class CountedText:
-    """A text with a segment tree over its pre-tokens."""
+    """A text, held in the leaves of a segment tree over its pre-tokens.
+
+    An edit reads and writes the leaves that it touches and the path above
+    them, so its cost does not grow with the text; only when a leaf has
+    grown to ``4 * LEAF`` pre-tokens are large leaves split and the sums
+    above all leaves made anew.
+    """
 
     def __init__(self, text: str | None, count: Counter):
-        self.text, self.count = text or "", count
+        self.count = count
         self.encoded = 0  # characters that edits made it encode anew
-        tokens = SPLIT.findall(self.text)
-        self.build([[(len(t), n) for t, n in zip(tokens[i : i + LEAF], counts, strict=True)] for i in range(0, len(tokens), LEAF) for counts in [count.all(tokens[i : i + LEAF])]])
+        self.start_with(text or "")
 
-    def build(self, leaves: list[list[tuple[int, int]]]) -> None:
+    def start_with(self, text: str) -> None:
+        tokens = SPLIT.findall(text)
+        self.build(leaves_of(text, list(zip(map(len, tokens), self.count.all(tokens), strict=True))))
+
+    def build(self, leaves: list[Leaf]) -> None:
         self.leaves = leaves
         self.size = 1
         while self.size < len(leaves):
             self.size *= 2
         self.chars, self.tokens = [0] * (2 * self.size), [0] * (2 * self.size)
-        for i, leaf in enumerate(leaves):
-            self.chars[self.size + i], self.tokens[self.size + i] = sum(c for c, _ in leaf), sum(n for _, n in leaf)
+        for i, (text, pairs) in enumerate(leaves):
+            self.chars[self.size + i], self.tokens[self.size + i] = len(text), sum(n for _, n in pairs)
         for i in range(self.size - 1, 0, -1):
             self.pull(i)
 
@@ -98,6 +122,10 @@ class CountedText:
     def total(self) -> int:
         return self.tokens[1]
 
+    @property
+    def text(self) -> str:
+        return "".join(text for text, _ in self.leaves)
+
     def leaf_at(self, place: int) -> tuple[int, int]:
         """The leaf that holds the character at ``place``, and where the leaf starts."""
         i, start = 1, 0
@@ -110,64 +138,71 @@ class CountedText:
 
     def edit(self, start: int, removed: int, inserted: str) -> int:
         """Replace ``removed`` characters from ``start`` by ``inserted``; the new token count."""
-        old = self.text
-        start = max(0, min(start, len(old)))
-        end = min(len(old), start + max(0, removed))
-        self.text = old[:start] + inserted + old[end:]
+        length = self.chars[1]
+        start = max(0, min(start, length))
+        end = min(length, start + max(0, removed))
         if not self.leaves:
-            self.__init__(self.text, self.count)
-            self.encoded += len(self.text)
+            self.start_with(inserted)
+            self.encoded += len(inserted)
             return self.total
         first, at = self.leaf_at(max(0, start - LOOKAHEAD - 1))
         while first and at > start - LOOKAHEAD:
             first -= 1
             at -= self.chars[self.size + first]
         kept, skip = at, 0
-        for chars, _ in self.leaves[first]:
+        for chars, _ in self.leaves[first][1]:
             if kept + chars > start - LOOKAHEAD:
                 break
             kept, skip = kept + chars, skip + 1
-        # Old boundaries at or after the edit's end, found as they are needed.
+        # The new text from ``kept`` on, as far as leaves up to ``read`` tell it.
+        old, read = self.leaves[first][0][kept - at :], first
+        while kept + len(old) < end:
+            read += 1
+            old += self.leaves[read][0]
+        window, step = old[: start - kept] + inserted + old[end - kept :], 1
         shift = len(inserted) - (end - start)
-        last, place = first, at
-        i, leaf_start = skip, at
-        place = kept
+        # Old boundaries at or after the edit's end, found as they are needed.
+        last, i, place, leaf_start = first, skip, kept, at
         fresh: list[tuple[int, int]] = []
         position = kept
         while True:
             while place + shift < position or place < end:
-                if i >= len(self.leaves[last]):
-                    leaf_start += self.chars[self.size + last]
+                if i >= len(self.leaves[last][1]):
                     if last + 1 >= len(self.leaves):
                         break
+                    leaf_start += self.chars[self.size + last]
                     last, i = last + 1, 0
                     continue
-                place += self.leaves[last][i][0]
+                place += self.leaves[last][1][i][0]
                 i += 1
-            if place >= end and place + shift == position and position >= start + len(inserted):
+            if place >= end and place + shift == position:
                 break
-            m = SPLIT.match(self.text, position)
+            m = SPLIT.match(window, position - kept)
+            while (m is None or m.end() + LOOKAHEAD > len(window)) and read + 1 < len(self.leaves):
+                window += "".join(text for text, _ in self.leaves[read + 1 : read + 1 + step])
+                read, step = min(read + step, len(self.leaves) - 1), 2 * step
+                m = SPLIT.match(window, position - kept)
             if m is None:
                 break
-            fresh.append((m.end() - position, self.count(m.group())))
-            self.encoded += m.end() - position
-            position = m.end()
-        self.splice(first, skip, last, i, fresh)
+            fresh.append((m.end() - m.start(), self.count(m.group())))
+            self.encoded += m.end() - m.start()
+            position = kept + m.end()
+        text = self.leaves[first][0][: kept - at] + window[: position - kept] + self.leaves[last][0][place - leaf_start :]
+        self.splice(first, last, text, self.leaves[first][1][:skip] + fresh + self.leaves[last][1][i:])
         return self.total
 
-    def splice(self, first: int, skip: int, last: int, i: int, fresh: list[tuple[int, int]]) -> None:
-        """Put ``fresh`` in place of the pre-tokens from (first, skip) up to (last, i)."""
-        merged = self.leaves[first][:skip] + fresh + self.leaves[last][i:]
-        if len(merged) > 4 * LEAF * (last - first + 1):
-            parts = [merged[k : k + LEAF] for k in range(0, len(merged), LEAF)]
-            self.build(self.leaves[:first] + parts + self.leaves[last + 1 :])
-            return
+    def splice(self, first: int, last: int, text: str, pairs: list[tuple[int, int]]) -> None:
+        """Put ``text`` and its pre-tokens in place of the leaves from ``first`` to ``last``."""
         n = last - first + 1
-        per = -(-len(merged) // n)
+        if len(pairs) > 4 * LEAF * n:
+            others = (part for leaf in self.leaves[:first] + [(text, pairs)] + self.leaves[last + 1 :] for part in (leaves_of(*leaf) if len(leaf[1]) > 2 * LEAF else [leaf]))
+            self.build([leaf for leaf in others if leaf[0]])
+            return
+        parts = leaves_of(text, pairs, max(1, -(-len(pairs) // n)))
         for k in range(n):
-            leaf = self.leaves[first + k] = merged[k * per : (k + 1) * per]
+            leaf = self.leaves[first + k] = parts[k] if k < len(parts) else ("", [])
             j = self.size + first + k
-            self.chars[j], self.tokens[j] = sum(c for c, _ in leaf), sum(t for _, t in leaf)
+            self.chars[j], self.tokens[j] = len(leaf[0]), sum(t for _, t in leaf[1])
         lo, hi = (self.size + first) // 2, (self.size + last) // 2
         while lo:
             for j in range(lo, hi + 1):

@@ -47,6 +47,21 @@ def test_an_edit_encodes_little_of_a_long_text():
     assert tree.encoded < 60
 
 
+def test_many_edits_of_one_text_leave_no_large_leaf():
+    count, rng = tokens.counter(tokens.VOCABULARY), random.Random(6)
+    text = "one two  three\n" * 500
+    tree = tokens.CountedText(text, count)
+    for _ in range(1500):
+        a, n, new = rng.randint(0, 200), rng.choice([0, 0, 0, 9]), rng.choice(["x y z w ", " ", "don't stop", "\n\n"])
+        text = text[:a] + new + text[a + n :]
+        tree.edit(a, n, new)
+    assert tree.text == text
+    assert tree.total == len(count.encoding.encode_ordinary(text))
+    assert max(len(pairs) for _, pairs in tree.leaves) <= 4 * tokens.LEAF
+    assert tree.edit(0, len(text), "") == 0
+    assert (tree.text, tree.edit(5, 5, "new text")) == ("", 2)
+
+
 def test_token_query_handles_odd_texts(spark):
     texts = [*ODD, None, "mail a.b@c.de now", "mail a.b@c.de now"]
     rows = tokens.count_edits(docs(spark, texts)).orderBy("doc_id").collect()
