@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from almanac.plans import advice, outlines, relational, textual
+from almanac.plans import advice, bulletins, outlines, relational, textual
 
-QUERIES = {**relational.QUERIES, **textual.QUERIES, **advice.QUERIES, **outlines.QUERIES}
-ORACLE_SQL = {**relational.ORACLE_SQL, **textual.ORACLE_SQL, **advice.ORACLE_SQL, **outlines.ORACLE_SQL}
+QUERIES = {**relational.QUERIES, **textual.QUERIES, **advice.QUERIES, **outlines.QUERIES, **bulletins.QUERIES}
+ORACLE_SQL = {**relational.ORACLE_SQL, **textual.ORACLE_SQL, **advice.ORACLE_SQL, **outlines.ORACLE_SQL, **bulletins.ORACLE_SQL}
