@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import urllib.request
 from collections.abc import Callable
 from functools import reduce
 
@@ -57,19 +59,44 @@ def merged(remote: Column, local: Column) -> Column:
     return F.when(remote.isNotNull(), both).otherwise(local)
 
 
+def understood(rows: DataFrame) -> DataFrame:
+    """Add preferences, provider and warning to rows with query, reply and warning, both null without a remote parser.
+
+    A reply that does not fit the schema gives a warning, and the local rules answer.
+    """
+    local, sent = preferences(F.col("query")), from_json(F.col("reply"))
+    failed = F.when(F.col("reply").isNotNull() & sent.isNull(), "remote reply does not fit the schema")
+    provider = F.when(sent.isNotNull(), "remote").otherwise("deterministic")
+    return rows.withColumns({"preferences": merged(sent, local), "provider": provider, "warning": F.coalesce("warning", failed)}).drop("reply")
+
+
 def understand(spark: SparkSession, query: str, remote: Callable[[str], str] | None = None) -> DataFrame:
-    """One row (query, preferences, provider, warning). ``remote`` maps the query to a JSON reply; any failure falls back to the local rules."""
+    """One row (query, warning, preferences, provider). ``remote`` maps the query to a JSON reply; any failure falls back to the local rules."""
     reply, warning = None, None
     if remote is not None:
         try:
             reply = remote(query)
         except (OSError, ValueError, KeyError, IndexError, TimeoutError) as e:
             warning = f"remote parser failed: {e}"
-    row = spark.createDataFrame([(query, reply, warning)], "query string, reply string, warning string")
-    local, sent = preferences(F.col("query")), from_json(F.col("reply"))
-    failed = F.when(F.col("reply").isNotNull() & sent.isNull(), "remote reply does not fit the schema")
-    provider = F.when(sent.isNotNull(), "remote").otherwise("deterministic")
-    return row.select("query", merged(sent, local).alias("preferences"), provider.alias("provider"), F.coalesce("warning", failed).alias("warning"))
+    return understood(spark.createDataFrame([(query, reply, warning)], "query string, reply string, warning string"))
+
+
+def http_parser(url: str, body: Callable[[str], dict], pick: Callable[[dict], str], headers: dict[str, str] | None = None, seconds: float = 25) -> Callable[[str], str]:
+    """A remote parser that posts ``body(query)`` as JSON and takes the reply's text by ``pick``; it raises what ``understand`` falls back on."""
+
+    def ask(query: str) -> str:
+        sent = urllib.request.Request(url, json.dumps(body(query)).encode(), {"Content-Type": "application/json"} | (headers or {}), method="POST")
+        with urllib.request.urlopen(sent, timeout=seconds) as got:
+            return pick(json.load(got))
+
+    return ask
+
+
+# Names of the steps of an answer.
+STEPS = ["understand_query", "calculate_requirements", "retrieve_current_offerings", "validate_categories_and_policy", "rank_supported_preferences", "attach_claim_evidence"]
 
 
-TRACE = ["understand the request", "load the profile", "check eligibility", "apply constraints", "score evidence", "rank"]
+def trace(provider: Column, warning: Column) -> Column:
+    """How an answer came about: who parsed the request, with which warning, and the steps that followed."""
+    steps = F.array(*(F.struct(F.lit(name).alias("name"), F.lit("complete").alias("status")) for name in STEPS))
+    return F.struct(provider.alias("intent_provider"), warning.alias("warning"), steps.alias("steps"))

@@ -59,6 +59,9 @@ def matched(rows: DataFrame) -> DataFrame:
         if source is not None:
             claims.append(F.when(yes, F.struct(says.alias("claim"), F.lit("supported").alias("status"), source.alias("source"))))
 
+    def row(first: str) -> Column:
+        return F.concat_ws("#", "source_file", F.concat(F.lit("row "), F.col(first)))
+
     for flag, (fact, label) in STRICT.items():
         actual = F.when(handout, F.col(fact))
         add(p[flag], actual.eqNullSafe(F.lit(False)), 6.0, F.lit(f"{label} is explicitly supported"), F.concat_ws("#", "source_file", F.lit(fact)))
@@ -76,8 +79,8 @@ def matched(rows: DataFrame) -> DataFrame:
     complete = whole & F.coalesce(F.col("extraction_status") == "extracted_unverified", F.lit(False))
     add(p["no_quiz"], ~quiz_seen & complete, 6.0, F.lit("no quiz component is listed in the complete evaluation scheme"), F.concat_ws("#", "source_file", F.lit("evaluation_components")))
     unknown.append(F.when(p["no_quiz"] & ~quiz_seen & ~complete, F.lit("quiz-free evaluation")))
-    add(p["project_based"], F.col("project_listed"), 5.0, F.lit("project evaluation is listed"), F.concat_ws("#", "source_file", F.lit("project")))
-    add(p["open_book"], F.col("open_book_listed"), 4.0, F.lit("an open-book component is listed"), F.concat_ws("#", "source_file", F.lit("open_book")))
+    add(p["project_based"], F.col("project_listed"), 5.0, F.lit("project evaluation is listed"), row("project_row"))
+    add(p["open_book"], F.col("open_book_listed"), 4.0, F.lit("an open-book component is listed"), row("open_book_row"))
     policy_text = handout & F.coalesce("has_makeup_policy", F.lit(False))
     add(p["makeup_requested"], policy_text, 1.0, F.lit("make-up policy text is available for review"), otherwise="unknown")
     soft = F.when(p["makeup_requested"] & ~policy_text, F.lit("make-up policy"))
@@ -105,16 +108,18 @@ def handout_facts(handouts: DataFrame, components: DataFrame) -> DataFrame:
 
     sums = component_sums(components)
     quiz = r"(?i)\bquiz(?:zes|es|z)?\b"
+    project = (F.col("type") == "project") | F.contains(F.lower("name"), F.lit("project"))
+    opens = F.col("book_policy").isin("open", "partly_open", "mixed")
     seen = components.groupBy("doc_id").agg(
         F.max((F.col("type") == "quiz") | F.regexp_like(F.concat_ws(" ", "name", "raw_text"), F.lit(quiz))).alias("mentions_quiz"),
-        F.max((F.col("type") == "project") | F.contains(F.lower("name"), F.lit("project"))).alias("project_listed"),
-        F.coalesce(F.max(F.col("book_policy").isin("open", "partly_open", "mixed")), F.lit(False)).alias("open_book_listed"),
-    )
+        F.max(project).alias("project_listed"), F.coalesce(F.max(opens), F.lit(False)).alias("open_book_listed"),
+        F.min(F.when(project, F.col("row_number"))).alias("project_row"), F.min(F.when(opens, F.col("row_number"))).alias("open_book_row"),
+    )
     per_course = first_wins(handouts.withColumn("course", F.explode("course_codes")), ["course"], ["ordinal"])
     return per_course.join(sums, "doc_id", "left").join(seen, "doc_id", "left").select(
         "course", F.lit(True).alias("has_handout"), F.concat_ws(" ", F.nullif("description", F.lit("")), F.nullif("scope", F.lit("")), F.array_join("topics", " ")).alias("described"),
         "attendance_required", "has_midsem", "has_compre", (F.coalesce("makeup_policy", F.lit("")) != "").alias("has_makeup_policy"), "sums_to_100", "extraction_status", "source_file",
-        "n_components", "midsem_weight", "quiz_count", "project_weight", "exam_weight", "mentions_quiz", "project_listed", "open_book_listed",
+        "n_components", "midsem_weight", "quiz_count", "project_weight", "exam_weight", "mentions_quiz", "project_listed", "open_book_listed", "project_row", "open_book_row",
     )
 
 
