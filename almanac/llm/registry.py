@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from almanac.llm import decontaminate, language, mixing, nearjoin, privacy, quality, repeats, tokens, topk, toxicity
+from almanac.llm import changes, decontaminate, language, mixing, nearjoin, privacy, quality, repeats, tokens, topk, toxicity
 
 QUERIES = {
     "op1_tokens": tokens.op1_tokens,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_topk": topk.op8_topk,
     "op9_pii": privacy.op9_pii,
     "op10_near_duplicates": nearjoin.op10_near_duplicates,
+    "op13_changes": changes.op13_changes,
 }
 
 ORACLE_SQL = {"op5_mix": mixing.OP5_SQL, "op8_topk": topk.OP8_SQL}
