@@ -56,6 +56,13 @@ RUNS = 4
 #: Rows of one client, number and batch that may go to one key.
 REPEATS = 4
 KEY = ["nameless", "client"]
+#: A start runs one batch, so each store is closed as it commits; without that, every start would leave one open per partition.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+}
 
 INPUT = "nameless boolean, client long, segment long, salt int, at int, n long, day int, change_id long, op string, city string, balance double, seen int, ahead int, reached long, least long, last boolean"
 OUTPUT = (
@@ -86,7 +93,7 @@ def before(rows: DataFrame, key: list[str], at: str, folds: dict[str, Callable[[
     carried = before(totals, key, up, folds)
     both = within(up).drop(*folds).join(carried, [*key, up]).drop(up)
     for name, f in folds.items():
-        joined = F.coalesce(F.col(own[name]) + F.col(name), F.col(own[name]), F.col(name)) if f is F.sum else F.coalesce(F.col(own[name]), F.col(name))
+        joined = F.coalesce(F.col(own[name]) + F.col(name), F.col(own[name]), F.col(name)) if f is F.sum else F.greatest(F.col(own[name]), F.col(name))
         both = both.withColumn(name, joined)
     return both.drop(*own.values())
 
@@ -328,8 +335,7 @@ def apply_changes(changes: DataFrame, *, batches: int = BATCHES, first_day: int
     spark = changes.sparkSession
     folder = f"{shared_folder(spark)}/changes-{uuid.uuid4().hex}"
     rows = cut(numbered(changes, batches, first_day, span))
-    state = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
-    with settings(spark, **state):
+    with settings(spark, **STATE):
         out = run_batches(spark, rows, folder, batches)
     for part in ("batches", "feed", "state", f"latest-{batches}"):
         delete(spark, f"{folder}/{part}")
