@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -112,3 +113,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, columns: list[
     ids = docs.sparkSession.createDataFrame(chosen.collect(), chosen.schema)
     found = docs.select(key, "text").join(F.broadcast(ids), key)
     return found.groupBy(key, *columns).agg(F.min("text").alias("text")).select(key, "text", *columns)
+
+
+def slices(data: bytes, breaks: re.Pattern[bytes], size: int = 1 << 20) -> Iterator[bytes]:
+    """``data`` in parts of about ``size`` bytes, each cut where ``breaks`` matches, so that no word is split."""
+    at = 0
+    while at < len(data):
+        found = breaks.search(data, at + size)
+        end = found.end() if found else len(data)
+        yield data[at:end]
+        at = end

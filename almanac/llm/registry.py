@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from almanac.llm import changes, decontaminate, language, mixing, nearjoin, privacy, quality, repeats, tokens, topk, toxicity
+from almanac.llm import changes, decontaminate, language, lexical, mixing, nearjoin, privacy, quality, repeats, tokens, topk, toxicity
 
 QUERIES = {
     "op1_tokens": tokens.op1_tokens,
@@ -15,7 +15,8 @@ QUERIES = {
     "op8_topk": topk.op8_topk,
     "op9_pii": privacy.op9_pii,
     "op10_near_duplicates": nearjoin.op10_near_duplicates,
+    "op11_search": lexical.op11_search,
     "op13_changes": changes.op13_changes,
 }
 
-ORACLE_SQL = {"op5_mix": mixing.OP5_SQL, "op8_topk": topk.OP8_SQL}
+ORACLE_SQL = {"op5_mix": mixing.OP5_SQL, "op8_topk": topk.OP8_SQL, "op11_search": lexical.OP11_SQL}
