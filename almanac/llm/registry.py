@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from almanac.llm import changes, decontaminate, language, lexical, mixing, nearjoin, privacy, quality, repeats, tokens, topk, toxicity
+from almanac.llm import changes, decontaminate, language, lexical, mixing, nearjoin, privacy, quality, repeats, simhash, tokens, topk, toxicity
 
 QUERIES = {
     "op1_tokens": tokens.op1_tokens,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_pii": privacy.op9_pii,
     "op10_near_duplicates": nearjoin.op10_near_duplicates,
     "op11_search": lexical.op11_search,
+    "op12_simhash": simhash.op12_simhash,
     "op13_changes": changes.op13_changes,
 }
 
