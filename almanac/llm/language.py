@@ -3,39 +3,45 @@
 A text is the average of the embeddings of its hashed byte n-grams (two to
 four bytes of the lower-cased UTF-8 text between two spaces), followed by a
 linear softmax. Both layers are trained by stochastic gradient descent in
-numpy on a bounded sample of labelled rows. Averaging and the softmax's linear
+numpy on a bounded sample: labelled texts are cut into pieces where they are
+read, and of the pieces of all of them about ``SAMPLE_PIECES`` are drawn by
+hash, as many of each language. Averaging and the softmax's linear
 part commute, so for prediction the two layers are folded into one table with
 a row per hash and a column per language.
 
-The probability is calibrated by a temperature fitted on a held-back part of
-the sample. A prediction below ``reject_below``, which passes 99 % of that
-part, is marked as rejected; it still names the likeliest language.
+The probability is calibrated by a temperature fitted on about
+``CALIBRATION_ROWS`` whole texts that give no pieces; their scores, not they,
+go to the driver. A prediction below ``reject_below``, which 99 % of them pass,
+is marked as rejected; it still names the likeliest language.
 
 Edge cases: a null text and a text without a letter are ``und`` with score 0;
 without any labelled row all texts are ``und``; ties go to the first language
 by code point; repeated rows get equal answers; other columns are ignored.
-Every text is read whole.
+Every text is read whole, a long one in parts.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from almanac.llm.common import fold, map_batches, table
 
-#: Bound of the labelled sample that is fitted on the driver.
-SAMPLE_ROWS = 3000
+#: Bounds of the labelled sample: pieces that are fitted on the driver, and texts that calibrate.
+SAMPLE_PIECES = 12_000
+CALIBRATION_ROWS = 2000
 BUCKETS = 1 << 16
 DIMENSIONS = 16
 SIZES = (2, 3, 4)
-#: Bytes of the pieces that sampled texts are cut into for training.
-PIECE = 240
+#: Bytes of the pieces that labelled texts are cut into for training, and of the parts in which a text is read.
+PIECE, PART = 240, 1 << 16
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -49,11 +55,12 @@ class LanguageModel:
     reject_below: float
 
 
-def hashes(data: bytes) -> np.ndarray:
-    """Buckets of all n-grams of ``data``."""
-    a = np.frombuffer(b" " + data + b" ", np.uint8).astype(np.uint32)
+def hashes(data: bytes, first: bool = True, last: bool = True, seen: int = 0) -> np.ndarray:
+    """Buckets of the n-grams of ``data`` that end after its first ``seen`` bytes, with a space before the first part of a text and after the last."""
+    whole = np.frombuffer(b" " * first + data + b" " * last, np.uint8).astype(np.uint32)
     found = []
     for n in SIZES:
+        a = whole[max(0, seen - n + 1) :]
         m = len(a) - n + 1
         if m <= 0:
             continue
@@ -62,35 +69,49 @@ def hashes(data: bytes) -> np.ndarray:
             h = h * np.uint32(0x01000193) ^ a[i : i + m]
         h *= np.uint32(0x9E3779B1)
         found.append(h >> np.uint32(16))
-    return np.concatenate(found)
+    return np.concatenate(found) if found else np.empty(0, np.uint32)
+
+
+def encoded(text: str) -> bytes:
+    return text.lower().encode("utf-8", "replace")
+
+
+def sums(model: LanguageModel, data: bytes) -> tuple[np.ndarray, int]:
+    """The sum of the table's rows over all n-grams of a text, and how many there are; parts overlap by less than the longest n-gram."""
+    total, n, last = np.zeros(len(model.languages)), 0, max(SIZES) - 1
+    for at in range(0, max(1, len(data)), PART):
+        part = data[max(0, at - last) : at + PART]
+        found = hashes(part, at == 0, at + PART >= len(data), 0 if at == 0 else min(at, last))
+        total += model.table.take(found, axis=0).sum(axis=0, dtype=np.float64)
+        n += len(found)
+    return total, n
+
+
+def logits(model: LanguageModel, text: str) -> np.ndarray:
+    total, n = sums(model, encoded(text))
+    return total / n + model.bias
 
 
 def probabilities(model: LanguageModel, text: str) -> np.ndarray:
-    logits = model.table.take(hashes(text.lower().encode("utf-8", "replace")), axis=0).mean(axis=0, dtype=np.float64) + model.bias
-    e = np.exp((logits - logits.max()) / model.temperature)
+    z = logits(model, text)
+    e = np.exp((z - z.max()) / model.temperature)
     return e / e.sum()
 
 
 def pieces(text: str) -> list[bytes]:
-    data = text.lower().encode("utf-8", "replace")
-    return [data[i : i + PIECE] for i in range(0, max(1, len(data) - PIECE // 2), PIECE)]
+    """A text's bytes in pieces; the last takes what is left."""
+    data = encoded(text)
+    return [data[i : i + PIECE] for i in range(0, max(1, len(data)), PIECE)]
 
 
-def train(rows: list[tuple[str, str]], epochs: int = 4, batch: int = 32, rate: float = 0.5, seed: int = 7) -> LanguageModel | None:
-    """Fit on (text, language) rows; None if no row has a letter."""
-    rows = [(text, lang) for text, lang in rows if text and LETTER.search(text)]
+def train(rows: list[tuple[bytes, str]], epochs: int = 4, batch: int = 32, rate: float = 0.5, seed: int = 7) -> LanguageModel | None:
+    """Fit on (piece, language) rows; None if there are none."""
     if not rows:
         return None
     rng = np.random.default_rng(seed)
     languages = sorted({lang for _, lang in rows})
     code = {lang: i for i, lang in enumerate(languages)}
-    held = [i % 5 == 0 for i in range(len(rows))] if len(rows) >= 20 else [False] * len(rows)
-    grams, labels = [], []
-    for (text, lang), skip in zip(rows, held, strict=True):
-        if not skip:
-            for piece in pieces(text):
-                grams.append(hashes(piece))
-                labels.append(code[lang])
+    grams, labels = [hashes(piece) for piece, _ in rows], [code[lang] for _, lang in rows]
     y = np.eye(len(languages), dtype=np.float32)[labels]
     share = y.mean(axis=0)
     weight = 1 / np.maximum(share, 1e-3)
@@ -120,21 +141,20 @@ def train(rows: list[tuple[str, str]], epochs: int = 4, batch: int = 32, rate: f
             firsts = np.flatnonzero(np.r_[True, buckets[1:] != buckets[:-1]])
             owner = np.repeat(np.arange(len(ids)), lengths)[place]
             embed[buckets[firsts]] -= np.add.reduceat((step * 20 * back)[owner], firsts, axis=0)
-    model = LanguageModel(languages, embed @ linear, bias.astype(np.float64), 1.0, 0.0)
-    checked = [row for row, skip in zip(rows, held, strict=True) if skip] or rows
-    logits = np.array([np.log(np.maximum(probabilities(model, text), 1e-30)) for text, _ in checked])
-    truth = np.array([code[lang] for _, lang in checked])
+    return LanguageModel(languages, embed @ linear, bias.astype(np.float64), 1.0, 0.0)
 
+
+def calibrate(model: LanguageModel, scores: np.ndarray, truth: np.ndarray) -> None:
+    """Fit the temperature to texts' scores and languages, and the bound of rejection to what 99 % of them pass."""
     def loss(t: float) -> float:
-        z = logits / t
+        z = scores / t
         z = z - z.max(axis=1, keepdims=True)
         return float((np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(z)), truth]).mean())
 
-    model.temperature = min((0.1 * 1.15**i for i in range(40)), key=loss)
-    z = logits / model.temperature
-    top = 1 / np.exp(z - z.max(axis=1, keepdims=True)).sum(axis=1)
-    model.reject_below = float(np.quantile(top, 0.01))
-    return model
+    if len(scores):
+        model.temperature = min((0.1 * 1.15**i for i in range(40)), key=loss)
+        z = scores / model.temperature
+        model.reject_below = float(np.quantile(1 / np.exp(z - z.max(axis=1, keepdims=True)).sum(axis=1), 0.01))
 
 
 def predict(docs: DataFrame, model: LanguageModel | None, key: str = "doc_id") -> DataFrame:
@@ -158,16 +178,49 @@ def predict(docs: DataFrame, model: LanguageModel | None, key: str = "doc_id") -
     return map_batches(docs.select(F.col(key).cast("long").alias(key), "text"), run, f"{key} long, lang_pred string, score double, accepted boolean")
 
 
-def fit(labelled: DataFrame, key: str = "doc_id", rows: int = SAMPLE_ROWS) -> LanguageModel | None:
-    """Fit on at most ``rows`` rows of ``labelled`` (key, text, lang), taken in hash order of the key."""
-    sample = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select(F.xxhash64(key).alias("h"), key, "text", "lang")
-    ids = sample.select("h", key).distinct().orderBy("h", key).limit(rows)
-    last = ids.agg(F.max("h")).first()[0]
-    if last is None:
+def fit(labelled: DataFrame, pieces_bound: int = SAMPLE_PIECES, rows_bound: int = CALIBRATION_ROWS) -> LanguageModel | None:
+    """Fit on the rows of ``labelled`` (text, lang) that have both; None if none has a letter.
+
+    A text's hash decides whether it is learned from or calibrates (one in
+    five), so copies stay together, and which of its pieces are drawn.
+    """
+    known = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("text", F.col("lang").cast("string").alias("lang"), (F.pmod(F.xxhash64("text"), F.lit(5)) == 0).alias("checks"))
+    size = F.ceil(F.octet_length("text") / PIECE)
+    counts = known.groupBy("lang").agg(F.sum(F.when(~F.col("checks"), size)).alias("pieces"), F.count_if("checks").alias("rows")).collect()
+    if not counts:
         return None
-    # Of rows that repeat an id one is taken, so the bound holds.
-    chosen = sample.where(F.col("h") <= F.lit(last)).groupBy("h", key).agg(F.min(F.struct("text", "lang")).alias("row")).collect()
-    return train([tuple(r["row"]) for r in sorted(chosen, key=lambda r: (r["h"], str(r[key])))])
+    share = {r["lang"]: pieces_bound / len(counts) / max(1, r["pieces"] or 0) for r in counts}
+    chance = rows_bound / max(1, sum(r["rows"] for r in counts))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
+                if LETTER.search(text):
+                    seed = xxhash.xxh32_intdigest(text)
+                    out += [(piece, lang) for n, piece in enumerate(pieces(text)) if xxhash.xxh64_intdigest(piece, seed + n) < share[lang] * 2**64]
+            if out:
+                drawn, langs = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(drawn, pa.binary()), pa.array(langs)], names=["piece", "lang"])
+
+    learned = known.where("NOT checks").select("text", "lang").mapInArrow(draw, "piece binary, lang string").collect()
+    model = train(sorted((bytes(r["piece"]), r["lang"]) for r in learned))
+    if model is None:
+        return None
+    sent = known.sparkSession.sparkContext.broadcast(model)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(logits(sent.value, text).tolist(), lang) for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True) if LETTER.search(text) and lang in sent.value.languages]
+            if rows:
+                scores, langs = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(scores, pa.list_(pa.float64())), pa.array(langs)], names=["scores", "lang"])
+
+    drawn = F.shiftrightunsigned(F.xxhash64("text", F.lit("calibration")), 11) < F.lit(chance * 2**53)
+    checked = known.where("checks").where(drawn).select("text", "lang").mapInArrow(score, "scores array<double>, lang string").collect()
+    code = {lang: i for i, lang in enumerate(model.languages)}
+    calibrate(model, np.array([r["scores"] for r in checked]), np.array([code[r["lang"]] for r in checked], int))
+    return model
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:

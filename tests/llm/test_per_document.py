@@ -187,7 +187,7 @@ def test_language_held_out_accuracy(spark):
 
 
 def test_language_of_odd_texts(spark):
-    model = language.train([("the cat and the dog", "en"), ("der Hund und die Katze", "de")] * 20)
+    model = language.train([(b"the cat and the dog", "en"), (b"der hund und die katze", "de")] * 20)
     rows = language.predict(docs(spark, [*ODD, None, "12 34"]), model).orderBy("doc_id").collect()
     assert [r["lang_pred"] == "und" for r in rows] == [True, True, True, *[False] * 6, True, True]
     assert all(r["score"] == 0 for r in rows if r["lang_pred"] == "und")
