@@ -2,13 +2,15 @@
 
 A stateful streaming query holds each client's rows until their turn comes, as
 an LSM tree does: every batch appends what it cannot apply yet as one run
-sorted by number to a ListState, with a cursor per run in a ValueState. Rows
+sorted by number to a ListState, with cursors per run in a ValueState. Rows
 are taken from the runs by a k-way heap merge: the next number as soon as it
 is held, and all up to the last expired number when time runs out. After
 ``RUNS`` runs what is left of them is merged into one.
 
 A client may have any share of all rows, so its numbers are cut into segments
-of ``SEGMENT``, each with its own state. A segment knows by itself which of its
+of ``SEGMENT``. Segments are dealt by hash to state keys of about ``BUCKET``,
+whose number follows the data; a run is sorted by segment, then number, and
+each segment has its own cursors. A segment knows by itself which of its
 rows have expired. What it cannot know, how far the client has come in other
 segments, is worked out between two batches from the summaries that segments
 emit (how far they are contiguous, which number expired last) by aggregates per
@@ -35,6 +37,7 @@ from __future__ import annotations
 
 import contextlib
 import heapq
+import pickle
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -49,9 +52,9 @@ BATCHES = 8
 FIRST_DAY, SPAN = 19723, 160
 #: A held row expires when another client's rows are this many days ahead.
 PATIENCE = 5
-#: Numbers of a client per state key.
-SEGMENT = 64
-#: Runs of a key that are merged into one.
+#: Numbers of a client per segment, and segments per state key.
+SEGMENT, BUCKET = 64, 32
+#: Runs of a key beyond which they are merged into one.
 RUNS = 4
 #: Rows of one client, number and batch that may go to one key.
 REPEATS = 4
@@ -64,7 +67,7 @@ STATE = {
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 
-INPUT = "nameless boolean, client long, segment long, salt int, at int, n long, day int, change_id long, op string, city string, balance double, seen int, ahead int, reached long, least long, last boolean"
+INPUT = "nameless boolean, client long, segment long, salt int, at int, n long, day int, change_id long, op string, city string, balance double, seen int, ahead int, reached long, least long, last boolean, bucket long"
 OUTPUT = (
     "kind string, nameless boolean, client long, segment long, n long, change_id long, status string, at int, prev long, op string, "
     "city string, city_set boolean, balance double, balance_set boolean, held int, entered boolean, next long, gap long, expired long, after long"
@@ -120,121 +123,173 @@ def numbered(changes: DataFrame, batches: int, first_day: int, span: int) -> Dat
     return placed.drop("seq", "first", "rows")
 
 
+class Turn:
+    """One segment of one client while a batch is handled."""
+
+    def __init__(self, own: tuple, head: tuple | None, slices: list[list]):
+        self.nameless, self.client, self.segment = own
+        self.low, self.high = self.segment * SEGMENT + 1, (self.segment + 1) * SEGMENT
+        # The next number here, whether the client has come here, the last number applied here, and the values that are set here.
+        self.at, self.entered, self.prev, self.city, self.city_set, self.balance, self.balance_set = head or (self.low, self.segment == 0, 0, None, False, None, False)
+        #: Of each run that holds rows of the segment: [run, cursor, end, rows].
+        self.slices = slices
+        self.heap = [(rows[c][3], k) for k, (_, c, _, rows) in enumerate(slices)]
+        heapq.heapify(self.heap)
+        self.out: list[Row] = []
+
+    def head(self) -> tuple:
+        return self.at, self.entered, self.prev, self.city, self.city_set, self.balance, self.balance_set
+
+    def held(self) -> list[tuple]:
+        return [row for _, c, end, rows in self.slices for row in rows[c:end]]
+
+    def row(self, **values) -> Row:
+        return Row(**dict.fromkeys(OUT) | {"nameless": self.nameless, "client": self.client, "segment": self.segment} | values)
+
+    def reject(self, n: int, change_id: int | None, op: str | None, label: int) -> None:
+        self.out.append(self.row(kind="row", status="rejected", n=n, change_id=change_id, op=op, at=label))
+
+    def drain(self, upto: int, label: int) -> None:
+        """Apply held rows: those up to ``upto`` whatever is missing, then what is contiguous if the client has come here."""
+        heap = self.heap
+        while heap and (heap[0][0] <= upto or self.entered and heap[0][0] == self.at):
+            n, k = heapq.heappop(heap)
+            piece = self.slices[k]
+            _, cursor, end, rows = piece
+            change_id, op, city, balance = rows[cursor][5:]
+            piece[1] = cursor + 1
+            if cursor + 1 < end:
+                heapq.heappush(heap, (rows[cursor + 1][3], k))
+            if op == "D":
+                self.city, self.balance, self.city_set, self.balance_set = None, None, True, True
+            else:
+                if op == "I" or op == "U" and city is not None:
+                    self.city, self.city_set = city, True
+                if op == "I" or op == "U" and balance is not None:
+                    self.balance, self.balance_set = balance, True
+            self.out.append(self.row(kind="row", status="applied", n=n, change_id=change_id, at=label, prev=self.prev, op=op, city=self.city, city_set=self.city_set, balance=self.balance, balance_set=self.balance_set))
+            self.at, self.prev, self.entered = n + 1, n, True
+
+    def come(self, number: int | None, label: int) -> None:
+        """The client's next number is ``number``, or beyond."""
+        if number is not None and number >= self.low:
+            self.drain(number - 1, label)
+            self.at, self.entered = max(self.at, min(number, self.high + 1)), True
+
+    def hear(self, at: int, seen: int | None, reached: int | None, least: int | None, last: bool) -> None:
+        """What a control row says: how far the client had come, how far it jumps, and which held rows have expired."""
+        self.come(reached, at - 1)
+        self.come(least, at)
+        if last:
+            self.drain(self.high, at)
+        elif seen is not None:
+            self.drain(max((row[3] for row in self.held() if row[4] + PATIENCE <= seen), default=0), at)
+
+    def read(self, rows: list[tuple], label: int) -> list[tuple]:
+        """Reject what is too late or there already; the others, by number. They may be applied after the batch is read: until then only numbers that have come pass."""
+        held = {row[3] for row in self.held()}
+        fresh = []
+        for row in sorted(rows, key=lambda r: (r[4], -1 if r[5] is None else r[5], r[3], r[6] or "", r[7] or "", r[8] or 0.0)):
+            if row[3] < self.at or row[3] in held:
+                self.reject(row[3], row[5], row[6], label)
+            else:
+                held.add(row[3])
+                fresh.append(row)
+        return sorted(fresh, key=lambda row: row[3])
+
+    def gap(self, waiting: dict[int, int], n: int) -> int | None:
+        """The first number of the segment from ``n`` that does not wait; none if all do."""
+        while n in waiting:
+            n += 1
+        return n if n <= self.high else None
+
+    def summary(self, label: int, ahead: int | None) -> Row:
+        waiting = {row[3]: row[4] for row in self.held()}
+        expired = max((n for n, day in waiting.items() if ahead is not None and day + PATIENCE <= ahead), default=None)
+        after = None if expired is None else self.gap(waiting, expired + 1)
+        return self.row(kind="summary", at=label, held=len(waiting), entered=self.entered, next=self.at, gap=self.gap(waiting, self.at), expired=expired, after=after)
+
+
 class Applier(StatefulProcessor):
-    """The rows of one segment of one client; see the module for what its control rows say."""
+    """The segments of one bucket; see the module for what their control rows say.
+
+    State: ``runs``, a ListState of runs, each sorted by segment and number and
+    never changed once it is written; ``heads``, where each segment has come and
+    its cursors, (run, cursor, end). A row of a run is (nameless, client,
+    segment, n, day, change_id, op, city, balance).
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.head = handle.getValueState("head", "next long, entered boolean, prev long, city string, city_set boolean, balance double, balance_set boolean, cursors array<int>")
-        self.runs = handle.getListState("runs", "n array<long>, day array<int>, change_id array<long>, op array<string>, city array<string>, balance array<double>")
+        self.heads = handle.getValueState("heads", "heads binary")
+        self.runs = handle.getListState("runs", "rows binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        nameless, client, segment, salt = key
-        news, data = [], []
-        for r in rows:
-            (data if r.day is not None else news).append(r)
-        blank = dict.fromkeys(OUT) | {"nameless": nameless, "client": client, "segment": segment}
-        rejected = blank | {"kind": "row", "status": "rejected"}
-        if salt:  # the first row of each number is held, applied or rejected elsewhere
-            for r in data:
-                yield Row(**rejected | {"n": r.n, "change_id": r.change_id, "at": r.at, "op": r.op})
+        news: dict[tuple, tuple] = {}
+        data: dict[tuple, list[tuple]] = {}
+        stray = []
+        label = ahead = None
+        for nameless, client, segment, salt, at, n, day, change_id, op, city, balance, seen, soon, reached, least, last, _ in rows:
+            own = nameless, client, segment
+            if salt:  # the first row of each number is held, applied or rejected elsewhere
+                stray.append((own, n, change_id, op, at))
+            elif day is None:
+                news[own], label, ahead = max(news.get(own, (0,)), (at, seen, reached, least, last)), at, soon
+            else:
+                data.setdefault(own, []).append((*own, n, day, change_id, op, city, balance))
+                label, ahead = at, soon
+        for own, n, change_id, op, at in stray:
+            turn = Turn(own, None, [])
+            turn.reject(n, change_id, op, at)
+            yield from turn.out
+        if label is None:
             return
-        low, high = segment * SEGMENT + 1, (segment + 1) * SEGMENT
-        state = self.head.get() or (low, segment == 0, 0, None, False, None, False, [])
-        at, entered, prev, city, city_set, balance, balance_set, cursors = state
-        cursors = list(cursors)
-        runs = [list(zip(*run, strict=True)) for run in self.runs.get()] if cursors else []
-        heap = [(run[c][0], k) for k, (run, c) in enumerate(zip(runs, cursors, strict=True)) if c < len(run)]
-        heapq.heapify(heap)
-        had = sum(len(run) - c for run, c in zip(runs, cursors, strict=True))
-        out: list[Row] = []
-
-        def drain(upto: int, label: int) -> None:
-            """Apply held rows: those up to ``upto`` whatever is missing, then what is contiguous if the client has come here."""
-            nonlocal at, entered, prev, city, city_set, balance, balance_set
-            while heap and (heap[0][0] <= upto or entered and heap[0][0] == at):
-                n, k = heapq.heappop(heap)
-                _, _, change_id, op, new_city, new_balance = runs[k][cursors[k]]
-                cursors[k] += 1
-                if cursors[k] < len(runs[k]):
-                    heapq.heappush(heap, (runs[k][cursors[k]][0], k))
-                if op == "D":
-                    city, balance, city_set, balance_set = None, None, True, True
-                else:
-                    if op == "I" or op == "U" and new_city is not None:
-                        city, city_set = new_city, True
-                    if op == "I" or op == "U" and new_balance is not None:
-                        balance, balance_set = new_balance, True
-                out.append(Row(**blank | {"kind": "row", "status": "applied", "n": n, "change_id": change_id, "at": label, "prev": prev, "op": op, "city": city, "city_set": city_set, "balance": balance, "balance_set": balance_set}))
-                at, prev, entered = n + 1, n, True
-
-        def come(number: int | None, label: int) -> None:
-            """The client's next number is ``number``, or beyond."""
-            nonlocal at, entered
-            if number is not None and number >= low:
-                drain(number - 1, label)
-                at, entered = max(at, min(number, high + 1)), True
-
-        label = seen = ahead = None
-        for r in sorted(news, key=lambda r: r.at)[-1:]:
-            come(r.reached, r.at - 1)
-            label, seen, ahead = r.at, r.seen, r.ahead
-            come(r.least, label)
-            if r.last:
-                drain(high, label)
-            elif seen is not None:
-                drain(max((run[c][0] for run, first in zip(runs, cursors, strict=True) for c in range(first, len(run)) if run[c][1] + PATIENCE <= seen), default=0), label)
-        held = {run[c][0] for run, first in zip(runs, cursors, strict=True) for c in range(first, len(run))}
+        stored = self.heads.get()
+        count, heads = pickle.loads(stored[0]) if stored else (0, {})
+        runs = [pickle.loads(run[0]) for run in self.runs.get()] if count else []
         fresh: list[tuple] = []
-        for r in sorted(data, key=lambda r: (r.day, -1 if r.change_id is None else r.change_id, r.n, r.op or "", r.city or "", r.balance or 0.0)):
-            label, ahead = r.at, r.ahead
-            # Numbers only come of age in order, so rows that wait in ``fresh`` may be applied after the whole batch is read; what counts as below next is the same.
-            if r.n < at or r.n in held:
-                out.append(Row(**rejected | {"n": r.n, "change_id": r.change_id, "at": r.at, "op": r.op}))
-            else:
-                held.add(r.n)
-                fresh.append((r.n, r.day, r.change_id, r.op, r.city, r.balance))
+        for own in sorted({*news, *data}):
+            head, cursors = heads.get(own, (None, []))
+            turn = Turn(own, head, [[k, c, end, runs[k]] for k, c, end in cursors])
+            had = bool(turn.slices)
+            if own in news:
+                turn.hear(*news[own])
+            new = turn.read(data.get(own, []), label)
+            if new:
+                turn.slices.append([len(runs), 0, len(new), new])
+                heapq.heappush(turn.heap, (new[0][3], len(turn.slices) - 1))
+                turn.drain(0, label)
+            yield from turn.out
+            left = [piece for piece in turn.slices if piece[1] < piece[2]]
+            if left and left[-1][3] is new:
+                left[-1][1:3] = [len(fresh), len(fresh) + len(new) - left[-1][1]]
+                fresh += new[-(left[-1][2] - left[-1][1]) :]
+            heads[own] = turn.head(), [(k, c, end) for k, c, end, _ in left]
+            if had or left or turn.segment or turn.at > turn.high:
+                turn.slices = [[k, c, end, fresh if k == len(runs) else rows] for k, c, end, rows in left]
+                yield turn.summary(label, ahead)
         if fresh:
-            fresh.sort(key=lambda row: row[0])
+            self.runs.appendValue((pickle.dumps(fresh),))
             runs.append(fresh)
-            cursors.append(0)
-            heapq.heappush(heap, (fresh[0][0], len(runs) - 1))
-            drain(0, label)
-        yield from out
-        left = [run[c:] for run, c in zip(runs, cursors, strict=True)]
-        now = sum(map(len, left))
-        self.keep(runs, cursors, left, bool(fresh))
-        head = (at, entered, prev, city, city_set, balance, balance_set, cursors)
-        if head != state:
-            self.head.update(head)
-        if had or now or segment or at > high:
-            waiting = {row[0]: row[1] for run in left for row in run}
-            gap = self.gap(waiting, at, high)
-            old = [n for n, day in waiting.items() if ahead is not None and day + PATIENCE <= ahead]
-            expired = max(old, default=None)
-            after = None if expired is None else self.gap(waiting, expired + 1, high)
-            yield Row(**blank | {"kind": "summary", "at": label, "held": now, "entered": entered, "next": at, "gap": gap, "expired": expired, "after": after})
-
-    def keep(self, runs: list[list[tuple]], cursors: list[int], left: list[list[tuple]], appended: bool) -> None:
-        """Store the runs: nothing is written but a new run, until they are all read or so many that they are merged."""
-        kept = [run for run in left if run]
-        if kept and len(runs) > RUNS:
-            self.runs.put([tuple(map(list, zip(*heapq.merge(*kept, key=lambda row: row[0]), strict=True)))])
-            cursors[:] = [0]
-        elif not kept:
-            if len(runs) > appended:
-                self.runs.clear()
-            cursors.clear()
-        elif appended and left[-1]:
-            self.runs.appendValue(tuple(map(list, zip(*runs[-1], strict=True))))
-        elif appended:
-            cursors.pop()
-
-    @staticmethod
-    def gap(waiting: dict[int, int], n: int, high: int) -> int | None:
-        """The first number from ``n`` to ``high`` that does not wait; none if all do."""
-        while n in waiting:
-            n += 1
-        return n if n <= high else None
+        if len(runs) > RUNS or not any(cursors for _, cursors in heads.values()):
+            self.merge(runs, heads)
+            count = min(1, sum(len(cursors) for _, cursors in heads.values()))
+        else:
+            count = len(runs)
+        self.heads.update((pickle.dumps((count, heads)),))
+
+    def merge(self, runs: list[list[tuple]], heads: dict[tuple, tuple]) -> None:
+        """Merge what is left of all runs into one, and set the cursors to it."""
+        whole: list[tuple] = []
+        for own in sorted(heads):
+            head, cursors = heads[own]
+            if cursors:
+                start = len(whole)
+                whole += heapq.merge(*(runs[k][c:end] for k, c, end in cursors), key=lambda row: row[3])
+                heads[own] = head, [(0, start, len(whole))]
+        if whole:
+            self.runs.put([(pickle.dumps(whole),)])
+        elif runs:
+            self.runs.clear()
 
     def close(self) -> None:
         pass
@@ -282,16 +337,20 @@ def move(spark: SparkSession, source: str, target: str) -> None:
 
 def run_batches(spark: SparkSession, rows: DataFrame, folder: str, batches: int) -> DataFrame:
     """What the stateful query emits over all batches, each a start of the query on one checkpoint."""
+    segments = rows.agg(F.approx_count_distinct(F.struct(*KEY, "segment"))).first()[0]
+    buckets = segments // BUCKET + 1
     days = {r["at"]: r["day"] for r in rows.groupBy("at").agg(F.max("day").alias("day")).collect()}
     seen = {b: max((d for a, d in days.items() if a < b), default=None) for b in range(1, batches + 3)}
 
+    bucket = F.pmod(F.xxhash64(*KEY, "segment", "salt"), F.lit(buckets))
+
     def told(rows: DataFrame, at: int) -> DataFrame:
         """Rows of batch ``at`` with the largest day before it and up to its end."""
-        return rows.withColumns({"seen": F.lit(seen[at]).cast("int"), "ahead": F.lit(seen[at + 1]).cast("int"), "last": F.lit(at > batches)})
+        return rows.withColumn("salt", F.lit(0)).withColumns({"bucket": bucket, "seen": F.lit(seen[at]).cast("int"), "ahead": F.lit(seen[at + 1]).cast("int"), "last": F.lit(at > batches)})
 
     columns = [part.split()[0] for part in INPUT.split(", ")]
     ahead = F.create_map(*(F.lit(x).cast("int") for b in range(1, batches + 1) for x in (b, seen[b + 1])))
-    data = rows.withColumns({"ahead": ahead[F.col("at")], "seen": F.lit(None), "reached": F.lit(None), "least": F.lit(None), "last": F.lit(False)})
+    data = rows.withColumns({"bucket": bucket, "ahead": ahead[F.col("at")], "seen": F.lit(None), "reached": F.lit(None), "least": F.lit(None), "last": F.lit(False)})
     typed = [F.col(name).cast(kind).alias(name) for name, kind in (part.split() for part in INPUT.split(", "))]
     data.select(*typed, F.col("at").alias("batch")).write.partitionBy("batch").parquet(f"{folder}/batches")
     feed, out, latest = f"{folder}/feed", f"{folder}/out", None
@@ -303,13 +362,13 @@ def run_batches(spark: SparkSession, rows: DataFrame, folder: str, batches: int)
             if at <= batches and at in days:
                 own = spark.read.schema(INPUT).parquet(f"{feed}/data-{at}").where("salt = 0").select(*KEY, "segment").distinct()
                 news = news.unionByName(own.join(latest.where("segment >= 1").select(*KEY).distinct(), KEY)).distinct()
-            control = told(news.join(progress(latest), KEY, "left").withColumns({"salt": F.lit(0), "at": F.lit(at)}), at)
+            control = told(news.join(progress(latest), KEY, "left").withColumn("at", F.lit(at)), at)
             for name in columns:
                 if name not in control.columns:
                     control = control.withColumn(name, F.lit(None))
             control.select(*typed).write.parquet(f"{feed}/control-{at}")
         stream = spark.readStream.schema(INPUT).parquet(f"{feed}/*")
-        applied = stream.groupBy(*KEY, "segment", "salt").transformWithState(Applier(), OUTPUT, "Append", "None")
+        applied = stream.groupBy("bucket").transformWithState(Applier(), OUTPUT, "Append", "None")
         query = applied.writeStream.format("parquet").partitionBy("kind", "at").option("checkpointLocation", f"{folder}/state").option("path", out).trigger(availableNow=True).start()
         try:
             query.awaitTermination()
