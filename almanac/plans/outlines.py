@@ -89,7 +89,7 @@ def eval_table_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
     from almanac.functions.text import component_kind
 
     rows = evaltable.evaluation_rows(outlines(spark, sf_dir).select("doc_id", F.translate("text", "\f", "\n").alias("text")), "doc_id")
-    rows = handouts.component_details(rows).withColumn("type", component_kind(F.col("name")))
+    rows = handouts.component_details(rows, ["doc_id", "row_number"]).withColumn("type", component_kind(F.col("name")))
     return rows.select("doc_id", "row_number", "name", "weight", "marks", "weight_basis", "declared_total_marks", "type", "count", "announcement", "book_policy")
 
 

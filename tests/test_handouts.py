@@ -43,7 +43,7 @@ def parsed(spark):
     ]
     df = spark.createDataFrame(docs, "doc_id string, file_name string, text string")
     records, components, rules = handouts.parse(df)
-    return {r["doc_id"]: r for r in records.collect()}, components.collect()
+    return {r["doc_id"]: r for r in records.collect()}, components.orderBy("doc_id", "row_number").collect()
 
 
 def test_record_of_a_full_outline(parsed):
