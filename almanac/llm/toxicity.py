@@ -2,22 +2,22 @@
 
 Voters. Each voter looks for one word or word beginning, or for one surface
 pattern. The lexicon of words and beginnings is mined from a bounded sample of
-labelled training rows, and holds only what is toxic beyond chance; patterns
-are fixed. Nothing else is learned from labels but the class balance and the
-side that each voter takes.
-
-Label model. A voter fires or abstains. With class balance b, two voters that
-are independent given the class have covariance b (1 - b) d_i d_j, where d is
-the voter's firing rate in toxic minus that in clean texts. d is fitted to the
-off-diagonal of the covariance matrix of all documents' votes (a fixed number
-of sums per corpus), leaving out pairs whose residual shows that they depend
-on each other; such pairs share their evidence in the posterior. Both firing
-and abstaining are evidence.
+labelled training rows: labels say which features are commoner in toxic rows
+than chance allows, and so the side that a voter takes. They also give the
+class balance. Labels say nothing else: no accuracy is read from them, and none
+is a target.
+
+Label model. A voter fires or abstains, and both are evidence. Voters that fire
+together more often than chance are correlated and make a group, such as the
+insults of one language. A text is clean, or toxic in a sparse or a dense way
+of one group; given that, its voters are independent. The shares of these kinds
+and the rates at which each voter fires in each kind are estimated by
+expectation maximisation over the votes of all documents, from the same start
+for all voters. A task sends a fixed number of sums a round.
 
 Classifier. A logistic regression with an L1 penalty on words and word
-beginnings is trained on the label model's posteriors of a bounded sample of
-documents, most of them without a label; a label is never a target. It alone
-scores texts.
+beginnings is trained on the label model's posteriors of the labelled sample's
+texts. It alone scores texts.
 
 Edge cases: null and empty texts get the score of a text without features;
 without labelled training rows of both kinds, or without a voter, all texts
@@ -31,20 +31,24 @@ import math
 import re
 import zlib
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac.llm.common import fold, labelled_sample, map_batches, table
+from almanac.llm.common import cut, fold, labelled_sample, map_batches, table
 
 #: Bound of the labelled sample that voters are mined from, drawn in equal parts of both labels.
 SAMPLE_ROWS = 4000
-#: Bound of the documents, drawn whatever their labels, whose posteriors join those of the sample as targets.
-UNLABELLED_ROWS = 4000
 VOTERS = 48
+#: Rounds of expectation maximisation, and the rates it starts from for dense and sparse kinds.
+ROUNDS, START = 25, (0.5, 0.15)
+#: Least correlation of two voters of a group.
+LEAST_CORRELATION = 0.1
 FEATURES = 1024
 STEMS = (4, 5, 6, 8)
 PRIOR = 0.05
@@ -68,58 +72,76 @@ def features(text: str | None) -> set[str]:
 
 @dataclass
 class LabelModel:
-    """Firing rates of the voters in toxic and in clean texts, how far each shares evidence, and which pairs exclude each other."""
+    """The shares of the kinds of texts (clean first), and the rate at which each voter fires in each kind."""
 
-    toxic: np.ndarray
-    clean: np.ndarray
     share: np.ndarray
-    excludes: np.ndarray
-    balance: float
+    rates: np.ndarray
+
+    def kinds(self, votes: np.ndarray) -> np.ndarray:
+        """The chance of each kind for texts with these votes."""
+        z = np.log(self.share) + votes @ np.log(self.rates / (1 - self.rates)).T + np.log(1 - self.rates).sum(axis=1)
+        e = np.exp(z - z.max(axis=1, keepdims=True))
+        return e / e.sum(axis=1, keepdims=True)
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        """The chance that a text with these votes is toxic; a voter whose rival fires says nothing by abstaining."""
-        fires, abstains = np.log(self.toxic / self.clean), np.log((1 - self.toxic) / (1 - self.clean))
-        silent = (1 - votes) * (votes @ self.excludes == 0)
-        z = np.log(self.balance / (1 - self.balance)) + votes @ (fires * self.share) + silent @ (abstains * self.share)
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-
-
-def fit_label_model(n: float, once: np.ndarray, twice: np.ndarray, balance: float, anchor: np.ndarray, rounds: int = 200) -> LabelModel:
-    """Fit from counts: texts, firings by voter, joint firings by pair.
-
-    ``anchor`` (firing rate in toxic minus clean texts of the sample) shows
-    which pairs depend on each other given the class: those whose covariance is
-    off by more than half of what independence makes it, beyond chance. A
-    voter's d comes from the covariances with its independent partners, with
-    the anchor fixing the sign; with fewer than two such partners covariances
-    do not determine it, and it stays at the anchor.
+        return 1 - self.kinds(votes)[:, 0]
+
+
+def groups_of(n: float, once: np.ndarray, twice: np.ndarray) -> list[list[int]]:
+    """Groups of voters that fire together beyond chance, from counts of texts, firings and joint firings."""
+    chance = np.outer(once, once) / max(n, 1)
+    spread = np.sqrt(np.maximum(once * (1 - once / max(n, 1)), 1e-9))
+    linked = (twice - chance > 4 * np.sqrt(np.maximum(chance, 1))) & (twice - chance > LEAST_CORRELATION * np.outer(spread, spread))
+    left, out = set(range(len(once))), []
+    while left:
+        group, queue = [], [left.pop()]
+        while queue:
+            i = queue.pop()
+            group.append(i)
+            near = {j for j in left if linked[i, j]}
+            left -= near
+            queue += near
+        out.append(sorted(group))
+    return sorted(g for g in out if len(g) > 1)
+
+
+def fit_label_model(votes: DataFrame, voters: int, balance: float, rounds: int = ROUNDS, start: tuple[float, float] = START) -> LabelModel | None:
+    """Fit to ``votes`` (at: the voters that fire, n: texts with these votes); None if no two voters agree.
+
+    ``start`` are the rates of a dense and of a sparse kind's own voters before the first round.
     """
-    m = len(once)
-    mean = once / max(n, 1)
-    scale = balance * (1 - balance)
-    cov = twice / max(n, 1) - np.outer(mean, mean)
-    spread = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-    chance = 4 * np.outer(spread, spread) / math.sqrt(max(n, 1))
-    off = ~np.eye(m, dtype=bool)
-    d = anchor.astype(float).copy()
-
-    def dependence() -> tuple[np.ndarray, np.ndarray]:
-        expected = scale * np.outer(d, d)
-        rest = cov - expected
-        return (np.abs(rest) > np.maximum(0.5 * np.abs(expected), chance)) & off, rest
-
-    dependent, rest = dependence()
-    used = off & ~dependent & (np.abs(anchor) > 0.01)[None, :]
+    def laid_out(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        at = batch.column("at")
+        x = np.zeros((batch.num_rows, voters))
+        x[np.repeat(np.arange(batch.num_rows), pc.list_value_length(at).to_numpy()), at.flatten().to_numpy()] = 1
+        return x, batch.column("n").to_numpy()
+
+    def summed(rows: Callable[[np.ndarray], np.ndarray], height: int) -> np.ndarray:
+        """The sum over all texts of rows(votes)' times (1, votes), a matrix of ``height`` rows."""
+        def run(batches):
+            total = np.zeros((height, voters + 1))
+            for batch in batches:
+                x, n = laid_out(batch)
+                total += (rows(x) * n[:, None]).T @ np.column_stack([np.ones(len(x)), x])
+            yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], names=["sums"])
+
+        found = votes.mapInArrow(run, "sums array<double>").collect()  # a task sends one row
+        return np.sum([r["sums"] for r in found], axis=0).reshape(height, voters + 1) if found else np.zeros((height, voters + 1))
+
+    pairs = summed(lambda x: np.column_stack([np.ones(len(x)), x]), voters + 1)
+    groups = groups_of(pairs[0, 0], pairs[0, 1:], pairs[1:, 1:])
+    if not groups:
+        return None
+    rates = np.full((1 + 2 * len(groups), voters), 0.003)
+    for k, group in enumerate(groups):
+        rates[2 * k + 1, group], rates[2 * k + 2, group] = start
+    model = LabelModel(np.r_[1 - balance, np.full(2 * len(groups), balance / len(groups) / 2)], rates)
     for _ in range(rounds):
-        for i in np.flatnonzero(used.sum(axis=1) >= 2).tolist():
-            k = used[i]
-            d[i] = (cov[i, k] / scale @ d[k] + 0.01 * anchor[i] * (anchor @ anchor)) / (d[k] @ d[k] + 0.01 * (anchor @ anchor) + 1e-12)
-        d = np.clip(d, -0.98, 0.98)
-    dependent, rest = dependence()
-    toxic = np.clip(mean + (1 - balance) * d, 1e-4, 1 - 1e-4)
-    clean = np.clip(mean - balance * d, 1e-4, 1 - 1e-4)
-    linked = np.where(dependent & (rest > 0), np.minimum(rest / np.outer(spread, spread), 1), 0)
-    return LabelModel(toxic, clean, 1 / (1 + linked.sum(axis=1)), (dependent & (rest < 0)).astype(float), balance)
+        sums = summed(model.kinds, len(model.share))
+        whole, fired = sums[:, 0], sums[:, 1:]
+        toxic = (whole[1:] + 1) / (whole[1:] + 1).sum()
+        model = LabelModel(np.r_[1 - balance, balance * toxic], np.clip((fired + 0.005) / (whole[:, None] + 0.5), 1e-4, 1 - 1e-4))
+    return model
 
 
 @dataclass
@@ -234,43 +256,16 @@ def train_classifier(sample: Rows, target: np.ndarray, balance: float, steps: in
     return {sample.names[f]: float(w[i]) for i, f in enumerate(best) if abs(w[i]) > 1e-4}, b
 
 
-def vote_counts(docs: DataFrame, voters: list[str]) -> tuple[float, np.ndarray, np.ndarray]:
-    """Over all rows: texts, firings by voter, joint firings by pair. A fixed number of sums leaves each task."""
-    m = len(voters)
-
-    def run(batches):
-        sums, n = np.zeros((m, m), np.int64), 0
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                at = vote(text, voters)
-                n += 1
-                if at:
-                    sums[np.ix_(at, at)] += 1
-        i, j = np.nonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(i, -1), pa.int32()), pa.array(np.append(j, -1), pa.int32()), pa.array(np.append(sums[i, j], n), pa.int64())], names=["i", "j", "n"])
-
-    twice, n = np.zeros((m, m)), 0
-    for r in docs.select("text").mapInArrow(run, "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect():
-        if r["i"] < 0:
-            n = r["n"]
-        else:
-            twice[r["i"], r["j"]] = r["n"]
-    return float(n), np.diag(twice).copy(), twice
-
-
-def unlabelled_sample(docs: DataFrame, rows: int, key: str) -> list[str | None]:
-    """Texts of at most ``rows`` ids in hash order; of texts that share an id one is taken."""
-    ids = docs.select(F.xxhash64(F.col(key).cast("string"), F.lit("unlabelled")).alias("h")).distinct().orderBy("h").limit(rows)
-    last = ids.agg(F.max("h")).first()[0]
-    if last is None:
-        return []
-    h = F.xxhash64(F.col(key).cast("string"), F.lit("unlabelled"))
-    found = docs.select(h.alias("h"), "text").where(F.col("h") <= F.lit(last)).groupBy("h").agg(F.min("text").alias("text")).collect()
-    return [r["text"] for r in sorted(found, key=lambda r: r["h"])]
-
-
-def fit(docs: DataFrame, labels: DataFrame, training: DataFrame | None = None, key: str = "doc_id", rows: int = SAMPLE_ROWS, unlabelled: int = UNLABELLED_ROWS) -> ToxicityModel:
-    """Fit on ``labels`` (key, toxic), whose rows all count as training rows, the texts of ``training`` (all of ``docs`` if none), and the votes of all ``docs``."""
+def vote_sets(docs: DataFrame, voters: list[str]) -> DataFrame:
+    """(at, n): which voters fire together, and in how many of all rows."""
+    def run(batch: pa.RecordBatch) -> dict:
+        return {"at": [vote(text, voters) for text in batch.column("text").to_pylist()]}
+
+    return map_batches(docs.select("text"), run, "at array<int>").groupBy("at").agg(F.count("*").alias("n"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", rows: int = SAMPLE_ROWS) -> ToxicityModel:
+    """Fit on ``labels`` (key, toxic), whose rows all count as training rows, and the votes of all ``docs``."""
     known = labels.where("toxic IS NOT NULL").select(key, F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic"))
     balance = known.agg(F.avg("toxic")).first()[0]
     if balance is None:
@@ -281,20 +276,16 @@ def fit(docs: DataFrame, labels: DataFrame, training: DataFrame | None = None, k
     truth = np.array([int(r["toxic"]) for r in chosen])
     if not 0 < truth.sum() < len(truth):
         return ToxicityModel()
-    texts = [r["text"] for r in chosen] + unlabelled_sample(docs if training is None else training, unlabelled, key)
-    sample = Rows(texts)
-    known_rows = np.arange(len(texts)) < len(truth)
-    is_bad = np.zeros(len(texts))
-    is_bad[: len(truth)] = truth
-    voters = choose_voters(sample.names, sample.sums(is_bad), sample.sums(known_rows - is_bad), int(truth.sum()), int(len(truth) - truth.sum()))
+    sample = Rows([r["text"] for r in chosen])
+    voters = choose_voters(sample.names, sample.sums(truth), sample.sums(1 - truth), int(truth.sum()), int(len(truth) - truth.sum()))
     if not voters:
         return ToxicityModel()
-    votes = np.zeros((len(texts), len(voters)))
-    for r, text in enumerate(texts):
-        votes[r, vote(text, voters)] = 1
-    own = votes[: len(truth)]
-    anchor = own[truth == 1].mean(axis=0) - own[truth == 0].mean(axis=0)
-    model = fit_label_model(*vote_counts(docs, voters), balance, anchor)
+    model = fit_label_model(cut(vote_sets(docs, voters)), len(voters), balance)
+    if model is None:
+        return ToxicityModel()
+    votes = np.zeros((len(chosen), len(voters)))
+    for r, row in enumerate(chosen):
+        votes[r, vote(row["text"], voters)] = 1
     weights, bias = train_classifier(sample, model.posterior(votes), balance)
     return ToxicityModel(weights, bias, voters, model)
 
@@ -312,5 +303,5 @@ def score(docs: DataFrame, model: ToxicityModel, key: str = "doc_id") -> DataFra
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held = fold(F.col("doc_id"), 5) == 0
-    model = fit(docs, labels.where(~held), docs.where(~held))
+    model = fit(docs, labels.where(~held))
     return score(docs, model).withColumn("held_out", held).withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))

@@ -88,7 +88,7 @@ def toxic_rows(spark):
     d = "/root/testdata/sf0.1"
     frame, labels = table(spark, d, "documents"), table(spark, d, "labels")
     held = fold(F.col("doc_id"), 5) == 0
-    model = toxicity.fit(frame, labels.where(~held), frame.where(~held))
+    model = toxicity.fit(frame, labels.where(~held))
     return model, frame.where(held).join(labels.where("toxic IS NOT NULL"), "doc_id").select("text", "toxic").collect()
 
 
@@ -99,17 +99,19 @@ def caught(found, rows):
 
 
 def test_label_model_and_classifier_on_held_out_rows(toxic_rows):
+    """No accuracy comes from labels; at least 85 of 97 toxic rows are caught, with at most 5 of 728 clean ones."""
     model, rows = toxic_rows
     votes = np.zeros((len(rows), len(model.voters)))
     for i, r in enumerate(rows):
         votes[i, toxicity.vote(r["text"], model.voters)] = 1
     for found in (model.labels.posterior(votes) >= 0.5, np.array([model.score(r["text"]) for r in rows]) >= 0.5):
         share, false = caught(found, rows)
-        assert share > 0.85 and false <= 3
-    # Without the estimated dependence, silent voters of another kind of text talk rows clean.
-    plain = toxicity.LabelModel(model.labels.toxic, model.labels.clean, np.ones(len(model.voters)), np.zeros_like(model.labels.excludes), model.labels.balance)
-    mean_with, mean_without = (m.posterior(votes)[[r["toxic"] == 1 for r in rows]].mean() for m in (model.labels, plain))
-    assert mean_with > mean_without
+        assert share >= 85 / 97 and false <= 5
+    # One kind of toxic texts for all groups would talk rows of the smaller groups clean.
+    share, rates = model.labels.share, model.labels.rates
+    single = toxicity.LabelModel(np.array([share[0], 1 - share[0]]), np.stack([rates[0], share[1:] @ rates[1:] / share[1:].sum()]))
+    toxic = [r["toxic"] == 1 for r in rows]
+    assert model.labels.posterior(votes)[toxic].mean() > single.posterior(votes)[toxic].mean()
 
 
 def test_a_label_is_never_a_target(spark):

@@ -207,17 +207,33 @@ def test_toxicity_held_out(spark):
     assert all(r["predicted"] == (r["score"] >= 0.5) for r in rows)
 
 
-def test_label_model_finds_accuracies_and_dependence():
+def vote_sets(spark, votes):
+    return spark.createDataFrame([([int(i) for i in np.flatnonzero(v)], 1) for v in votes], "at array<int>, n long").groupBy("at").agg(F.sum("n").alias("n"))
+
+
+def test_label_model_finds_groups_and_rates_without_labels(spark):
+    """Two groups of voters that exclude each other, and one voter that knows nothing."""
     rng = np.random.default_rng(0)
-    n, balance = 40_000, 0.2
-    y = rng.random(n) < balance
-    rates = [(0.6, 0.01), (0.5, 0.02), (0.4, 0.01), (0.3, 0.05)]
-    votes = np.array([rng.random(n) < np.where(y, a, b) for a, b in rates]).T.astype(float)
-    votes = np.hstack([votes, votes[:, :1]])  # the last voter repeats the first
-    model = toxicity.fit_label_model(n, votes.sum(axis=0), votes.T @ votes, balance, np.array([0.55, 0.45, 0.4, 0.25, 0.55]))
-    assert np.allclose(model.toxic[1:4], [0.5, 0.4, 0.3], atol=0.06)
-    assert np.allclose(model.clean[1:4], [0.02, 0.01, 0.05], atol=0.03)
-    assert model.share[0] < 0.7 and model.share[4] < 0.7 and model.share[1] > 0.9
+    n = 20_000
+    kind = rng.choice(3, n, p=[0.85, 0.1, 0.05])
+    rates = np.array([[0.01, 0.02, 0.01, 0.01, 0.01, 0.01, 0.1], [0.6, 0.5, 0.4, 0.01, 0.01, 0.01, 0.1], [0.01, 0.02, 0.01, 0.5, 0.6, 0.7, 0.1]])
+    votes = (rng.random((n, 7)) < rates[kind]).astype(float)
+    frame = vote_sets(spark, votes)
+    model = toxicity.fit_label_model(frame, 7, 0.15)
+    assert len(model.share) == 5 and abs(model.share[1:3].sum() - 0.1) < 0.03
+    mixed = model.share[1:] @ model.rates[1:] / 0.15
+    assert np.allclose(mixed[:6], (0.1 * rates[1] + 0.05 * rates[2])[:6] / 0.15, atol=0.06)
+    assert np.allclose(model.rates[0], rates[0], atol=0.02)
+    known = toxicity.LabelModel(np.array([0.85, 0.1, 0.05]), rates)
+    right, best = (np.mean((m.posterior(votes) >= 0.5) == (kind > 0)) for m in (model, known))
+    assert right > best - 0.03
+    # The start of the rates does not matter.
+    for start in ((0.6, 0.1), (0.4, 0.2)):
+        assert np.abs(toxicity.fit_label_model(frame, 7, 0.15, start=start).posterior(votes) - model.posterior(votes)).mean() < 0.02
+
+
+def test_voters_that_never_agree_give_no_model(spark):
+    assert toxicity.fit_label_model(vote_sets(spark, np.eye(4)), 4, 0.1) is None
 
 
 def test_toxicity_without_labels(spark):
