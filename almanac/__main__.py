@@ -35,7 +35,7 @@ def arguments(given: Sequence[str] | None = None) -> argparse.Namespace:
     return parser.parse_args(given)
 
 
-def build(spark: SparkSession, root: str, out: str, decode: Callable[[bytes], str]) -> dict[str, int]:
+def build(spark: SparkSession, root: str, out: str, decode: Callable[[bytes], str] | None) -> dict[str, int]:
     """Write every table of the build but the report, and return the report."""
 
     def lines(name: str) -> DataFrame:
@@ -51,7 +51,7 @@ def build(spark: SparkSession, root: str, out: str, decode: Callable[[bytes], st
     return {r["what"]: r["n"] for r in report.collect()}  # a row a table
 
 
-def outlines(spark: SparkSession, root: str, out: str, limit: int | None, decode: Callable[[bytes], str]) -> dict[str, int]:
+def outlines(spark: SparkSession, root: str, out: str, limit: int | None, decode: Callable[[bytes], str] | None) -> dict[str, int]:
     """Write the records, components, rules and quarantine of the outlines, and return their counts."""
     read = f"{out}/texts"
     ingest.texts(ingest.pdf_files(spark, root, limit), decode).write.mode("overwrite").parquet(read)  # files are decoded once
@@ -63,7 +63,7 @@ def outlines(spark: SparkSession, root: str, out: str, limit: int | None, decode
     return {name: spark.read.text(f"{out}/{name}").count() for name in results}
 
 
-def main(given: Sequence[str] | None = None, spark: SparkSession | None = None, decode: Callable[[bytes], str] = ingest.decode_pdf) -> None:
+def main(given: Sequence[str] | None = None, spark: SparkSession | None = None, decode: Callable[[bytes], str] | None = None) -> None:
     args = arguments(given)
     spark = spark or SparkSession.builder.appName("almanac").getOrCreate()
     out = args.out or f"{args.root}/tables"

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import shutil
-import subprocess
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -12,6 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from almanac.operators.rounds import settled
+from almanac.sources import pdf
+
 #: Rows of words closer than this are one line; a column is so many points wide.
 LINE_GAP, POINTS = 3.0, 4.0
 
@@ -35,24 +36,61 @@ def save_profile(df: DataFrame, path: str) -> None:
     df.limit(1).coalesce(1).write.mode("overwrite").json(path)
 
 
-def pdf_files(spark: SparkSession, folder: str, limit: int | None = None) -> DataFrame:
-    """(path, content) of the PDF files of a folder, in order of path; ``limit`` must be positive."""
+def pdf_files(spark: SparkSession, folder: str, limit: int | None = None, pattern: str = "*.[pP][dD][fF]") -> DataFrame:
+    """(path, content) of the PDF files of a folder, in order of path; ``limit`` must be positive.
+
+    Spark plans the partitions by the files' sizes, and reads no content for a
+    query that asks for paths only. A limit picks paths before contents are read.
+    """
     if limit is not None and limit < 1:
         raise ValueError("limit must be at least 1")
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").load(folder).select("path", "content")
-    return files.orderBy("path").limit(limit) if limit else files
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "content")
+    if limit is None:
+        return files
+    return files.join(F.broadcast(files.select("path").orderBy("path").limit(limit)), "path", "left_semi")
+
+
+READ = "struct<error:string,n_pages:int,words:array<struct<page:int,x:double,y:double,word:string>>>"
+
+
+def read_pdf(content: bytes | None) -> tuple:
+    """(error, pages, words) of a PDF; whatever goes wrong is the file's error."""
+    try:
+        pages = pdf.words(bytes(content or b""))
+        return None, max((w.page for w in pages), default=0), [tuple(w) for w in pages]
+    except Exception as e:  # noqa: BLE001  a file of any content must leave the scan going
+        return f"{type(e).__name__}: {e}", None, None
+
 
+def documents(files: DataFrame) -> DataFrame:
+    """``files`` (path, content) with error, n_pages and words (page, x, y, word) in place of the content.
+
+    Reading is a column, so a query that uses none of them decodes nothing; a
+    file that cannot be read is one row with its error.
+    """
+    read = F.udf(read_pdf, READ, useArrow=True)
+    others = [c for c in files.columns if c != "content"]
+    return files.withColumn("_read", read("content")).select(*others, "_read.error", "_read.n_pages", "_read.words")
 
-def decode_pdf(content: bytes) -> str:
-    """Text of a PDF in its layout, pages parted by form feeds, by Poppler's ``pdftotext``."""
-    if not shutil.which("pdftotext"):
-        raise RuntimeError("pdftotext (Poppler) is needed to read PDF files")
-    done = subprocess.run(["pdftotext", "-layout", "-", "-"], input=content, capture_output=True, check=True)
-    return done.stdout.decode("utf-8", "replace")
 
+def page_texts(read: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, page_no, text): the pages of ``documents`` that have words, in their layout."""
+    words = read.select(*keys, F.inline("words")).withColumnRenamed("page", "page_no")
+    return layout_words(words, [*keys, "page_no"])
 
-def texts(files: DataFrame, decode: Callable[[bytes], str] = decode_pdf) -> DataFrame:
-    """(source_file, text, error): a file that cannot be read gives its error, and the scan goes on."""
+
+def texts(files: DataFrame, decode: Callable[[bytes], str] | None = None) -> DataFrame:
+    """(source_file, text, error), pages parted by form feeds: a file that cannot be read gives its error, and the scan goes on.
+
+    Files are decoded once, whatever reads the result; ``decode`` is another decoder of whole files.
+    """
+    if decode is None:
+        read = settled(documents(files).withColumn("source_file", F.element_at(F.split("path", "/"), -1)))
+        at = F.struct("page_no", "text")
+        pages = page_texts(read.where("error IS NULL"), ["path"]).groupBy("path").agg(F.map_from_entries(F.collect_list(at)).alias("pages"))
+        every = F.transform(F.sequence(F.lit(1), F.col("n_pages")), lambda n: F.coalesce(F.try_element_at("pages", n), F.lit("")))
+        text = F.when(F.col("error").isNull(), F.when(F.col("n_pages") > 0, F.array_join(every, "\f")).otherwise(""))
+        return read.drop("words").join(pages, "path", "left").select("source_file", text.alias("text"), "error")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -64,7 +102,7 @@ def texts(files: DataFrame, decode: Callable[[bytes], str] = decode_pdf) -> Data
                     rows.append((path.rpartition("/")[2], None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=["source_file", "text", "error"])
 
-    return files.mapInPandas(run, "source_file string, text string, error string")
+    return settled(files.mapInPandas(run, "source_file string, text string, error string"))
 
 
 def lines_of(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
