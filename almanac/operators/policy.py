@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -91,23 +92,23 @@ def findings(students: DataFrame, planned: DataFrame, catalogue: DataFrame, offe
     return reduce(lambda a, b: a.unionByName(b), [over, absent, cancelled, restricted, failed, review])
 
 
-def typed_rules(clauses: DataFrame) -> DataFrame:
-    """Rules whose numbers are explicit, for clauses that exist (of equal ids the last wins)."""
+def typed_rules(clauses: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Rules whose numbers are explicit, for clauses that exist; of clauses with equal ids (and ``by``) the last wins."""
     from almanac.operators.sequence import last_wins
 
     specs = clauses.sparkSession.createDataFrame([(i, *s) for i, s in enumerate(fixed.TYPED_RULES)], "spec int, clause_id string, kind string, parameters string")
-    source = last_wins(clauses, ["clause_id"], ["ordinal"])
+    source = last_wins(clauses, [*by, "clause_id"], ["ordinal"])
     name = F.concat(F.lit("regulation_"), F.translate("clause_id", ".", "_"), F.lit("_"), F.col("kind"))
     return source.join(F.broadcast(specs), "clause_id").select(  # six rows
-        "spec", name.alias("rule_id"), "kind", "parameters", F.lit("as stated in source clause").alias("scope"), "clause_id"
+        *by, "spec", name.alias("rule_id"), "kind", "parameters", F.lit("as stated in source clause").alias("scope"), "clause_id"
     )
 
 
-def registry(clauses: DataFrame, rules: DataFrame) -> DataFrame:
+def registry(clauses: DataFrame, rules: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Every clause, numbered in order within its document, as partially automated or for manual review."""
     from almanac.operators.sequence import numbered
 
-    automated = rules.select("clause_id").distinct().withColumn("_rule", F.lit(True))
-    rows = numbered(clauses, ["source_document"], ["ordinal"], "place").join(automated, "clause_id", "left")
+    automated = rules.select(*by, "clause_id").distinct().withColumn("_rule", F.lit(True))
+    rows = numbered(clauses, ["source_document"], ["ordinal"], "place").join(automated, [*by, "clause_id"], "left")
     name = F.concat(F.lit("regulation_"), F.translate("clause_id", ". ", "__"), F.lit("_"), F.col("place"))
     return rows.withColumn("rule_id", name).withColumn("automation", F.when(F.col("_rule"), "partially_automated").otherwise("manual_review")).drop("_rule")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from almanac.functions import fixed
-from almanac.operators import catalog
+from almanac.operators import catalog, policy
 from almanac.plans.academic import ORDINAL, read
 from almanac.plans.outlines import pick
 from almanac.sources.ingest import lines_of
@@ -170,6 +170,34 @@ def regulation_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("source_document", F.col("ordinal").cast("int").alias("ordinal"), "clause_id", F.array_join(F.transform("pages", lambda p: p.cast("string")), ",").alias("pages"), "text")
 
 
+#: Ids of clauses, by their place in a regulation.
+CLAUSE_IDS = ["1.01", "1.02", "1.03", "2.05", "2.08", "2.10", "3.13a"]
+CLAUSES_SQL = ORDERS_SQL.rstrip() + f""", c AS (SELECT source_document, n, [{', '.join(repr(c) for c in CLAUSE_IDS)}][n % 7 + 1] AS clause_id FROM numbered),
+specs AS (SELECT unnest([{', '.join(f"{{'clause_id': '{c}', 'kind': '{k}'}}" for c, k, _ in fixed.TYPED_RULES)}], recursive := true))
+"""
+
+
+def extracted_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clauses read from regulations written for every customer, a clause for each order."""
+    number = F.get(F.array(*map(F.lit, CLAUSE_IDS)), (F.col("n") % 7).cast("int"))
+    line = F.concat(F.lit("Rule "), F.col("k").cast("string"), F.lit(" binds whoever asks     "), number)
+    return catalog.clauses(written(orders(spark, sf_dir), F.col("o_custkey"), ["n"], [["Regulations", line]]))
+
+
+@query(CLAUSES_SQL + """SELECT source_document, 'regulation_' || replace(clause_id, '.', '_') || '_' || kind AS rule_id, kind, clause_id FROM (SELECT DISTINCT source_document, clause_id FROM c) JOIN specs USING (clause_id)""")
+def typed_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules with explicit numbers, from the clauses extracted from every regulation."""
+    return policy.typed_rules(extracted_clauses(spark, sf_dir), ["source_document"]).select("source_document", "rule_id", "kind", "clause_id")
+
+
+@query(CLAUSES_SQL + """SELECT source_document, 'regulation_' || replace(replace(clause_id, '.', '_'), ' ', '_') || '_' || n AS rule_id,
+  CASE WHEN clause_id IN (SELECT clause_id FROM specs) THEN 'partially_automated' ELSE 'manual_review' END AS automation FROM c""")
+def registry_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every extracted clause as a registry entry, numbered within its regulation."""
+    clauses = extracted_clauses(spark, sf_dir)
+    return policy.registry(clauses, policy.typed_rules(clauses, ["source_document"]), ["source_document"]).select("source_document", "rule_id", "automation")
+
+
 @query(ORDERS_SQL + "SELECT source_document, 'timetable_registration_' || n AS rule_id, 'Order ' || k || ' is due before ' || day AS text FROM numbered")
 def registration_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbered instructions of all timetables, between their heading and the next part."""

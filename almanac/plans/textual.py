@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from almanac.functions import fixed, text
@@ -91,29 +91,31 @@ def title_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("course"), text.title_case(F.col("p_name")).alias("title"))
 
 
-CODES = [
-    (1, "cs g 527"), (2, "CS_F301 and more"), (3, "see BIO F101"), (4, "none here"), (5, "HSS F266-1"), (6, "X F100"), (7, "math f111a"), (8, None),
-]
 CODE_SQL = r"([A-Z]{2,8})\s+([A-Z])\s*([0-9]{3}[A-Z]?(?:-[0-9]+)?)"
 
 
+CODE_LINE = """CASE p_partkey % 6 WHEN 0 THEN 'cs g ' || lpad(CAST(p_partkey % 1000 AS VARCHAR(9)), 3, '0') WHEN 1 THEN 'CS_F' || lpad(CAST(p_partkey % 1000 AS VARCHAR(9)), 3, '0') || ' and more'
+  WHEN 2 THEN 'see BIO F' || lpad(CAST(p_partkey % 1000 AS VARCHAR(9)), 3, '0') || 'a-' || CAST(p_size AS VARCHAR(9)) WHEN 3 THEN 'X F' || lpad(CAST(p_partkey % 1000 AS VARCHAR(9)), 3, '0') WHEN 4 THEN p_name END"""
+
+
 @query(f"""
-WITH {values('raw', 'id, line', CODES)}, u AS (SELECT id, upper(replace(line, '_', ' ')) AS line FROM raw)
+WITH raw AS (SELECT p_partkey AS id, {CODE_LINE} AS line FROM part), u AS (SELECT id, upper(replace(line, '_', ' ')) AS line FROM raw)
 SELECT id, CASE WHEN regexp_matches(line, '{CODE_SQL}') THEN regexp_extract(line, '{CODE_SQL}', 1) || ' ' || regexp_extract(line, '{CODE_SQL}', 2) || regexp_extract(line, '{CODE_SQL}', 3) END AS code FROM u""")
 def code_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(CODES, "id int, line string").select("id", text.code(F.col("line")).alias("code"))
-
-
-LINES = [(1, "CS F111, CS F211 and CS F111"), (2, "no code"), (3, "MATH F112 with PHY F110 / CHEM F110"), (4, None)]
+    """The first course code of a line for every part; some lines have none."""
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.code(F.expr(CODE_LINE)).alias("code"))
 
 
-@query(f"""
-WITH {values('raw', 'id, line', LINES)}, hits AS (SELECT id, unnest(regexp_extract_all(line, '{CODE_SQL}')) AS hit, generate_subscripts(regexp_extract_all(line, '{CODE_SQL}'), 1) AS pos FROM raw),
-firsts AS (SELECT id, regexp_replace(hit, '\\s+', ' ') AS code, min(pos) AS pos FROM hits GROUP BY ALL)
-SELECT raw.id, coalesce(string_agg(code, ',' ORDER BY pos), '') AS codes FROM raw LEFT JOIN firsts USING (id) GROUP BY raw.id""")
+@query("""
+WITH codes AS (SELECT l_orderkey, ['CS', 'MATH', 'BIO'][l_partkey % 3 + 1] || ' F' || lpad(CAST(l_partkey % 500 AS VARCHAR), 3, '0') AS code, min(l_linenumber) AS pos FROM lineitem GROUP BY ALL)
+SELECT l_orderkey AS id, string_agg(code, ',' ORDER BY pos, code) AS codes FROM codes GROUP BY l_orderkey""")
 def multi_code_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(LINES, "id int, line string")
-    return rows.select("id", F.coalesce(F.array_join(text.all_codes(F.col("line")), ","), F.lit("")).alias("codes"))
+    """All codes of a line in their order, for the parts of every order, with words between and repeats."""
+    dept = F.get(F.array(*map(F.lit, ("CS", "MATH", "BIO"))), (F.col("l_partkey") % 3).cast("int"))
+    code = F.concat(dept, F.when(F.col("l_linenumber") % 2 == 0, "  F").otherwise(" F"), F.lpad((F.col("l_partkey") % 500).cast("string"), 3, "0"))
+    listed = F.array_sort(F.collect_list(F.struct("l_linenumber", code.alias("code"))))
+    rows = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.array_join(F.transform(listed, lambda x: x["code"]), " with 12 or ").alias("line"))
+    return rows.select("id", F.array_join(text.all_codes(F.col("line")), ",").alias("codes"))
 
 
 @query(r"SELECT doc_id, trim(regexp_replace(text, '[ \t\n\r\f\x0B]+', ' ', 'g')) AS line FROM documents")
@@ -121,58 +123,76 @@ def compact_ws(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", text.compact(F.col("text")).alias("line"))
 
 
-NAMES = [
-    (1, "Mid-Semester Test", "midsem"), (2, "Comprehensive Exam", "compre"), (3, "Midsem Report", "project"), (4, "Mid sem seminar", "presentation"),
-    (5, "Surprise Quizzes", "quiz"), (6, "Lab quiz", "quiz"), (7, "Project report", "project"), (8, "Case Study", "case_study"), (9, "Class participation", "participation"),
-    (10, "Attendance", "other"), (11, "Tutorial test", "test"), (12, "Viva-voce", "viva"), (13, "Assignments", "assignment"), (14, "Mid term presentation exam", "midsem"),
-]
+#: Names of assessments are two of these, by the key.
+NAME_WORDS = ["Mid-Semester", "Compre", "Report", "seminar", "Quizzes", "Lab", "Project", "Case Study", "Class participation", "Attendance", "test", "Viva-voce", "Assignments", "mid term"]
+NAME_SQL = f"[{', '.join(repr(w) for w in NAME_WORDS)}]"
+#: A report on an exam before the last is no exam.
+REPORT_SQL = r"regexp_matches(name, '(?i)\bmid[-. ]*(?:sem|semester|term)\b') AND regexp_matches(name, '(?i)\b(?:report|seminar|presentation|project)\b') AND NOT regexp_matches(name, '(?i)\b(?:exam|examination|test)\b')"
+KIND_SQL = f"CASE WHEN {REPORT_SQL} THEN CASE WHEN regexp_matches(name, '(?i)seminar|presentation') THEN 'presentation' ELSE 'project' END " + " ".join(f"WHEN regexp_matches(name, '(?i){pattern}') THEN '{kind}'" for kind, pattern in fixed.COMPONENT_KINDS) + " ELSE 'other' END"
 
 
-@query(f"WITH {values('names', 'id, name, kind', NAMES)} SELECT id, kind FROM names")
+@query(f"""
+WITH names AS (SELECT o_orderkey AS id, {NAME_SQL}[o_orderkey % 14 + 1] || ' ' || {NAME_SQL}[o_orderkey // 14 % 14 + 1] AS name FROM orders)
+SELECT id, {KIND_SQL} AS kind FROM names""")
 def component_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(NAMES, "id int, name string, expected string").select("id", text.component_kind(F.col("name")).alias("kind"))
+    """The kind of an assessment from its name, for every order; all pairs of words occur."""
+    words, k = F.array(*map(F.lit, NAME_WORDS)), F.col("o_orderkey")
+    name = F.concat_ws(" ", F.get(words, (k % 14).cast("int")), F.get(words, (F.floor(k / 14) % 14).cast("int")))
+    return read(spark, sf_dir, "orders").select(k.alias("id"), text.component_kind(name).alias("kind"))
 
 
-HEADERS = [
-    (1, 60.0, "Component  Duration  Weightage"), (2, 60.0, "Component  Marks (200)"), (3, 60.0, "Component  Marks"), (4, 30.0, "Component Marks\nTotal Marks: 60"), (5, 10.0, "Marks %"),
-]
-FIELDS = [(1, 60.0, None, "weight_column", None), (2, 30.0, 60.0, "declared_marks_total", 200.0), (3, None, 60.0, "marks_only", None), (4, 50.0, 30.0, "declared_marks_total", 60.0), (5, 10.0, None, "weight_column", None)]
-
-
-@query(f"WITH {values('f', 'id, weight, marks, weight_basis, declared_total_marks', FIELDS)} SELECT id, CAST(weight AS DOUBLE) AS weight, CAST(marks AS DOUBLE) AS marks, weight_basis, CAST(declared_total_marks AS DOUBLE) AS declared_total_marks FROM f")
+@query("""
+WITH o AS (SELECT o_orderkey AS id, o_orderkey % 5 AS form, (o_orderkey // 5 % 20) * 5 AS share, [40, 60, 80, 200][o_orderkey % 4 + 1] AS total FROM orders)
+SELECT id, CASE WHEN form <> 2 THEN CAST(share AS DOUBLE) END AS weight, CASE WHEN form IN (1, 2, 3) THEN CAST(share * total / 100 AS DOUBLE) END AS marks,
+  CASE WHEN form IN (0, 4) THEN 'weight_column' WHEN form = 2 THEN 'marks_only' ELSE 'declared_marks_total' END AS weight_basis, CASE WHEN form IN (1, 3) THEN CAST(total AS DOUBLE) END AS declared_total_marks FROM o""")
 def marks_vs_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(HEADERS, "id int, value double, header string")
-    return rows.select("id", text.value_fields(F.col("value"), F.col("header")).alias("v")).select("id", "v.*")
+    """Marks told from weights by five kinds of headers, for every order."""
+    k = F.col("o_orderkey")
+    share, total = (F.floor(k / 5) % 20) * 5, F.get(F.array(*map(F.lit, (40, 60, 80, 200))), (k % 4).cast("int"))
+    value = F.when((k % 5).isin(0, 4), share).otherwise(share * total / 100).cast("double")
+    header = F.get(F.array(F.lit("Component  Duration  Weightage"), F.concat(F.lit("Component  Marks ("), total, F.lit(")")), F.lit("Component  Marks"), F.concat(F.lit("Component Marks\nTotal Marks: "), total), F.lit("Marks %")), (k % 5).cast("int"))
+    return read(spark, sf_dir, "orders").select(k.alias("id"), text.value_fields(value, header).alias("v")).select("id", "v.*")
 
 
-MEETINGS = [
-    (1, "M W F 2", "Fri2 Mon2 Wed2"), (2, "M W 5 Th 10", "Mon5 Thu10 Wed5"), (3, "Th 2 3", "Thu2"), (4, "T 89", "Tue8 Tue9"), (5, None, ""), (6, "Sa 10 12", "Sat10"), (7, "8 M 1", "Mon1"),
-]
+DAY_NAMES = ["M", "T", "W", "Th", "F", "S", "Su"]
 
 
-@query(f"WITH {values('m', 'id, meeting, slots', MEETINGS)} SELECT id, slots FROM m")
+@query(f"""
+WITH o AS (SELECT o_orderkey AS id, o_orderkey % 7 AS a, (o_orderkey + 1 + o_orderkey // 7 % 3) % 7 AS b, (o_orderkey + 4 + o_orderkey // 21 % 3) % 7 AS c, 1 + o_orderkey % 9 AS p, 1 + o_orderkey // 9 % 9 AS q FROM orders),
+days AS (SELECT *, ['Mon', 'Tue', 'Wed', 'Thu', 'Fri', 'Sat', 'Sun'] AS d FROM o)
+SELECT id, array_to_string(list_sort(list_distinct([d[a + 1] || p, d[b + 1] || p, d[c + 1] || q])), ' ') AS slots FROM days""")
 def meeting_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(MEETINGS, "id int, meeting string, expected string")
-    slots = F.transform(text.meeting_slots(F.col("meeting")), lambda s: F.concat(s["day"], s["period"].cast("string")))
-    return rows.select("id", F.array_join(slots, " ").alias("slots"))
+    """Days and periods of a meeting text with two lists, for every order."""
+    k, names = F.col("o_orderkey"), F.array(*map(F.lit, DAY_NAMES))
+
+    def day(n) -> Column:
+        return F.get(names, (n % 7).cast("int"))
+
+    meeting = F.concat_ws(" ", day(k), day(k + 1 + F.floor(k / 7) % 3), (1 + k % 9).cast("string"), day(k + 4 + F.floor(k / 21) % 3), (1 + F.floor(k / 9) % 9).cast("string"))
+    slots = F.transform(text.meeting_slots(meeting), lambda s: F.concat(s["day"], s["period"].cast("string")))
+    return read(spark, sf_dir, "orders").select(k.alias("id"), F.array_join(slots, " ").alias("slots"))
 
 
+#: Requests are made of three of these, by the key.
 ASKED = [
-    (1, "Suggest AI DELs with no midsem and no 8 AM classes"), (2, "suggest no quizzes AI DEL"), (3, "AI DEL with a small midsem"), (4, "open-book HUEL with projects, Mondays free"),
-    (5, "fewer quizzes and low exam weight"), (6, "lenient make-up OPELs without compre, avoid Friday or Tuesday"), (7, "project-based machine learning courses"), (8, ""),
+    "Suggest AI DELs", "with no midsem", "and no 8 AM classes", "no quizzes please", "with a small midsem", "open-book HUEL", "with projects, Mondays free", "fewer quizzes", "and low exam weight",
+    "lenient make-up OPELs", "without compre", "avoid Friday or Tuesday", "project-based machine learning courses", "", "no attendance requirement", "high project weight", "CDCs on robotics",
 ]
+ASKED_SQL = "[" + ", ".join(f"'{a}'" for a in ASKED) + "]"
 FLAG_SQL = ",\n".join(f"regexp_matches(lower(q), '{pattern}') AS {name}" for name, pattern in fixed.QUERY_FLAGS.items())
 DAY_SQL = "CASE WHEN regexp_matches(lower(q), 'free|avoid|no class') THEN CASE " + " ".join(f"WHEN regexp_matches(lower(q), '{stem}') THEN '{day}'" for day, stem in reversed(list(zip(fixed.WEEKDAYS, fixed.WEEKDAY_STEMS, strict=True)))) + " END END"
 CATEGORY_SQL = "CASE " + " ".join(f"WHEN regexp_matches(lower(q), '\\b{c}s?\\b') THEN '{c}'" for c in fixed.CATEGORIES) + " END"
 
 
 @query(f"""
-WITH {values('asked', 'id, q', ASKED)}
+WITH asked AS (SELECT o_orderkey AS id, {ASKED_SQL}[o_orderkey % 17 + 1] || ' ' || {ASKED_SQL}[o_orderkey // 17 % 17 + 1] || ' ' || {ASKED_SQL}[o_custkey % 17 + 1] AS q FROM orders)
 SELECT id, {CATEGORY_SQL} AS category, array_to_string({token_sql('q')}, ' ') AS keywords, {FLAG_SQL},
   regexp_matches(lower(q), '{fixed.LENIENT}') AND regexp_matches(lower(q), 'make[- ]?up') AS lenient_makeup, {DAY_SQL} AS free_day FROM asked""")
 def query_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(ASKED, "id int, q string").select("id", preferences.preferences(F.col("q")).alias("p"))
-    return rows.select("id", "p.*").withColumn("keywords", F.array_join("keywords", " "))
+    """What requests ask for, for every order."""
+    k, parts = F.col("o_orderkey"), F.array(*map(F.lit, ASKED))
+    q = F.concat_ws(" ", F.get(parts, (k % 17).cast("int")), F.get(parts, (F.floor(k / 17) % 17).cast("int")), F.get(parts, (F.col("o_custkey") % 17).cast("int")))
+    return read(spark, sf_dir, "orders").select(k.alias("id"), preferences.preferences(q).alias("p")).select("id", "p.*").withColumn("keywords", F.array_join("keywords", " "))
 
 
 @query("""
@@ -215,57 +235,38 @@ def two_column_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.two_columns(lines(spark, sf_dir), ["doc_id", "page_no"], "line_no", "line").select("doc_id", F.col("line_no").cast("long").alias("line_no"), "col_no", "part")
 
 
-CELLS = [(1, 1, 10.0), (1, 2, 31.0), (1, 3, 29.0), (2, 1, 60.0), (3, 1, 12.0), (3, 2, 48.0)]
-
-
-@query(f"WITH {values('cells', 'line, pos, centre', CELLS)} SELECT line, pos, CAST(abs(centre - 30) AS DOUBLE) AS distance FROM cells WHERE abs(centre - 30) <= 18 QUALIFY row_number() OVER (PARTITION BY line ORDER BY abs(centre - 30), pos) = 1")
+@query("""SELECT l_orderkey AS line, l_linenumber AS pos, CAST(abs(l_quantity - 30) AS DOUBLE) AS distance FROM lineitem WHERE abs(l_quantity - 30) <= 18
+QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY abs(l_quantity - 30), l_linenumber) = 1""")
 def nearest_header_column(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = spark.createDataFrame(CELLS, "line int, pos int, centre double")
-    return sequence.nearest(cells, ["line"], F.abs(F.col("centre") - 30), ["pos"], 18).select("line", "pos", "distance")
-
-
-BEST = [
-    (1, "The best 4 out of 5 quizzes count.", "quiz", 5, 21.0), (2, "Best three of the five tutorial tests are taken.", "tutorial", 5, 10.0), (3, "best 2 of 3 quizzes", "quiz", 4, 5.0), (4, "best 5 of 3 quizzes", "quiz", 3, 5.0), (5, "best 2 of 3 labs", "lab", 3, 5.0),
-]
-BEST_OUT = [(1, 4, 5, "quiz", True, 21.0), (2, 3, 5, "tutorial", True, 20.0), (3, 2, 3, "quiz", False, 0.0)]
+    """The cell nearest to a header's place, for the lines of every order."""
+    cells = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("line"), F.col("l_linenumber").alias("pos"), "l_quantity")
+    return sequence.nearest(cells, ["line"], F.abs(F.col("l_quantity") - 30), ["pos"], 18).select("line", "pos", F.col("distance").cast("double").alias("distance"))
 
 
-@query(f"WITH {values('b', 'doc_id, best_count, offered_count, component_group, applied, deducted', BEST_OUT)} SELECT doc_id, best_count, offered_count, component_group, applied, CAST(deducted AS DOUBLE) AS deducted FROM b")
+@query("""
+WITH o AS (SELECT o_orderkey AS doc_id, 2 + o_orderkey % 6 AS offered, 1 + o_orderkey // 6 % 5 AS best, CASE WHEN o_orderkey % 2 = 0 THEN 'quiz' ELSE 'tutorial' END AS component_group, 5 + o_orderkey % 7 AS each, o_orderkey % 4 = 3 AS more FROM orders)
+SELECT doc_id, CAST(best AS INT) AS best_count, CAST(offered AS INT) AS offered_count, component_group, NOT more AS applied, CASE WHEN more THEN 0.0 ELSE CAST((offered - best) * each AS DOUBLE) END AS deducted FROM o WHERE best < offered""")
 def best_n_of_m(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.createDataFrame(BEST, "doc_id int, text string, kind string, n int, each double")
-    rows = docs.select("doc_id", F.explode(F.sequence(F.lit(1), "n")).alias("row_number"), F.concat(F.col("kind"), F.lit(" "), F.col("n")).alias("name"), F.col("each").alias("weight"))
-    return deductions(best_of_rules(docs.select("doc_id", "text")), rows).select("doc_id", "best_count", "offered_count", "component_group", "applied", "deducted")
-
+    """Best-of statements in figures and words and what they take off, for every order; every fourth scheme has a row too many."""
+    k = F.col("o_orderkey")
+    offered, best = 2 + k % 6, 1 + F.floor(k / 6) % 5
+    number = F.array(*map(F.lit, ("zero", "one", "two", "three", "four", "five", "six", "seven")))
+    said = F.when(k % 3 == 0, F.get(number, best.cast("int"))).otherwise(best.cast("string"))
+    kind = F.when(k % 2 == 0, "quizzes").otherwise("tutorial tests")
+    form = F.when(k % 5 == 0, F.concat(F.lit("Best "), said, F.lit(" of the "), F.get(number, offered.cast("int")), F.lit(" "), kind, F.lit(" are taken."))).otherwise(F.concat(F.lit("The best "), said, F.lit(" out of "), offered.cast("string"), F.lit(" "), kind, F.lit(" count.")))
+    docs = read(spark, sf_dir, "orders").select(k.alias("doc_id"), form.alias("text"), kind.alias("kind"), (offered + F.when(k % 4 == 3, 1).otherwise(0)).cast("int").alias("n"), (5 + k % 7).cast("double").alias("each"))
+    rows = docs.select("doc_id", F.explode(F.sequence(F.lit(1), "n")).alias("row_number"), F.concat(F.when(F.col("kind") == "quizzes", "Quiz ").otherwise("Tutorial "), F.col("n").cast("string")).alias("name"), F.col("each").alias("weight"))
+    return deductions(best_of_rules(docs.select("doc_id", "text")), rows).select("doc_id", F.col("best_count").cast("int").alias("best_count"), F.col("offered_count").cast("int").alias("offered_count"), "component_group", "applied", "deducted")
 
-CLAUSES = [(1, "1.01", "a.pdf"), (2, "1.03", "a.pdf"), (3, "2.05", "a.pdf"), (4, "2.10", "a.pdf"), (5, "3.13 a", "a.pdf")]
-SPECS = [(c, k) for c, k, _ in fixed.TYPED_RULES]
 
-
-@query(f"""
-WITH {values('clauses', 'ordinal, clause_id, source_document', CLAUSES)}, {values('specs', 'clause_id, kind', SPECS)}
-SELECT 'regulation_' || replace(replace(clause_id, '.', '_'), ' ', '_') || '_' || row_number() OVER (PARTITION BY source_document ORDER BY ordinal) AS rule_id,
-  CASE WHEN clause_id IN (SELECT clause_id FROM specs) THEN 'partially_automated' ELSE 'manual_review' END AS automation FROM clauses""")
-def registry_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clauses = spark.createDataFrame(CLAUSES, "ordinal int, clause_id string, source_document string")
-    return policy.registry(clauses, policy.typed_rules(clauses)).select("rule_id", "automation")
-
-
-@query(f"""
-WITH {values('clauses', 'ordinal, clause_id, source_document', CLAUSES)}, {values('specs', 'clause_id, kind', SPECS)}
-SELECT 'regulation_' || replace(clause_id, '.', '_') || '_' || kind AS rule_id, kind, clause_id FROM specs JOIN clauses USING (clause_id)""")
-def typed_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clauses = spark.createDataFrame(CLAUSES, "ordinal int, clause_id string, source_document string")
-    return policy.typed_rules(clauses).select("rule_id", "kind", "clause_id")
-
-
-PAGES = [(1, "one\ftwo is here\fthree", "two is"), (2, "a\fb\fc", "a\nb"), (3, "a\fb", "zzz"), (4, "x", "x"), (5, "p\fq", "")]
-PAGES_OUT = [(1, "2"), (2, "1,2"), (3, ""), (4, "1"), (5, "")]
-
-
-@query(f"WITH {values('p', 'id, pages', PAGES_OUT)} SELECT id, pages FROM p")
+@query("""
+SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN '2' WHEN 1 THEN '1,2' WHEN 2 THEN '' WHEN 3 THEN '3' ELSE '' END AS pages FROM part""")
 def page_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(PAGES, "id int, document string, excerpt string")
-    return rows.select("id", F.array_join(text.pages_of(F.col("document"), F.col("excerpt")), ",").alias("pages"))
+    """The pages on which an excerpt stands, for every part: on one, across two, on none, or an empty one."""
+    k = F.col("p_partkey")
+    first, second, third = F.concat(F.lit("name "), F.col("p_name")), F.concat(F.lit("brand "), F.col("p_brand")), F.concat(F.lit("size "), F.col("p_size").cast("string"), F.lit(" end"))
+    excerpt = F.when(k % 5 == 0, second).when(k % 5 == 1, F.concat(first, F.lit("\n"), second)).when(k % 5 == 2, F.concat(F.lit("no "), second)).when(k % 5 == 3, third).otherwise("")
+    return read(spark, sf_dir, "part").select(k.alias("id"), F.array_join(text.pages_of(F.concat_ws("\f", first, second, third), excerpt), ",").alias("pages"))
 
 
 @query(r"""
