@@ -8,9 +8,10 @@ up, which keeps it one-to-one. Equal values therefore get equal pseudonyms in
 every document, and nothing has to be shared between tasks.
 
 Kinds: card numbers (Luhn), IBANs (mod 97), NANP phone numbers, US social
-security numbers, IPv4 addresses, calendar dates (ISO, and day/month/year with
-slashes or dots), e-mail addresses, AWS-like access keys, and the values of
-password / token / secret assignments. Separators, length, letter case and
+security numbers, IPv4 addresses, calendar dates (year, month and day with hyphens
+or slashes, day, month and year with slashes, dots or hyphens, month first with
+slashes if nothing else fits), e-mail addresses, AWS-like access keys, and the values of
+password / token / secret assignments, in quotes up to the closing quote. Separators, length, letter case and
 digit positions stay; check digits are computed anew.
 
 Edge cases: a null text stays null; an empty text stays empty; a text without
@@ -51,18 +52,18 @@ GROUPED = "|".join(rf"\d{{4}}(?:{s}\d{{4}}){{2}}{s}(?:\d{{4}}{s}\d{{1,3}}|\d{{1,
 PATTERNS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": rf"(?<![\w.-])(?:\d{{13,19}}{CARD_END}|{GROUPED})",
-    "phone": r"(?<![\w+])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|[2-9]\d\d[ .-])\d{3}[ .-]\d{4}(?!\w)",
+    "phone": r"(?<![\w+])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|[2-9]\d\d[ .-])\d{3}[ .-]\d{4}(?=x\d|(?!\w))",
     "ssn": r"(?<![\w-])\d{3}-\d\d-\d{4}(?![\w-])",
     "ip": r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)",
-    "date": r"(?<![\w/.-])(?:\d{4}-\d\d-\d\d(?=T\d\d|(?![\w/-]))|(?:\d\d/\d\d/\d{4}|\d\d\.\d\d\.\d{4})(?![\w/-]))",
+    "date": r"(?<![\w/.-])(?:\d{4}-\d\d-\d\d(?=T\d\d|(?![\w/-]))|(?:\d{4}/\d\d/\d\d|\d\d/\d\d/\d{4}|\d\d\.\d\d\.\d{4}|\d\d-\d\d-\d{4})(?![\w/-]))",
     "email": r"(?<![\w.+-])[A-Za-z0-9](?:[\w.+-]*[A-Za-z0-9])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}",
     "access_key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "secret": r"(?i:password|passwd|pwd|secret|token|api[_-]?key)\s*[:=]\s*[\"']?(?P<value>[A-Za-z0-9_+/.-]{6,})",
+    "secret": r"(?i:password|passwd|pwd|secret|token|api[_-]?key)\s*[:=]\s*(?:(?P<quote>[\"'])(?P<quoted>[^\"'\n]{6,})(?P=quote)|[\"']?(?P<value>[A-Za-z0-9_+/.@!#$%^&*~-]{6,}))",
 }
 PATTERN = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in PATTERNS.items()))
 SINGLE = {kind: re.compile(pattern) for kind, pattern in PATTERNS.items()}
 #: A card number in any groups; tried where nothing of a customary form is found.
-LOOSE = re.compile(r"(?<![\w.-])\d(?:[ -]?\d){12,18}" + CARD_END)
+LOOSE = re.compile(r"(?<![\w.-])\d(?:(?: {2}|[ -])?\d){12,18}" + CARD_END)
 END = re.compile(CARD_END)
 #: A text without any of these holds no value of any kind.
 HINT = re.compile(r"[0-9@]|(?i:passw|pwd|secret|token|api.?key)|A[KS]IA")
@@ -191,14 +192,27 @@ FIRST, LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31)
 
 
 def date(f: Feistel, s: str) -> str | None:
-    form = "%Y-%m-%d" if s[4] == "-" else "%d/%m/%Y" if s[2] == "/" else "%d.%m.%Y"
-    try:
-        day = datetime.datetime.strptime(s, form).date().toordinal()
-    except ValueError:
+    mark = next(c for c in s if not c.isdigit())
+    month_first = False
+    form = f"%Y{mark}%m{mark}%d" if s[4] == mark else f"%d{mark}%m{mark}%Y"
+
+    def read(form: str) -> int | None:
+        try:
+            return datetime.datetime.strptime(s, form).date().toordinal()
+        except ValueError:
+            return None
+
+    day = read(form)
+    if day is None and mark == "/" and s[2] == mark:  # 03/25/1990 has its month first; it becomes a date that has so, too
+        form, month_first = "%m/%d/%Y", True
+        day = read(form)
+    if day is None or not FIRST <= day <= LAST:
         return None
-    if not FIRST <= day <= LAST:
-        return None
-    return datetime.date.fromordinal(FIRST + f.permute(day - FIRST, LAST - FIRST + 1, "date")).strftime(form)
+
+    def valid(v: int) -> bool:
+        return not month_first or datetime.date.fromordinal(FIRST + v).day > 12
+
+    return datetime.date.fromordinal(FIRST + f.permute(day - FIRST, LAST - FIRST + 1, "month first" if month_first else "date", valid)).strftime(form)
 
 
 def email(f: Feistel, s: str) -> str | None:
@@ -216,9 +230,14 @@ PASSWORD = re.compile(r"(?i)passw|pwd")
 PROSE = frozenset("required optional protected incorrect invalid expired changed reset needed missing forgotten hidden unknown default policy manager recovery generator strength rotation".split())
 
 
+EMAIL = SINGLE["email"]
+
+
 def is_prose(text: str, label: int, start: int, end: int) -> bool:
     """Whether the value after a label is a word of prose, as in "password: required", or the start of an address."""
-    word = text[start:end].rstrip("._/-")
+    if EMAIL.fullmatch(text, start, end):
+        return True
+    word = text[start:end].rstrip("._/-!")
     if not (word.isalpha() and (word.islower() or word.istitle())):
         return False
     return not PASSWORD.match(text, label) or word.lower() in PROSE or text[end : end + 1] == "@"
@@ -244,11 +263,12 @@ def customary(text: str, feistel: Feistel) -> list[tuple[int, int, str, str]]:
         # Kinds before the matched one have no candidate here.
         for kind in list(PATTERNS)[list(PATTERNS).index(m.lastgroup) :]:
             first = SINGLE[kind].match(text, s)
-            ends = [] if first is None else shorter(text, s, first.end()) if kind in ("iban", "card") else [first.end()]
+            part = "quoted" if kind == "secret" and first and first["quoted"] else "value"
+            ends = [] if first is None else shorter(text, s, first.end()) if kind in ("iban", "card") else [first.end(part) if kind == "secret" else first.end()]
             for e in ends:
-                if e < first.end() and not SINGLE[kind].fullmatch(text, s, e):
+                if kind != "secret" and e < first.end() and not SINGLE[kind].fullmatch(text, s, e):
                     continue
-                begin = first.start("value") if kind == "secret" else s
+                begin = first.start(part) if kind == "secret" else s
                 new = None if kind == "secret" and is_prose(text, s, begin, e) else RULES[kind](feistel, text[begin:e])
                 if new is not None:
                     found.append((begin, e, kind, new))
@@ -275,7 +295,7 @@ def loose(text: str, feistel: Feistel, start: int, stop: int) -> list[tuple[int,
             if n < 13 or not END.match(text, e):
                 continue
             whole = e == m.end() and s >= barred
-            new = card(feistel, number) if whole or min(map(len, re.split("[ -]", number))) >= 3 else None
+            new = card(feistel, number) if whole or min(map(len, re.split("[ -]+", number))) >= 3 else None
             if new is not None:
                 found.append((s, e, "card", new))
                 at = e
