@@ -36,7 +36,7 @@ def arguments(given: Sequence[str] | None = None) -> argparse.Namespace:
 
 
 def build(spark: SparkSession, root: str, out: str, decode: Callable[[bytes], str] | None) -> dict[str, int]:
-    """Write every table of the build but the report, and return the report."""
+    """Replace every table of the build but the report at once, and return the report."""
 
     def lines(name: str) -> DataFrame:
         files = spark.read.format("binaryFile").load(f"{root}/{name}").select("path", "content")
@@ -46,20 +46,16 @@ def build(spark: SparkSession, root: str, out: str, decode: Callable[[bytes], st
 
     tables = catalog.build(lines(BULLETIN), lines(REGULATIONS), lines(TIMETABLE))
     report = tables.pop("report")
-    for name, table in tables.items():
-        ingest.write_json(table, f"{out}/{name}")
+    ingest.publish(spark, tables, out)
     return {r["what"]: r["n"] for r in report.collect()}  # a row a table
 
 
 def outlines(spark: SparkSession, root: str, out: str, limit: int | None, decode: Callable[[bytes], str] | None) -> dict[str, int]:
-    """Write the records, components, rules and quarantine of the outlines, and return their counts."""
-    read = f"{out}/texts"
-    ingest.texts(ingest.pdf_files(spark, root, limit), decode).write.mode("overwrite").parquet(read)  # files are decoded once
-    texts = spark.read.parquet(read)
+    """Replace the records, components, rules and quarantine of the outlines at once, and return their counts."""
+    texts = ingest.texts(ingest.pdf_files(spark, root, limit), decode)  # files are decoded once
     docs = texts.where("error IS NULL").select(F.col("source_file").alias("doc_id"), F.col("source_file").alias("file_name"), "text")
     results = dict(zip(("records", "components", "rules"), handouts.parse(docs), strict=True)) | {"quarantine": texts.where("error IS NOT NULL").drop("text")}
-    for name, table in results.items():
-        ingest.write_json(table, f"{out}/{name}")
+    ingest.publish(spark, results, out)
     return {name: spark.read.text(f"{out}/{name}").count() for name in results}
 
 

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import json
+import time
+import urllib.error
 import urllib.request
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,14 +74,43 @@ def understood(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"preferences": merged(sent, local), "provider": provider, "warning": F.coalesce("warning", failed)}).drop("reply")
 
 
-def understand(spark: SparkSession, query: str, remote: Callable[[str], str] | None = None) -> DataFrame:
-    """One row (query, warning, preferences, provider). ``remote`` maps the query to a JSON reply; any failure falls back to the local rules."""
-    reply, warning = None, None
-    if remote is not None:
+#: What a remote parser may raise; anything else is a fault of its own and ends the job.
+FAILURES = (OSError, ValueError, KeyError, IndexError, TimeoutError)
+
+
+def answer(remote: Callable[[str], str], query: str | None, tries: int = 1, pause: float = 0.5) -> tuple[str | None, str | None]:
+    """(reply, warning) of a remote parser. Time-outs and errors of the server are tried again, after a pause that doubles."""
+    for n in range(tries):
         try:
-            reply = remote(query)
-        except (OSError, ValueError, KeyError, IndexError, TimeoutError) as e:
+            return remote(query), None
+        except FAILURES as e:
             warning = f"remote parser failed: {e}"
+            if isinstance(e, urllib.error.HTTPError) and e.code < 500 or not isinstance(e, OSError):
+                break
+            if n + 1 < tries:
+                time.sleep(pause * 2**n)
+    return None, warning
+
+
+def asked(requests: DataFrame, remote: Callable[[str], str], workers: int = 8, tries: int = 2, pause: float = 0.5) -> DataFrame:
+    """``requests`` with reply and warning: one call for each distinct query, however many rows share it.
+
+    Every partition has ``workers`` calls in flight. A call that fails is the
+    warning of its rows; a null query is not asked. ``remote`` keeps its own time limit.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with ThreadPoolExecutor(workers) as pool:
+            for batch in batches:
+                found = list(pool.map(lambda q: answer(remote, q, tries, pause), batch["query"]))
+                yield pd.DataFrame([(q, *f) for q, f in zip(batch["query"], found, strict=True)], columns=["query", "reply", "warning"])
+
+    known = requests.where("query IS NOT NULL").select("query").distinct().mapInPandas(run, "query string, reply string, warning string")
+    return requests.join(known, "query", "left")
+
+
+def understand(spark: SparkSession, query: str, remote: Callable[[str], str] | None = None) -> DataFrame:
+    """One row (query, warning, preferences, provider). ``remote`` maps the query to a JSON reply; any failure falls back to the local rules."""
+    reply, warning = (None, None) if remote is None else answer(remote, query)
     return understood(spark.createDataFrame([(query, reply, warning)], "query string, reply string, warning string"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import urllib.error
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,6 +74,29 @@ CLAUSES = [
 SAID = {"permitted_assessments": [1], "excluded_assessments": [0, 4], "approval_requirements": [2], "accepted_grounds": [1, 3], "documentation_requirements": [3]}
 
 
+def stub(text: str) -> str:
+    """A remote parser that answers by the length of the request: well, with too little, with no JSON, or not at all."""
+    kind = len(text) % 6
+    if kind == 1:
+        raise urllib.error.HTTPError("http://stub", 400, "refused", None, None)
+    if kind == 2:
+        raise TimeoutError("timed out")
+    return [reply(), None, None, "{not json", reply(category="null", keywords="[]"), reply(no_quiz=None)][kind]
+
+
+@query(f"""
+WITH asked AS (SELECT o_orderkey AS id, {listed(PHRASES)}[o_custkey % {len(PHRASES)} + 1] || ' ' || (o_custkey % 97) AS q FROM orders),
+kinds AS (SELECT *, length(q) % 6 AS kind FROM asked)
+SELECT id, CASE WHEN kind IN (0, 4) THEN 'remote' ELSE 'deterministic' END AS provider,
+  CASE kind WHEN 1 THEN 'remote parser failed: HTTP Error 400: refused' WHEN 2 THEN 'remote parser failed: timed out' WHEN 3 THEN 'remote reply does not fit the schema' WHEN 5 THEN 'remote reply does not fit the schema' END AS warning,
+  CASE WHEN kind = 0 THEN 'huel' ELSE {CATEGORY_SQL} END AS category FROM kinds""")
+def remote_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The request of every order, put to a remote parser once for each distinct text; failures are warnings of their rows."""
+    requests = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.concat_ws(" ", pick(PHRASES, F.col("o_custkey")), (F.col("o_custkey") % 97).cast("string")).alias("query"))
+    rows = preferences.understood(preferences.asked(requests, stub, pause=0.0))
+    return rows.select("id", "provider", "warning", F.col("preferences.category").alias("category"))
+
+
 @query("SELECT o_orderkey, " + ", ".join(
     f"nullif(concat_ws(' | ', {', '.join(f'CASE WHEN (o_orderkey >> {i}) & 1 = 1 THEN ' + listed([CLAUSES[i]]) + '[1] END' for i in held)}), '') AS {name}" for name, held in SAID.items()
 ) + " FROM orders")

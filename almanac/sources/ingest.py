@@ -31,9 +31,37 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def publish(spark: SparkSession, tables: dict[str, DataFrame], folder: str) -> None:
+    """Write all ``tables`` beside ``folder`` and put them in its place when all are whole.
+
+    Until then readers find the old tables; a build that ends early leaves
+    them as they were, and what it had written is deleted by the next.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    target = path(folder)
+    store = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    staged, old = path(f"{folder}.new"), path(f"{folder}.old")
+    if store.exists(old) and not store.exists(target):  # a build was lost between its two renames
+        store.rename(old, target)
+    for left in (staged, old):
+        store.delete(left, True)
+    for name, table in tables.items():
+        write_json(table, f"{folder}.new/{name}")
+    store.mkdirs(target.getParent())
+    for source, to in ((target, old), (staged, target)):
+        if store.exists(source) and not store.rename(source, to):
+            raise OSError(f"cannot move {source} to {to}")
+    store.delete(old, True)
+
+
 def save_profile(df: DataFrame, path: str) -> None:
-    """Overwrite the store of a single profile."""
-    df.limit(1).coalesce(1).write.mode("overwrite").json(path)
+    """Replace the store of a single profile (``path``/profile) as a whole."""
+    publish(df.sparkSession, {"profile": df.limit(1).coalesce(1)}, path)
+
+
+def load_profile(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """The stored profile; no row before the first is saved."""
+    return read_json(spark, f"{path}/profile", schema)
 
 
 def pdf_files(spark: SparkSession, folder: str, limit: int | None = None, pattern: str = "*.[pP][dD][fF]") -> DataFrame:
