@@ -39,6 +39,7 @@ def clauses(lines: DataFrame) -> DataFrame:
     return heads.join(text, [*DOC, "ordinal"]).select(*DOC, "ordinal", "clause_id", "pages", compact(F.col("text")).alias("text"), F.lit(STATUS).alias("verification_status"))
 
 
+# How lines of a catalogue look.
 TAIL = r"^\s*([A-Za-z][A-Za-z0-9&()/',.\- ]+?)\s{2,}(\d{1,2})(?:\*|\s|$)"
 PREREQUISITE = r"(?i)Pre[- ]?requisites?\s*:\s*(.+)"
 HEADER = r"^\s*([A-Z]{2,8}\s+[A-Z]\s*\d{3}[A-Z]?)\s+(.*?)\s{2,}(\d{1,3}\*?)\s*$"
@@ -139,12 +140,12 @@ def programme_categories(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     heading = F.regexp_like("_text", F.lit(CAPITALS)) & F.col("_marker").isNull() & ~F.regexp_like("_text", F.lit(CODE))
     clears = F.col("_marker").isin("CDC", "DEL")
     listed = segmented(listed, DOC, SPLIT_PLACE, clears, "_list")
-    buffer = F.collect_list(F.when(heading, F.col("_text"))).over(Window.partitionBy(*DOC, "_list").orderBy(*SPLIT_PLACE))
-    listed = listed.withColumn("_buffer", buffer)
-    previous = F.lag("_buffer").over(Window.partitionBy(*DOC).orderBy(*SPLIT_PLACE))
-    tail = F.slice("_before", F.greatest(F.lit(1), F.size("_before") - 3), 4)
-    named = F.when((F.col("_marker") == "CDC") & (F.size("_before") > 0), compact(F.array_join(tail, " ")))
-    listed = listed.withColumn("_before", F.coalesce(previous, F.array().cast("array<string>")))
+    # Only the last four headings of a list can name the programme of the next one.
+    back = F.row_number().over(Window.partitionBy(*DOC, "_list").orderBy(*(F.desc(c) for c in SPLIT_PLACE)))
+    last = listed.where(heading).withColumn("_back", back).where(F.col("_back") <= 4)
+    names = last.groupBy(*DOC, (F.col("_list") + 1).alias("_list")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("_back")).alias("at"), F.col("_text").alias("text")))), lambda x: x["text"]), " ").alias("_before"))
+    listed = listed.join(names, [*DOC, "_list"], "left")
+    named = F.when(F.col("_marker") == "CDC", compact(F.col("_before")))
     listed = carried(listed, DOC, SPLIT_PLACE, named, "programme")
     category = F.when(F.col("_marker").isin("CDC", "DEL"), F.col("_marker")).when(F.col("_marker").isin("none", "other", "pool"), "none")
     listed = carried(listed, DOC, SPLIT_PLACE, category, "category")
@@ -153,6 +154,7 @@ def programme_categories(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return first_wins(entries, ["programme", "category", "course"], [*DOC, *SPLIT_PLACE]).select("programme", "category", "course", "source"), pool
 
 
+# How lines of a timetable look.
 PRIMARY = r"^\s*(\d+)\s+([A-Z]{2,8}\s+[A-Z]\s*\d{3}[A-Z]?(?:-\d+)?)\s+(.*?)\s{2,}(\d+|-)\s+(\d+|-)\s+(\d+|-)\s+(\d+|-)\s+(\d+|-)\s+([LPT]\d+)\s*(.*)$"
 EXAM = r"(\d{2}/\d{2})\s+(FN1|FN2|AN1|AN2|FN|AN)\b"
 MEETING = r"\b((?:M|T|W|Th|F|S)(?:\s*(?:M|T|W|Th|F|S))*\s+\d{1,2}(?:\s+\d{1,2})*)\b"
