@@ -4,8 +4,8 @@ Voters. Each voter looks for one word or word beginning, or for one surface
 pattern. The lexicon of words and beginnings is mined from a bounded sample of
 labelled training rows: labels say which features are commoner in toxic rows
 than chance allows, and so the side that a voter takes. They also give the
-class balance. Labels say nothing else: no accuracy is read from them, and none
-is a target.
+class balance to start from. Labels say nothing else: no accuracy is read from
+them, and none is a target.
 
 Label model. A voter fires or abstains, and both are evidence. Voters that fire
 together more often than chance are correlated and make a group, such as the
@@ -139,8 +139,7 @@ def fit_label_model(votes: DataFrame, voters: int, balance: float, rounds: int =
     for _ in range(rounds):
         sums = summed(model.kinds, len(model.share))
         whole, fired = sums[:, 0], sums[:, 1:]
-        toxic = (whole[1:] + 1) / (whole[1:] + 1).sum()
-        model = LabelModel(np.r_[1 - balance, balance * toxic], np.clip((fired + 0.005) / (whole[:, None] + 0.5), 1e-4, 1 - 1e-4))
+        model = LabelModel((whole + 1) / (whole + 1).sum(), np.clip((fired + 0.005) / (whole[:, None] + 0.5), 1e-4, 1 - 1e-4))
     return model
 
 
