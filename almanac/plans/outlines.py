@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from almanac.functions import headings
 from almanac.operators import evaltable, handouts
 from almanac.plans.academic import read
+from almanac.sources import ingest
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -105,6 +106,100 @@ def section_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outlines(spark, sf_dir).select("doc_id", part(headings.ATTENDANCE).alias("attendance"), part(headings.MAKEUP).alias("makeup_start"), part(headings.DESCRIPTION).alias("description"))
 
 
+#: How the evaluation table of an outline is written, by its key, with the reader that must be believed. {a}, {b} and {c} are the
+#: weights, {a4} is {a} less 4, and numbers in the other columns are there to mislead.
+LAYOUTS = [
+    ("columned", "Component                 Duration      Weightage       Remarks\nMid-Semester Test         90 min           {a}          Closed Book\nPilani Campus\nQuizzes                   -                {b}          Open Book\nComprehensive Exam        3 h              {c}          Closed Book\nTotal                                    100\nQuiz                      -                7            Void"),
+    ("sequenced", "1. Quiz\n     {a}\n2. Project\n     {b}\n3. Viva\n     {c}\nTotal 100"),
+    ("named", "Mid Semester Test 90 minutes {a} 12/10/2026\nQuiz 10 marks {b}%\nComprehensive Exam 3 hours {c} 1/12/2026 at 14:00\nTotal 100"),
+    ("aligned", "All work is judged.\n" * 32 + "Component   Weightage   Remarks\nEssay   {a}   closed\nTalk   {b}   open\nDebate   {c}   open\nTotal   100   all\nEssay   9   void"),
+    ("loose", "Quiz 30 min {a4}+4\nLab {b}\nProject 3 weeks {c}"),
+    ("carried", "Mid Sem Test\n     {a} %\nSeminar\n     {b}\nSeminar 1\nViva\n     {c}"),
+    ("bulleted", "● {a}% Viva:\n● {b} % Report\n● {c}% Essay"),
+    ("columned", "Component                 Duration      Marks       Weightage (%)       Remarks\nMid-Semester              90 min          {a4}            {a}              Closed\nTest\nLab work /                -               12            {b}              Open\nViva\nProject                   3 weeks         250           {c}              Open\n* The project carries 12 more\nQuiz                      -               9             9              no"),
+]
+#: Names that each layout states for its three rows.
+ROW_NAMES = [
+    ["Mid-Semester Test", "Quizzes", "Comprehensive Exam"], ["Quiz", "Project", "Viva"], ["Mid Semester Test", "Quiz", "Comprehensive Exam"], ["Essay", "Talk", "Debate"],
+    ["Quiz", "Lab", "Project"], ["Mid Sem Test", "Seminar", "Viva"], ["Viva", "Report", "Essay"], ["Mid-Semester Test", "Lab work / Viva", "Project"],
+]
+# The third layout is believed if it totals 100; else it goes to the reader that takes the first number of a line.
+#: Layouts and the rows of each that state a percentage in the value itself.
+SHARES = {2: [2], 6: [1, 2, 3]}
+#: Lines before a table, so that its numbers are not at the edge of a page, where they would be page numbers.
+PROSE = "1. Course Description: A course.\nIt has lectures.\nIt has exercises.\nIt has a book."
+NAMES_SQL = "[" + ", ".join(map(listed, ROW_NAMES)) + "]"
+
+
+@query(FACTS_SQL + f""",
+parts AS (SELECT doc_id, doc_id % {len(LAYOUTS)} AS layout, doc_id % {len(LAYOUTS)} = 2 AND doc_id % 5 = 0 AS astray, unnest([{{'n': 1, 'w': a}}, {{'n': 2, 'w': b}}, {{'n': 3, 'w': c}}]) AS p FROM facts)
+SELECT doc_id, CASE WHEN astray THEN 'loose' ELSE {listed([reader for reader, _ in LAYOUTS])}[layout + 1] END AS reader, CAST(p.n AS INT) AS row_number, {NAMES_SQL}[layout + 1][p.n] AS name,
+  CASE WHEN astray AND p.n = 2 THEN 10 ELSE CAST(p.w AS DOUBLE) END AS weight, CASE WHEN layout = 6 THEN NULL WHEN astray THEN 'weight_column' WHEN {' OR '.join(f"layout = {i} AND p.n IN ({', '.join(map(str, rows))})" for i, rows in SHARES.items())} THEN 'explicit_percentage' ELSE 'weight_column' END AS weight_basis FROM parts""")
+def eval_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of evaluation tables in eight layouts, a table for every part, and the reader that is believed for each."""
+    k = F.col("p_partkey")
+    a, b = (10 + k % 30), (20 + k % 7)
+    c = 70 - k % 30 - k % 7 + F.when(k % 5 == 0, 5).otherwise(0)
+    table = pick([text for _, text in LAYOUTS], k)
+    for slot, value in {"{a}": a, "{b}": b, "{c}": c, "{a4}": a - 4}.items():
+        table = F.replace(table, F.lit(slot), value.cast("string"))
+    text = F.concat(F.lit("Course Title : "), F.col("p_name"), F.lit(f"\n{PROSE}\n3. Evaluation Scheme:\n"), table, F.lit("\n4. Attendance Policy: Attendance is not compulsory.\n5. Make-up Policy: None.\nFirst Semester 2026-27\n"))
+    lines = ingest.lines_of(read(spark, sf_dir, "part").select(k.alias("doc_id"), text.alias("text")), "doc_id")
+    clean = ingest.pages_joined(ingest.without_furniture(lines, "doc_id"), "doc_id")
+    blocks = clean.select("doc_id", evaltable.block_of(F.col("text")).alias("block"))
+    rows = evaltable.arbitrated(evaltable.proposals(blocks, "doc_id"), "doc_id")
+    return rows.select("doc_id", "reader", "row_number", "name", "weight", "weight_basis")
+
+
+#: Headers of outlines by their key: {d} and {n} make a code, {t} is the title. Codes stand in a line, in a list of departments, in
+#: the file's name or nowhere; titles and instructors may be missing or stand in a running text.
+HEADS = [
+    "Course No. : {d}/SS F{n}\nCourse Title : {t}\nInstructor-in-charge : Prof. A Person (a@b.example)",
+    "Name of the course : {t}\nInstructor : Dr. B Person\n    and Prof. C Person",
+    "Course Number : {d}_F{n}\nCourse Title : {t}",
+    "Course Code : {d} F{n}\nInstructors : Prof. A Person [a@b.example]",
+    "This is the outline of Course No: {d} F{n} Course Title: {t} Instructor-in-charge: Prof. D Person Team of teachers",
+    "Course Title : {t}\nInstructor(s) : E Person",
+]
+#: Evaluation schemes by the key: exams denied in two ways, listed, both listed and denied, graded as passed or failed, and none.
+SCHEMES = [
+    "No midsem will be held. The comprehensive exam will not be held. Pass or Fail is decided by the committee.",
+    "Component                Duration     Weightage     Remarks\nMid-Semester Test        90 min           40         Closed\nComprehensive Exam       3 h              60         Open",
+    "Component                Duration     Weightage     Remarks\nQuiz                     30 min           40         Closed\nProject                  -                60         Open\nTotal                                     100\nNo mid-semester test",
+    "",
+    "Component                Duration     Weightage     Remarks\nMid-Semester Test        90 min           40         Closed\nProject                  -                60         Open\nTotal                                     100\nMid-semester exam is not conducted",
+]
+DEPARTMENTS = ["BIO", "CHEM", "ECON", "MATH"]
+
+
+@query(f"""
+WITH kinds AS (SELECT p_partkey AS doc_id, p_name AS t, p_partkey % {len(HEADS)} AS head, p_partkey % {len(SCHEMES)} AS scheme, {listed(DEPARTMENTS)}[p_partkey % {len(DEPARTMENTS)} + 1] AS d, lpad(CAST(p_partkey % 1000 AS VARCHAR), 3, '0') AS n FROM part)
+SELECT doc_id, CASE head WHEN 0 THEN d || ' F' || n || ', SS F' || n WHEN 1 THEN d || ' F' || n WHEN 5 THEN CASE WHEN doc_id % 4 = 1 THEN d || ' F' || n ELSE '' END ELSE d || ' F' || n END AS course_codes,
+  CASE WHEN head <> 3 THEN t END AS title, [ 'Prof. A Person', 'Dr. B Person and Prof. C Person', NULL, 'Prof. A Person', 'Prof. D Person', 'E Person'][head + 1] AS instructor,
+  CASE scheme WHEN 0 THEN false WHEN 1 THEN true WHEN 2 THEN false END AS has_midsem, CASE scheme WHEN 0 THEN false WHEN 1 THEN true END AS has_compre,
+  CASE scheme WHEN 0 THEN 'pass_fail' WHEN 3 THEN 'unresolved' ELSE 'weighted' END AS evaluation_scheme_kind, CASE WHEN scheme IN (1, 2, 4) THEN 2 ELSE 0 END AS n_components,
+  concat_ws(' ', CASE WHEN head = 3 THEN 'Course title was not extracted.' END, CASE WHEN head = 2 THEN 'Course instructor was not extracted.' END, CASE WHEN scheme = 3 THEN 'No evaluation components were extracted.' END) AS warnings,
+  CASE WHEN head IN (2, 3) OR scheme = 3 THEN 'partial' ELSE 'extracted_unverified' END AS extraction_status FROM kinds""")
+def outline_fallbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of outlines whose headers and schemes differ: cross-listed codes, codes of file names, missing titles, denied exams, furniture and invisible characters."""
+    k = F.col("p_partkey")
+    department, number = pick(DEPARTMENTS, k), F.lpad((k % 1000).cast("string"), 3, "0")
+    head = pick(HEADS, k)
+    for slot, value in {"{d}": department, "{n}": number, "{t}": F.col("p_name")}.items():
+        head = F.replace(head, F.lit(slot), value)
+    named = (k % len(HEADS) != 5) | (k % 4 == 1)  # other files have no code in their names
+    file_name = F.concat(k.cast("string"), F.when(named, F.concat(F.lit("_"), department, F.lit("_F"), number)).otherwise("_outline"), F.lit(".pdf"))
+    text = F.concat_ws(
+        "\n", F.lit("Pilani Campus"), head, F.lit("1. Course Description: An intro\u200bduction to the subject and its methods."), F.lit("7"), F.concat(F.lit("\f3. Evaluation Scheme:\n"), pick(SCHEMES, k)),
+        F.lit("4. Attendance Policy: Attendance is optional."), F.lit(""),
+    )
+    records, _, _ = handouts.parse(read(spark, sf_dir, "part").select(k.alias("doc_id"), file_name.alias("file_name"), text.alias("text")))
+    return records.select(
+        "doc_id", F.array_join("course_codes", ", ").alias("course_codes"), "title", "instructor", "has_midsem", "has_compre", "evaluation_scheme_kind", F.col("n_components").cast("int").alias("n_components"),
+        F.array_join("parsing_warnings", " ").alias("warnings"), "extraction_status",
+    )
+
+
 #: Proposals of three readers for every order: its lines, those with a small quantity, and those that were returned.
 @query("""
 WITH proposals AS (

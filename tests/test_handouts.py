@@ -3,6 +3,7 @@
 import pytest
 
 from almanac.operators import evaltable, handouts
+from almanac.plans import outlines
 from almanac.sources import ingest
 
 
@@ -140,6 +141,11 @@ def test_which_reader_is_believed(spark):
     assert reader_of({"loose": [50.0, 50.0], "carried": [60.0, 50.0], "bulleted": [1.0]}) == {"loose"}
 
 
+def test_written_layouts_need_every_reader():
+    assert {reader for reader, _ in outlines.LAYOUTS} == set(evaltable.READERS)
+    assert all(len(names) == 3 for names in outlines.ROW_NAMES) and len(outlines.ROW_NAMES) == len(outlines.LAYOUTS)
+
+
 def test_texts_without_a_table(spark):
     for text in (None, "", "Evaluation Scheme:\n", "Course Title : Heat\n", "Evaluation Scheme:\nComponent   Weightage\nQuiz\nLab\nViva\n"):
         assert evaluated(spark, text) == []
