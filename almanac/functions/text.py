@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -18,6 +19,11 @@ def found(pattern: str, text: Column, group: int = 1) -> Column:
     return F.when(F.regexp_like(text, F.lit(pattern)), F.regexp_extract(text, pattern, group))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` computed once however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def compact(text: Column) -> Column:
     """White space runs become one blank; none at the ends. Null stays null."""
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
