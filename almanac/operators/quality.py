@@ -71,7 +71,7 @@ def deductions(rules: DataFrame, components: DataFrame, key: str = "doc_id") ->
         F.count("*").alias("n"), F.count("weight").alias("known"), F.count_distinct("weight").alias("kinds"), F.max("weight").alias("each"),
         F.max(F.regexp_like("name", F.lit("(?i)quiz")) & F.regexp_like("name", F.lit("(?i)tutorial|tut test"))).alias("in_both"),
     )
-    rows = rules.join(per_group, [key, "component_group"], "left")
+    rows = rules.join(per_group.hint("merge"), [key, "component_group"], "left")  # both grow with the documents
     fits = F.coalesce((F.col("n") == F.col("offered_count")) & (F.col("known") == F.col("n")) & (F.col("kinds") == 1), F.lit(False))
     rows = rows.withColumn("_fits", fits)
     by_group = Window.partitionBy(key, "component_group").orderBy(F.desc("_fits"), "rule_no")

@@ -26,6 +26,11 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` to as many partitions as shuffles have, for rows that are costly to work on and small when packed; fewer are not made of them."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def first_survivors(students: DataFrame, lists: DataFrame, keys: Sequence[str], survive: Callable[[DataFrame], DataFrame], k: int) -> DataFrame:
     """(student, course, place) of each student's first ``k`` courses that ``survive`` keeps.
 
