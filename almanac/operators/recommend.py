@@ -161,7 +161,7 @@ def recommend(tables: dict[str, DataFrame], requests: DataFrame, limit: int = fi
     pairs = policy.no_equivalent_done(pairs, t["groups"], policy.done_in_groups(t["groups"], t["completed"]))
     needs = courses.select("course", F.explode("needs").alias("needs"))
     pairs = policy.prerequisites_met(pairs, needs, t["completed"])
-    pairs = schedule.without_exam_clash(pairs, schedule.exam_slots(chosen), schedule.exam_busy(t["current"], offerings))
+    pairs = schedule.Exams(chosen, t["current"], offerings).without_clash(pairs)
     rows = pairs.join(courses, "course").join(asked, "student").where(policy.batch_allows(F.col("all_restricted"), F.col("admission_year")))
     rows = rows.where(~F.col("chosen_restricted") | F.col("admission_year").eqNullSafe(F.lit(fixed.RESTRICTED_YEAR)))
     rows = rows.where(F.coalesce("existing_units", F.lit(0)) + F.col("load") <= policy.unit_limit(F.col("degree_level")))

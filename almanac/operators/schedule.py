@@ -2,30 +2,96 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from almanac.operators.rounds import settled
+
+
+#: Slots in a word of a mask.
+BITS = 62
+
+
+class Calendar:
+    """The distinct slots of a term with their numbers: as many as its days and sessions, however many courses there are."""
+
+    def __init__(self, slots: DataFrame):
+        name = slots.columns[0]
+        self.slots, self.name = settled(slots.distinct()), name
+        self.n = self.slots.count()
+        numbered = self.slots.select(name, (F.row_number().over(Window.orderBy(name)) - 1).alias("_slot"))
+        self.numbers = settled(numbered)
+        self.words = [f"w{i}" for i in range(-(-self.n // BITS))]
+
+    def number(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the number of their slot in ``_slot`` in place of the slot."""
+        known = self.numbers.withColumnRenamed(self.name, "_known")
+        return rows.join(F.broadcast(known), rows[self.name].eqNullSafe(F.col("_known"))).drop(self.name, "_known")
+
+    def masks(self, rows: DataFrame, keys: list[str], *more: Column) -> DataFrame:
+        """(keys, w0, w1, ..., more): the slots of all rows of a key as bits of some words."""
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_slot") % BITS)
+        own = [F.bit_or(F.when(F.floor(F.col("_slot") / BITS) == i, bit).otherwise(F.lit(0).cast("long"))).alias(w) for i, w in enumerate(self.words)]
+        return self.number(rows).groupBy(*keys).agg(*own, *more)
 
-def exam_slots(offerings: DataFrame) -> DataFrame:
-    """(course, exams): the distinct exam slots that rows of ``offerings`` (course, midsem, compre) state, as texts of kind, date and session."""
+    def held(self, current: DataFrame, per_course: DataFrame) -> DataFrame:
+        """(student, busy): the masks of all current courses of a student as one struct of words."""
+        rows = current.select("student", "course").distinct().join(per_course.select("course", *self.words), "course")
+        return rows.groupBy("student").agg(*(F.bit_or(w).alias(w) for w in self.words)).select("student", F.struct(F.lit(True).alias("any"), *self.words).alias("busy"))
+
+    def has(self, busy: Column, slot: Column) -> Column:
+        """Whether the mask has the slot of that number."""
+        word = reduce(lambda rest, x: F.when(F.floor(slot / BITS) == x[0], busy[x[1]]).otherwise(rest), enumerate(self.words), F.lit(0).cast("long"))
+        return word.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), slot % BITS)) != 0
+
+    def meet(self, busy: Column, other: Column) -> Column:
+        """Whether two structs of words have a slot in common."""
+        return reduce(lambda a, w: a | (busy[w].bitwiseAND(other[w]) != 0), self.words, F.lit(False))
+
+
+def exams(offerings: DataFrame) -> DataFrame:
+    """(course, exam): the exam slots that rows of ``offerings`` (course, midsem, compre) state, as texts of kind, date and session."""
     def one(kind: str):
         e = F.col(kind)
         return F.when(e["date"].isNotNull(), F.concat_ws("|", F.lit(kind), e["date"], F.coalesce(e["session"], F.lit(""))))
 
-    each = offerings.select("course", F.explode(F.array_compact(F.array(one("midsem"), one("compre")))).alias("exam"))
-    return each.groupBy("course").agg(F.collect_set("exam").alias("exams"))
+    return offerings.select("course", F.explode(F.array_compact(F.array(one("midsem"), one("compre")))).alias("exam"))
+
+
+class Exams:
+    """Exam clashes: the slots of ``chosen`` offerings against those of all ``offerings`` of a student's current courses."""
+
+    def __init__(self, chosen: DataFrame, current: DataFrame, offerings: DataFrame):
+        self.calendar = Calendar(exams(offerings).select("exam"))
+        number = self.calendar.number
+        self.wanted = number(exams(chosen)).groupBy("course").agg(F.collect_set("_slot").alias("exams"))
+        self.busy = self.calendar.held(current, self.calendar.masks(exams(offerings), ["course"]))
 
+    def without_clash(self, pairs: DataFrame) -> DataFrame:
+        """(student, course) pairs of which no exam slot is taken."""
+        rows = pairs.join(self.wanted, "course", "left").join(self.busy, "student", "left")
+        clash = F.exists("exams", lambda e: self.calendar.has(F.col("busy"), e))
+        return rows.where(~F.coalesce(clash, F.lit(False))).select(*pairs.columns)
 
-def exam_busy(current: DataFrame, offerings: DataFrame) -> DataFrame:
-    """(student, busy): the exam slots of all offerings of a student's current courses, no more than the term has."""
-    held = current.select("student", "course").distinct().join(exam_slots(offerings), "course")
-    return held.groupBy("student").agg(F.array_distinct(F.flatten(F.collect_list("exams"))).alias("busy"))
 
+def feasible_counts(pairs: DataFrame, offerings: DataFrame, current: DataFrame, unwanted: Column) -> DataFrame:
+    """(student, course, n_timed, n_feasible): the sections of each pair's course, and those beside the student's current ones without an ``unwanted`` slot.
 
-def without_exam_clash(pairs: DataFrame, wanted: DataFrame, busy: DataFrame) -> DataFrame:
-    """(student, course) pairs of which no exam slot in ``wanted`` (course, exams) is in ``busy`` (student, busy)."""
-    rows = pairs.join(wanted, "course", "left").join(busy, "student", "left")
-    return rows.where(~F.coalesce(F.arrays_overlap("exams", "busy"), F.lit(False))).select(*pairs.columns)
+    ``offerings`` (course, computer_code, slot); all that states a slot counts as timed. A course's sections stay one row, and a
+    student's slots are a few words, so no row is made for a pair and a section.
+    """
+    slots = offerings.select("course", "computer_code", "slot")
+    calendar = Calendar(slots.select("slot"))
+    sections = calendar.masks(slots.withColumn("_out", unwanted), ["course", "computer_code"], F.coalesce(F.bool_or("_out"), F.lit(False)).alias("_out"))
+    words = F.struct(F.lit(True).alias("any"), *calendar.words)
+    per_course = sections.groupBy("course").agg(
+        F.count("*").alias("n_timed"), F.collect_list(F.when(~F.col("_out"), words)).alias("open"), *(F.bit_or(w).alias(w) for w in calendar.words),
+    )
+    rows = pairs.join(calendar.held(current, per_course), "student", "left").join(per_course.select("course", "n_timed", "open"), "course")
+    free = F.size(F.filter("open", lambda s: ~F.coalesce(calendar.meet(F.col("busy"), s), F.lit(False))))
+    return rows.select("student", "course", "n_timed", free.cast("long").alias("n_feasible"))
 
 
 def occupied(current: DataFrame, sections: DataFrame) -> DataFrame:

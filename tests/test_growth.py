@@ -26,3 +26,31 @@ def test_words_are_parted_once_a_text(spark):
     start = time.time()
     assert df.select(handouts.denied("midsem", df["text"]).alias("d")).first()["d"]
     assert time.time() - start < 20
+
+
+def test_sections_are_counted_without_a_row_for_each(spark):
+    from pyspark.sql import functions as F
+
+    from almanac.operators import schedule
+
+    offerings = spark.createDataFrame([(c, s, (s % 7, 1 + s % 6)) for c in (1, 2, 3) for s in range(40)], "course long, computer_code long, slot struct<day:int,period:int>")
+    pairs = spark.createDataFrame([(1, 1), (1, 2), (2, 3)], "student long, course long")
+    current = spark.createDataFrame([(1, 9)], "student long, course long")
+    held = offerings.unionByName(spark.createDataFrame([(9, 1, (0, 2)), (9, 2, (2, 3))], offerings.schema))
+    got = schedule.feasible_counts(pairs, held, current, F.col("slot.day") == 4)
+    busy = {1: {(0, 2), (2, 3)}, 2: set()}
+    free = {s: sum(x % 7 != 4 and (x % 7, 1 + x % 6) not in busy[s] for x in range(40)) for s in busy}
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 40, free[1]), (1, 2, 40, free[1]), (2, 3, 40, free[2])]
+    assert "occupied" not in got.columns and "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_exam_slots_of_a_student_are_a_few_words(spark):
+    from almanac.operators import schedule
+
+    exam = "struct<date:string,session:string>"
+    rows = [(c, (f"{d:02}/05", "AN"), None) for c in (1, 2) for d in range(100)] + [(3, ("07/05", "AN"), ("08/09", None)), (4, ("01/08", None), None), (5, None, ("08/09", None))]
+    offerings = spark.createDataFrame(rows, f"course long, midsem {exam}, compre {exam}")
+    exams = schedule.Exams(offerings.where("course > 2"), spark.createDataFrame([(1, 1), (2, 3)], "student long, course long"), offerings)
+    pairs = spark.createDataFrame([(s, c) for s in (1, 2, 3) for c in (3, 4, 5, 6)], "student long, course long")
+    assert sorted(map(tuple, exams.without_clash(pairs).collect())) == [(1, 4), (1, 5), (1, 6), (2, 4), (2, 6), (3, 3), (3, 4), (3, 5), (3, 6)]
+    assert len(exams.busy.schema["busy"].dataType) == 1 + 2  # 102 slots
