@@ -92,4 +92,4 @@ def pdf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT DISTINCT doc_id // {IN_FILE} AS file, CASE WHEN (doc_id // {IN_FILE}) % 7 = 6 THEN 'ValueError: not a PDF file' END AS error FROM documents WHERE doc_id IS NOT NULL")
 def pdf_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each file: the error of one that cannot be read, and the scan goes on."""
-    return ingest.documents(papers(spark, sf_dir)).select("file", "error")
+    return ingest.failures(papers(spark, sf_dir)).select("file", "error")

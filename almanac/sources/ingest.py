@@ -101,6 +101,12 @@ def documents(files: DataFrame) -> DataFrame:
     return files.withColumn("_read", read("content")).select(*others, "_read.error", "_read.n_pages", "_read.words")
 
 
+def failures(files: DataFrame) -> DataFrame:
+    """``files`` (path, content) with error in place of the content: every file is read whole, but its words go no further."""
+    error = F.udf(lambda content: read_pdf(content)[0], "string", useArrow=True)
+    return files.withColumn("error", error("content")).drop("content")
+
+
 def page_texts(read: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, page_no, text): the pages of ``documents`` that have words, in their layout."""
     words = read.select(*keys, F.inline("words")).withColumnRenamed("page", "page_no")

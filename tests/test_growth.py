@@ -54,3 +54,21 @@ def test_exam_slots_of_a_student_are_a_few_words(spark):
     pairs = spark.createDataFrame([(s, c) for s in (1, 2, 3) for c in (3, 4, 5, 6)], "student long, course long")
     assert sorted(map(tuple, exams.without_clash(pairs).collect())) == [(1, 4), (1, 5), (1, 6), (2, 4), (2, 6), (3, 3), (3, 4), (3, 5), (3, 6)]
     assert len(exams.busy.schema["busy"].dataType) == 1 + 2  # 102 slots
+
+
+def test_letters_of_a_text_cost_no_matrix_each(monkeypatch):
+    from almanac.plans import papers
+    from almanac.sources import pdf
+
+    calls, whole = [], pdf.times
+    monkeypatch.setattr(pdf, "times", lambda a, b: calls.append(1) or whole(a, b))
+    assert len(pdf.words(papers.made(["#1\n" + "word " * 1000]).encode())) == 1001
+    assert len(calls) < 20
+
+
+def test_failures_equal_those_of_documents(spark):
+    from almanac.plans import papers
+    from almanac.sources import ingest
+
+    files = spark.createDataFrame([("a", bytearray(papers.made(["one"]).encode())), ("b", bytearray(b"none")), ("c", None)], "path string, content binary")
+    assert sorted(ingest.failures(files).collect()) == sorted(ingest.documents(files).select("path", "error").collect())
