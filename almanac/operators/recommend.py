@@ -123,28 +123,15 @@ def handout_facts(handouts: DataFrame, components: DataFrame) -> DataFrame:
     )
 
 
-def recommend(tables: dict[str, DataFrame], requests: DataFrame, limit: int = fixed.DEFAULT_RESULTS) -> tuple[DataFrame, DataFrame]:
-    """(recommendations, unknown facts) for ``requests`` (student, query, p: preferences).
-
-    ``tables``: students (student, programme, degree_level, admission_year,
-    existing_units, interests: array), completed and current (student,
-    course), catalogue (course, title, units, prerequisite_expression, needs),
-    offerings (course, computer_code, title, u, cancelled, restricted, midsem,
-    compre, ordinal), sections (course, section, room, meeting_text, ordinal),
-    groups (group, course), categories (programme, category, course),
-    humanities (course), facts (see ``handout_facts``), progress (see
-    ``requirements.progress``).
-    """
-    from almanac.operators.requirements import membership
-
+def prepared(tables: dict[str, DataFrame], requests: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """``tables`` with ``courses``, one row for every course on offer with all its facts, and the requests with their students; what several steps read is derived once."""
     t = tables
-    offerings, catalogue, facts = t["offerings"], t["catalogue"], t["facts"]
-    open_now = policy.offered(offerings)
+    offerings = t["offerings"]
     chosen = first_wins(offerings.where(~F.col("cancelled")), ["course"], ["ordinal"])
     courses = (
         chosen.select("course", "computer_code", "midsem", "compre", F.col("u").alias("offered_u"), F.col("title").alias("offered_title"), F.col("restricted").alias("chosen_restricted"))
-        .join(open_now, "course").join(catalogue.select("course", F.col("title").alias("listed_title"), "units", "prerequisite_expression", "needs"), "course", "left")
-        .join(facts, "course", "left")
+        .join(policy.offered(offerings), "course").join(t["catalogue"].select("course", F.col("title").alias("listed_title"), "units", "prerequisite_expression", "needs"), "course", "left")
+        .join(t["facts"], "course", "left")
         .where("NOT (coalesce(prerequisite_expression, '') <> '' AND coalesce(size(needs), 0) <= 0)")
         .withColumn("title", F.coalesce(F.nullif("offered_title", F.lit("")), F.nullif("listed_title", F.lit("")), F.col("course").cast("string")))
         .withColumn("load", F.coalesce(F.nullif("offered_u", F.lit(0)), F.nullif("units", F.lit(0)), F.lit(0)))
@@ -152,46 +139,74 @@ def recommend(tables: dict[str, DataFrame], requests: DataFrame, limit: int = fi
         .withColumn("descriptive_tokens", text.tokens(F.concat_ws(" ", "title", "described")))
     )
     asked = requests.join(t["students"], "student").withColumn("interest_tokens", F.coalesce(text.tokens(F.array_join("interests", " ")), F.array().cast("array<string>")))
+    return t | {"courses": settled(courses), "completed": settled(t["completed"]), "current": settled(t["current"])}, settled(asked)
+
+
+def candidates(t: dict[str, DataFrame], asked: DataFrame) -> DataFrame:
+    """The pairs of a request and a course that it is eligible for, with the facts of both. What needs no join is decided where a pair is made."""
+    from almanac.operators.requirements import membership
+
+    courses = t["courses"]
+    student = ["student", "admission_year", "existing_units", "degree_level"]
+    course = ["course", "all_restricted", "chosen_restricted", "load"]
+    newcomer = F.col("admission_year").eqNullSafe(F.lit(fixed.RESTRICTED_YEAR))
+    allowed = policy.batch_allows(F.col("all_restricted"), F.col("admission_year")) & (~F.col("chosen_restricted") | newcomer)
+    allowed &= F.coalesce("existing_units", F.lit(0)) + F.col("load") <= policy.unit_limit(F.col("degree_level"))
     # A query with keywords meets courses by token; only one without keywords meets all courses.
-    by_token = courses.select("course", F.explode("descriptive_tokens").alias("token"))
-    with_words = asked.where("size(p.keywords) > 0").select("student", F.explode("p.keywords").alias("token")).join(by_token, "token").select("student", "course").distinct()
-    without = asked.where("size(p.keywords) = 0").select("student").distinct().crossJoin(courses.select("course"))  # the query asks for every course
+    by_token = courses.select(*course, F.explode("descriptive_tokens").alias("token"))
+    with_words = asked.where("size(p.keywords) > 0").select(*student, F.explode("p.keywords").alias("token")).join(by_token, "token").where(allowed).select("student", "course").distinct()
+    without = asked.where("size(p.keywords) = 0").select(*student).distinct().crossJoin(courses.select(*course)).where(allowed).select("student", "course")  # the query asks for every course
     pairs = with_words.unionByName(without)
     pairs = policy.not_taken(pairs, t["completed"].unionByName(t["current"]).distinct())
     pairs = policy.no_equivalent_done(pairs, t["groups"], policy.done_in_groups(t["groups"], t["completed"]))
-    needs = courses.select("course", F.explode("needs").alias("needs"))
-    pairs = policy.prerequisites_met(pairs, needs, t["completed"])
-    pairs = schedule.Exams(chosen, t["current"], offerings).without_clash(pairs)
-    rows = pairs.join(courses, "course").join(asked, "student").where(policy.batch_allows(F.col("all_restricted"), F.col("admission_year")))
-    rows = rows.where(~F.col("chosen_restricted") | F.col("admission_year").eqNullSafe(F.lit(fixed.RESTRICTED_YEAR)))
-    rows = rows.where(F.coalesce("existing_units", F.lit(0)) + F.col("load") <= policy.unit_limit(F.col("degree_level")))
-    rows = membership(rows, t["categories"], t["humanities"], t["progress"])
+    pairs = policy.prerequisites_met(pairs, courses.select("course", F.explode("needs").alias("needs")), t["completed"])
+    pairs = schedule.Exams(courses, t["current"], t["offerings"]).without_clash(pairs)
+    rows = membership(pairs.join(courses, "course").join(asked, "student"), t["categories"], t["humanities"], t["progress"])
     kind = F.col("p.category")
     verified = F.when(kind == "cdc", F.col("known") & F.col("is_cdc")).when(kind == "del", F.col("known") & F.col("is_del")).when(kind == "huel", F.col("is_huel")).when(kind == "opel", F.col("is_opel"))
-    rows = rows.where(kind.isNull() | verified)
-    rows = settled(rows)  # read twice below, and costly to derive
-    slots = t["sections"].withColumn("slots", text.meeting_slots(F.col("meeting_text")))
-    busy = schedule.occupied(t["current"], slots)
-    held = rows.select("student", "course", F.col("p.free_day").alias("free_day"), F.col("p.no_early_classes").alias("no_early_classes")).join(busy, "student", "left").join(slots, "course")
-    placed = schedule.feasible_sections(held)
-    listed = F.struct("ordinal", "section", "room", F.col("meeting_text").alias("meeting"))
-    per_pair = placed.groupBy("student", "course").agg(
-        F.count_if("feasible").alias("n_feasible"), F.count_if("timed").alias("n_timed"),
-        F.slice(F.array_sort(F.collect_list(F.when(F.col("feasible"), listed))), 1, 4).alias("sections"),
+    return rows.where(kind.isNull() | verified)
+
+
+def unknown_facts(t: dict[str, DataFrame], asked: DataFrame) -> DataFrame:
+    """(student, label, n): how many candidates lack a fact that is asked about. Only requests that ask for such facts are paired, and no section is looked at."""
+    p = F.col("p")
+    about = reduce(lambda a, b: a | b, [p[f] for f in [*STRICT, "lenient_makeup", "no_quiz"]])
+    rows = candidates(t, asked.where(about)).withColumns({"n_feasible": F.lit(0), "n_timed": F.lit(0)})
+    return matched(rows).select("student", F.explode("unknown").alias("label")).groupBy("student", "label").agg(F.count("*").alias("n"))
+
+
+def best(t: dict[str, DataFrame], asked: DataFrame, limit: int = fixed.DEFAULT_RESULTS) -> DataFrame:
+    """Each request's best candidates with their evidence, which is written for them only."""
+    kind = F.col("p.category")
+    possible = asked.where(~F.coalesce("p.lenient_makeup", F.lit(False)))  # leniency rejects every course
+    fitted = schedule.Meetings(t["sections"], t["current"]).fitting(candidates(t, possible), F.col("p.free_day"), F.col("p.no_early_classes"))
+    order = Window.partitionBy("student").orderBy(F.desc("score"), "course")
+    ranked = matched(fitted).where("NOT rejected").select(
+        "student", "course", "n_feasible", "n_timed", "sections", F.row_number().over(order).alias("rank"), F.count("*").over(Window.partitionBy("student")).alias("eligible_candidates"),
     )
-    rows = rows.join(per_pair, ["student", "course"], "left").fillna(0, ["n_feasible", "n_timed"])
-    scored = settled(matched(rows))  # both results come from it
-    unknown = scored.select("student", F.explode("unknown").alias("label")).groupBy("student", "label").agg(F.count("*").alias("n"))
-    kept = scored.where("NOT rejected")
+    chosen = matched(ranked.where(F.col("rank") <= limited(limit)).join(t["courses"], "course").join(asked, "student"))
     eligibility = F.array_compact(F.array(
         F.lit("offered this semester"), F.when(F.size("needs") > 0, "explicit prerequisites completed"),
         F.when(kind.isNotNull(), F.concat(F.lit("verified "), F.upper(kind), F.lit(" for "), F.col("programme"))),
     ))
-    order = Window.partitionBy("student").orderBy(F.desc("score"), "course")
-    ranked = kept.select(
+    return chosen.select(
         "student", "course", text.title_case(F.col("title")).alias("title"), F.col("offered_u").alias("units"), "computer_code", "score", F.upper(kind).alias("requirement"),
         eligibility.alias("eligibility"), F.when(F.size("matches") > 0, F.col("matches")).otherwise(F.array(F.lit("eligible current offering"))).alias("matches"),
-        F.concat("unknown", "soft_unknown").alias("manual_review"), "claims", "sections", F.row_number().over(order).alias("rank"),
-        F.count("*").over(Window.partitionBy("student")).alias("eligible_candidates"),
+        F.concat("unknown", "soft_unknown").alias("manual_review"), "claims", "sections", "rank", "eligible_candidates",
     )
-    return ranked.where(F.col("rank") <= limited(limit)), unknown
+
+
+def recommend(tables: dict[str, DataFrame], requests: DataFrame, limit: int = fixed.DEFAULT_RESULTS) -> tuple[DataFrame, DataFrame]:
+    """(recommendations, unknown facts) for ``requests`` (student, query, p: preferences).
+
+    ``tables``: students (student, programme, degree_level, admission_year,
+    existing_units, interests: array), completed and current (student,
+    course), catalogue (course, title, units, prerequisite_expression, needs),
+    offerings (course, computer_code, title, u, cancelled, restricted, midsem,
+    compre, ordinal), sections (course, section, room, meeting_text, ordinal),
+    groups (group, course), categories (programme, category, course),
+    humanities (course), facts (see ``handout_facts``), progress (see
+    ``requirements.progress``).
+    """
+    t, asked = prepared(tables, requests)
+    return best(t, asked, limit), unknown_facts(t, asked)

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from almanac.functions import text
 from almanac.operators.rounds import settled
 
 
@@ -23,7 +24,7 @@ class Calendar:
         self.n = self.slots.count()
         numbered = self.slots.select(name, (F.row_number().over(Window.orderBy(name)) - 1).alias("_slot"))
         self.numbers = settled(numbered)
-        self.words = [f"w{i}" for i in range(-(-self.n // BITS))]
+        self.words = [f"w{i}" for i in range(max(1, -(-self.n // BITS)))]
 
     def number(self, rows: DataFrame) -> DataFrame:
         """``rows`` with the number of their slot in ``_slot`` in place of the slot."""
@@ -32,9 +33,12 @@ class Calendar:
 
     def masks(self, rows: DataFrame, keys: list[str], *more: Column) -> DataFrame:
         """(keys, w0, w1, ..., more): the slots of all rows of a key as bits of some words."""
-        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_slot") % BITS)
-        own = [F.bit_or(F.when(F.floor(F.col("_slot") / BITS) == i, bit).otherwise(F.lit(0).cast("long"))).alias(w) for i, w in enumerate(self.words)]
-        return self.number(rows).groupBy(*keys).agg(*own, *more)
+        return self.number(rows).groupBy(*keys).agg(*self.words_of("_slot"), *more)
+
+    def words_of(self, slot: str) -> list[Column]:
+        """Aggregates: the slots with the numbers in that column as bits of words."""
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col(slot) % BITS)
+        return [F.bit_or(F.when(F.floor(F.col(slot) / BITS) == i, bit).otherwise(F.lit(0).cast("long"))).alias(w) for i, w in enumerate(self.words)]
 
     def held(self, current: DataFrame, per_course: DataFrame) -> DataFrame:
         """(student, busy): the masks of all current courses of a student as one struct of words."""
@@ -94,17 +98,34 @@ def feasible_counts(pairs: DataFrame, offerings: DataFrame, current: DataFrame,
     return rows.select("student", "course", "n_timed", free.cast("long").alias("n_feasible"))
 
 
-def occupied(current: DataFrame, sections: DataFrame) -> DataFrame:
-    """(student, occupied): the sorted slots of all sections of the student's current courses."""
-    per_course = sections.groupBy("course").agg(F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots")).where("size(slots) > 0")
-    held = current.select("student", "course").distinct().join(per_course, "course")
-    return held.groupBy("student").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("slots")))).alias("occupied"))
-
-
-def feasible_sections(rows: DataFrame, free_day: str = "free_day", no_early: str = "no_early_classes") -> DataFrame:
-    """Add ``feasible`` and ``timed`` to (slots, occupied, free_day, no_early_classes) rows."""
-    slots = F.col("slots")
-    clash = F.coalesce(F.arrays_overlap(slots, F.col("occupied")), F.lit(False))
-    on_day = F.coalesce(F.exists(slots, lambda s: s["day"] == F.col(free_day)), F.lit(False))
-    early = F.col(no_early) & F.coalesce(F.exists(slots, lambda s: s["period"] == 1), F.lit(False))
-    return rows.withColumn("feasible", ~(clash | on_day | early)).withColumn("timed", F.coalesce(F.size(slots), F.lit(0)) > 0)
+class Meetings:
+    """Clashes of meetings: a section is one mask, a course one row with its sections in order, and a request one mask of the slots that it cannot use."""
+
+    def __init__(self, sections: DataFrame, current: DataFrame):
+        # A meeting text is parsed once, however many sections have it.
+        slots = sections.where("meeting_text IS NOT NULL").select("meeting_text").distinct().select("meeting_text", F.explode(text.meeting_slots(F.col("meeting_text"))).alias("slot"))
+        slots = settled(slots)
+        self.calendar = calendar = Calendar(slots.select("slot"))
+        known = sections.join(calendar.masks(slots, ["meeting_text"]), "meeting_text", "left")
+        timed = F.col(calendar.words[0]).isNotNull()
+        listed = F.struct("ordinal", "section", "room", F.col("meeting_text").alias("meeting"), F.struct(F.lit(True).alias("any"), *(F.coalesce(w, F.lit(0).cast("long")).alias(w) for w in calendar.words)).alias("slots"))
+        self.per_course = known.groupBy("course").agg(F.count_if(timed).alias("n_timed"), F.array_sort(F.collect_list(listed)).alias("_all"), *(F.bit_or(w).alias(w) for w in calendar.words))
+        self.held = calendar.held(current, self.per_course.where("n_timed > 0"))
+
+    def fitting(self, rows: DataFrame, free_day: Column, no_early: Column) -> DataFrame:
+        """Add n_feasible, n_timed and the first four feasible sections to rows (student, course): beside what is held, off the ``free_day``, and not in the first period with ``no_early``."""
+        c = self.calendar
+        rows = rows.withColumns({"_day": free_day, "_early": F.coalesce(no_early, F.lit(False))})
+        kinds = F.explode(F.array(F.struct(F.col("slot.day").alias("_day"), F.lit(False).alias("_only")), F.struct(F.lit(None).cast("string").alias("_day"), F.lit(True).alias("_only"))))
+        bits = c.numbers.select("_slot", F.col("slot.period").alias("period"), kinds.alias("k")).select("_slot", "k._day", "k._only", "period").where("NOT _only OR period = 1")
+        unwanted = bits.groupBy("_day").agg(*c.words_of("_slot"))
+        day = F.broadcast(unwanted.where("_day IS NOT NULL").select("_day", F.struct(*c.words).alias("_off")))
+        early = F.broadcast(unwanted.where("_day IS NULL").select(F.lit(True).alias("_early"), F.struct(*c.words).alias("_first")))
+        rows = rows.join(day, "_day", "left").join(early, "_early", "left").join(self.held, "student", "left").join(self.per_course.select("course", "n_timed", "_all"), "course", "left")
+        none = F.lit(0).cast("long")
+        out = F.struct(*(reduce(lambda a, b: a.bitwiseOR(b), [F.coalesce(F.col(m)[w], none) for m in ("busy", "_off", "_first")]).alias(w) for w in c.words))
+        fit = F.filter("_all", lambda s: ~c.meet(F.col("_out"), s["slots"]))
+        rows = rows.withColumn("_out", out).withColumn("_fit", fit)
+        four = F.transform(F.slice("_fit", 1, 4), lambda s: F.struct(*(s[n].alias(n) for n in ("ordinal", "section", "room", "meeting"))))
+        counts = {"n_feasible": F.greatest(F.coalesce(F.size("_fit"), F.lit(0)), F.lit(0)), "n_timed": F.coalesce("n_timed", F.lit(0))}
+        return rows.withColumns(counts | {"sections": four}).drop("_day", "_early", "_off", "_first", "busy", "_all", "_out", "_fit")

@@ -143,18 +143,18 @@ SELECT student, label, count(*) AS n FROM (
 WHERE label IS NOT NULL GROUP BY student, label"""
 
 
-def answers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The recommender's answers and unknown facts for a request of every student."""
+def asked(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The recommender's tables and a request of every student."""
     s = F.col("student")
     phrase = F.get(F.array(*map(F.lit, PHRASES)), (s % len(PHRASES)).cast("int"))
     words = F.when(s % ASKS_NOTHING > 0, F.concat(F.lit("zone"), s % ZONES, F.lit(" "), phrase)).otherwise("")
     requests = academic.students(spark, sf_dir).select("student", words.alias("query"))
-    return recommend.recommend(tables(spark, sf_dir), requests.withColumn("p", preferences.preferences(F.col("query"))))
+    return recommend.prepared(tables(spark, sf_dir), requests.withColumn("p", preferences.preferences(F.col("query"))))
 
 
 def recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All that an answer holds: rank and score, sections, the number before the limit, and the evidence of every preference."""
-    best, _ = answers(spark, sf_dir)
+    best = recommend.best(*asked(spark, sf_dir))
     said = F.transform("claims", lambda c: F.concat(c["claim"], F.lit(" ["), c["source"], F.lit("]")))
     return best.select(
         "student", "course", "title", "units", "computer_code", "score", F.array_join("sections.section", " ").alias("sections"), "eligible_candidates", "rank", "requirement",
@@ -164,7 +164,7 @@ def recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def recommendation_unknowns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every student, how many candidates lack each fact that the request asks about."""
-    return answers(spark, sf_dir)[1]
+    return recommend.unknown_facts(*asked(spark, sf_dir))
 
 
 QUERIES |= {"recommendations": recommendations, "recommendation_unknowns": recommendation_unknowns}

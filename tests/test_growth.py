@@ -72,3 +72,28 @@ def test_failures_equal_those_of_documents(spark):
 
     files = spark.createDataFrame([("a", bytearray(papers.made(["one"]).encode())), ("b", bytearray(b"none")), ("c", None)], "path string, content binary")
     assert sorted(ingest.failures(files).collect()) == sorted(ingest.documents(files).select("path", "error").collect())
+
+
+def test_sections_of_a_request_are_one_row(spark):
+    """A pair meets its course's sections as one row; free days, first periods and held slots are bits, and untimed sections always fit."""
+    from pyspark.sql import functions as F
+
+    from almanac.operators import schedule
+
+    texts = [None, "M 1", "M 2", "T 3", "F 4", "W 1 2", "Th 5"]
+    sections = [(1, f"s{i}", None, texts[i % 7], i) for i in range(21)] + [(2, "a", None, None, 1), (9, "z", None, "T 3 Th 5", 1), (9, "y", None, None, 2)]
+    current = spark.createDataFrame([(1, 9), (2, 2)], "student long, course long")
+    meetings = schedule.Meetings(spark.createDataFrame(sections, "course long, section string, room string, meeting_text string, ordinal int"), current)
+    rows = spark.createDataFrame([(1, 1, None, False), (2, 1, "Mon", False), (3, 1, "Fri", True), (3, 2, None, True), (3, 5, None, True)], "student long, course long, day string, early boolean")
+    fitting = meetings.fitting(rows, F.col("day"), F.col("early"))
+    got = {(r["student"], r["course"]): (r["n_feasible"], r["n_timed"], r["sections"] and [s["ordinal"] for s in r["sections"]]) for r in fitting.collect()}
+    assert got == {(1, 1): (15, 18, [0, 1, 2, 4]), (2, 1): (15, 18, [0, 3, 4, 5]), (3, 1): (12, 18, [0, 2, 3, 6]), (3, 2): (1, 0, [1]), (3, 5): (0, 0, None)}
+
+
+def test_unknown_facts_pair_no_request_that_asks_for_none(spark, sf_dir):
+    from almanac.operators import recommend
+    from almanac.plans import advice
+
+    tables, asked = advice.asked(spark, sf_dir)
+    quiet = asked.where("NOT (p.no_attendance OR p.no_midsem OR p.no_compre OR p.no_quiz OR p.lenient_makeup)")
+    assert quiet.count() > 0 and recommend.unknown_facts(tables | {"sections": None}, quiet).isEmpty()
