@@ -24,6 +24,14 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def fields(pattern: str, groups: int, text: Column) -> Column:
+    """All groups of the match of a pattern that begins at the start of a text that it matches, by one search instead of one for each group."""
+    mark = "\x01"
+    marked = F.split(F.regexp_replace(text, pattern, mark.join(f"${n}" for n in range(1, groups + 1)) + mark), mark)
+    each = F.array(*(F.regexp_extract(text, pattern, n) for n in range(1, groups + 1)))
+    return F.when(F.contains(text, F.lit(mark)), each).otherwise(marked)
+
+
 def compact(text: Column) -> Column:
     """White space runs become one blank; none at the ends. Null stays null."""
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
@@ -36,8 +44,8 @@ def strip(text: Column) -> Column:
 def code(text: Column) -> Column:
     """The first course code as "DEPT Lnnn", or null."""
     plain = F.upper(F.translate(text, "_", " "))
-    parts = [F.regexp_extract(plain, CODE, g) for g in (1, 2, 3)]
-    return F.when(F.regexp_like(plain, F.lit(CODE)), F.concat(parts[0], F.lit(" "), parts[1], parts[2]))
+    first = F.regexp_extract(plain, CODE, 0)  # never empty where there is one
+    return F.when(first != "", F.regexp_replace(first, r"^([A-Z]+)\s+([A-Z])\s*", "$1 $2"))
 
 
 def codes_of(values: Column) -> Column:

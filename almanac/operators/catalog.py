@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from almanac.functions import fixed
-from almanac.functions.text import CODE, all_codes, code, compact, found, strip
+from almanac.functions.text import CODE, all_codes, code, compact, fields, found, strip
 from almanac.operators.sequence import carried, first_wins, joined_text, longest_wins, segmented, two_columns
 
 DOC, PLACE = ["source_document"], ["page_no", "line_no"]
@@ -162,40 +162,48 @@ CONTINUED = r"^.{70,}?([LPT]\d+)\s+(.+)$"
 CANCELLED = r"(?i)CANC?ELLED|CANCLED"
 
 
+ROOM = r"\b([1-7]\d{3})\b"
+
+
 def timetable(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(offerings, sections): primary rows, and further sections in lines that continue the last primary row."""
-    rows = lines.withColumn("_primary", F.regexp_like("line", F.lit(PRIMARY)))
+    """(offerings, sections): primary rows, and further sections in lines that continue the last primary row.
+
+    A primary row is parted once, and every line is gone through once for its sections.
+    """
+    is_primary = F.regexp_like("line", F.lit(PRIMARY))
 
     def part(n: int) -> Column:
-        return F.regexp_extract("line", PRIMARY, n)
+        return F.get("_p", F.lit(n - 1))
 
     def hours(n: int) -> Column:
         return F.coalesce(part(n).try_cast("int"), F.lit(0))
 
-    rest = part(10)
-    exams = F.regexp_extract_all(rest, F.lit(EXAM), F.lit(0))
-
-    def exam(n: int) -> Column:
-        e = F.get(exams, F.lit(n))
-        return F.when(e.isNotNull(), F.struct(F.regexp_extract(e, EXAM, 1).alias("date"), F.regexp_extract(e, EXAM, 2).alias("session")))
+    def placed(rows: DataFrame, tail: Column) -> DataFrame:
+        """Add what the end of a row says of its room and its meetings; neither is ever empty."""
+        return rows.withColumns({"_room": F.regexp_extract(tail, ROOM, 1), "_meeting": F.regexp_extract(tail, MEETING, 1)})
 
-    primary = rows.where("_primary")
-    number = part(1).cast("int")
+    room, meeting = (F.when(F.col(c) != "", F.col(c)) for c in ("_room", "_meeting"))
+    rest, number = part(10), part(1).cast("int")
+    # The date of an exam has five letters; its session follows after blanks.
+    exams = F.transform(F.regexp_extract_all(rest, F.lit(EXAM), F.lit(0)), lambda e: F.struct(F.substring(e, 1, 5).alias("date"), F.translate(F.substring(e, 6, 1 << 30), " \t\n\x0b\f\r", "").alias("session")))
+    primary = placed(lines.where(is_primary).withColumn("_p", fields(PRIMARY, 10, F.col("line"))), rest).withColumn("_exams", exams)
     offerings = primary.select(
         *DOC, *PLACE, number.alias("computer_code"), code(part(2)).alias("course"), compact(part(3)).alias("title"),
-        F.struct(*(hours(4 + i).alias(n) for i, n in enumerate("lptsu"))).alias("credits"), part(9).alias("section"), found(r"\b([1-7]\d{3})\b", rest).alias("room"), found(MEETING, rest).alias("meeting_text"),
-        F.regexp_like(rest, F.lit(CANCELLED)).alias("cancelled"), (number >= fixed.RESTRICTED_FROM).alias("restricted"), exam(0).alias("midsem"), exam(1).alias("compre"),
+        F.struct(*(hours(4 + i).alias(n) for i, n in enumerate("lptsu"))).alias("credits"), part(9).alias("section"), room.alias("room"), meeting.alias("meeting_text"),
+        F.regexp_like(rest, F.lit(CANCELLED)).alias("cancelled"), (number >= fixed.RESTRICTED_FROM).alias("restricted"), F.get("_exams", F.lit(0)).alias("midsem"), F.get("_exams", F.lit(1)).alias("compre"),
         compact(rest).alias("raw_tail"), cited("II. Coursewise Timetable", F.col("line")).alias("source"),
     )
-    own = offerings.select(*DOC, *PLACE, "course", "computer_code", "section", "room", "meeting_text", "cancelled", F.col("raw_tail").alias("raw_text"), "source")
-    head = F.when(F.col("_primary"), F.struct(code(part(2)).alias("course"), number.alias("computer_code")))
-    further = carried(rows, DOC, PLACE, head, "_of").where(~F.col("_primary") & F.col("_of").isNotNull() & F.regexp_like("line", F.lit(CONTINUED)))
-    tail = compact(F.regexp_extract("line", CONTINUED, 2))
-    more = further.select(
-        *DOC, *PLACE, "_of.course", "_of.computer_code", F.regexp_extract("line", CONTINUED, 1).alias("section"), found(r"\b([1-7]\d{3})\b", tail).alias("room"), found(MEETING, tail).alias("meeting_text"),
-        F.regexp_like(tail, F.lit(CANCELLED)).alias("cancelled"), tail.alias("raw_text"), cited("II. Coursewise Timetable section", F.col("line")).alias("source"),
+    # Only primary rows and lines that can go on from one are put in order.
+    rows = lines.where(is_primary | F.regexp_like("line", F.lit(CONTINUED))).withColumn("_p", F.when(is_primary, fields(PRIMARY, 10, F.col("line"))))
+    own = F.col("_p").isNotNull()
+    rows = carried(rows, DOC, PLACE, F.when(own, F.struct(code(part(2)).alias("course"), number.alias("computer_code"))), "_of").where("_of IS NOT NULL")
+    rows = rows.withColumn("_tail", F.when(own, rest).otherwise(compact(F.regexp_extract("line", CONTINUED, 2))))
+    name = F.when(own, "II. Coursewise Timetable").otherwise("II. Coursewise Timetable section")
+    sections = placed(rows, F.col("_tail")).select(
+        *DOC, *PLACE, "_of.course", "_of.computer_code", F.when(own, part(9)).otherwise(F.regexp_extract("line", CONTINUED, 1)).alias("section"), room.alias("room"), meeting.alias("meeting_text"),
+        F.regexp_like("_tail", F.lit(CANCELLED)).alias("cancelled"), compact(F.col("_tail")).alias("raw_text"), cited(name, F.col("line")).alias("source"),
     )
-    return offerings, own.unionByName(more)
+    return offerings, sections
 
 
 def timetable_header(lines: DataFrame) -> DataFrame:

@@ -49,7 +49,7 @@ def written(rows: DataFrame, document: Column, order: list[str], pages: list[lis
     """
     columns = {f"_{i}_{j}": part for i, page in enumerate(pages) for j, part in enumerate(page) if not isinstance(part, str)}
     rows = rows.select(document.cast("string").alias("source_document"), F.struct(*order, *(c.alias(n) for n, c in columns.items())).alias("_row"))
-    docs = rows.groupBy("source_document").agg(F.array_sort(F.collect_list("_row")).alias("_rows"))
+    docs = rows.groupBy("source_document").agg(F.sort_array(F.collect_list("_row")).alias("_rows"))
 
     def part(i: int, j: int, value: Column | str) -> Column:
         return F.lit(value) if isinstance(value, str) else F.nullif(F.array_join(F.transform("_rows", lambda r: r[f"_{i}_{j}"]), "\n"), F.lit(""))

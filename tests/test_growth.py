@@ -97,3 +97,22 @@ def test_unknown_facts_pair_no_request_that_asks_for_none(spark, sf_dir):
     tables, asked = advice.asked(spark, sf_dir)
     quiet = asked.where("NOT (p.no_attendance OR p.no_midsem OR p.no_compre OR p.no_quiz OR p.lenient_makeup)")
     assert quiet.count() > 0 and recommend.unknown_facts(tables | {"sections": None}, quiet).isEmpty()
+
+
+def test_a_row_of_a_timetable_is_parted_by_one_search(spark):
+    from pyspark.sql import functions as F
+
+    from almanac.functions import text
+    from almanac.operators import catalog
+    from almanac.sources.ingest import lines_of
+
+    row = "1001 AN F314  FLIGHT II   2 - 1 - 3  L1   A PERSON 5101 M W F 2   09/10 AN1  01/12 FN"
+    lines = [row, row.replace("FLIGHT", "A\x01B"), row + "\r", "5 CS F111  X   1 1 1 1 1  P1"]
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    got = df.select(*(F.get(text.fields(catalog.PRIMARY, 10, F.col("line")), F.lit(n - 1)).alias(f"a{n}") for n in range(1, 11))).collect()
+    assert got == df.select(*(F.regexp_extract("line", catalog.PRIMARY, n).alias(f"a{n}") for n in range(1, 11))).collect()
+    doc = lines_of(spark.createDataFrame([("x", "\n".join(lines))], "source_document string, text string"), "source_document")
+    offerings, sections = catalog.timetable(doc)
+    assert offerings.count() == sections.count() == 4
+    for table in (offerings, sections):
+        assert table._jdf.queryExecution().optimizedPlan().toString().count("([LPT]\\d+)\\s*(.*)$, 9") <= 1  # the way for a line with the mark itself
