@@ -108,6 +108,12 @@ def asked(requests: DataFrame, remote: Callable[[str], str], workers: int = 8, t
     return requests.join(known, "query", "left")
 
 
+def answered(requests: DataFrame, remote: Callable[[str], str], **options) -> DataFrame:
+    """``requests`` with preferences, provider and warning: each distinct text is asked (see ``asked``) and parsed once, the null one by the local rules only."""
+    texts = understood(asked(requests.select("query").distinct(), remote, **options)).withColumnRenamed("query", "_text")
+    return requests.join(texts, F.col("query").eqNullSafe(F.col("_text"))).drop("_text")
+
+
 def understand(spark: SparkSession, query: str, remote: Callable[[str], str] | None = None) -> DataFrame:
     """One row (query, warning, preferences, provider). ``remote`` maps the query to a JSON reply; any failure falls back to the local rules."""
     reply, warning = (None, None) if remote is None else answer(remote, query)

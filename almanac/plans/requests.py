@@ -93,7 +93,7 @@ SELECT id, CASE WHEN kind IN (0, 4) THEN 'remote' ELSE 'deterministic' END AS pr
 def remote_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The request of every order, put to a remote parser once for each distinct text; failures are warnings of their rows."""
     requests = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.concat_ws(" ", pick(PHRASES, F.col("o_custkey")), (F.col("o_custkey") % 97).cast("string")).alias("query"))
-    rows = preferences.understood(preferences.asked(requests, stub, pause=0.0))
+    rows = preferences.answered(requests, stub, pause=0.0)
     return rows.select("id", "provider", "warning", F.col("preferences.category").alias("category"))
 
 
