@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from almanac.functions import fixed
+from almanac.operators.sequence import spread
 
 
 def electives_required(programme: Column) -> Column:
@@ -20,12 +21,13 @@ def student_programmes(students: DataFrame) -> DataFrame:
     return students.select("student", F.explode(both).alias("programme"))
 
 
-def progress(students: DataFrame, categories: DataFrame, humanities: DataFrame, taken: DataFrame, open_done: DataFrame | None = None, required: Column | None = None) -> DataFrame:
+def progress(students: DataFrame, categories: DataFrame, humanities: DataFrame, taken: DataFrame, open_done: DataFrame | None = None, required: Column | None = None, tasks: int | None = None) -> DataFrame:
     """(student, category, total, completed, remaining) for CDC, DEL, HUEL and OPEL.
 
     ``categories`` (programme, category, course), ``humanities`` (course),
     ``taken`` (student, course): completed and current courses. A course may
     count in several categories. Programmes without a record count nothing.
+    Joins with the taken courses are dealt to ``tasks``.
     """
     required = electives_required(F.col("programme")) if required is None else required
     known = categories.select("programme").distinct()
@@ -35,7 +37,8 @@ def progress(students: DataFrame, categories: DataFrame, humanities: DataFrame,
     core = categories.where("category = 'CDC'").select("programme", "course").distinct()
     core_sizes = sets.select("set").distinct().select("set", F.explode("set").alias("programme")).join(core, "programme").groupBy("set").agg(F.count_distinct("course").alias("total"))
     # What is done comes from the taken courses, a few per student.
-    hits = programmes.join(taken.distinct(), "student").join(categories, ["programme", "course"])
+    hits = spread(programmes, tasks, "student").join(taken.distinct(), "student")
+    hits = spread(hits.join(spread(categories, tasks, "programme", "course"), ["programme", "course"]), tasks, "student")
     per_programme = (
         programmes.join(hits.where("category = 'DEL'").groupBy("student", "programme").agg(F.count_distinct("course").alias("hit")), ["student", "programme"], "left")
         .withColumn("needed", required.cast("long"))
@@ -43,10 +46,10 @@ def progress(students: DataFrame, categories: DataFrame, humanities: DataFrame,
     )
     counts = {
         "CDC": (sets.join(core_sizes, "set").select("student", "total"), hits.where("category = 'CDC'").groupBy("student").agg(F.count_distinct("course").alias("completed"))),
-        "HUEL": (None, taken.distinct().join(humanities.select("course").distinct(), "course", "left_semi").groupBy("student").agg(F.count("*").alias("completed"))),
+        "HUEL": (None, taken.distinct().join(spread(humanities.select("course"), tasks, "course").distinct(), "course", "left_semi").groupBy("student").agg(F.count("*").alias("completed"))),
         "OPEL": (None, open_done.distinct().groupBy("student").agg(F.count("*").alias("completed")) if open_done is not None else None),
     }
-    base = students.select("student").distinct()
+    base = spread(students.select("student"), tasks, "student").distinct()
     constant = {"HUEL": fixed.HUMANITIES_REQUIRED, "OPEL": fixed.OPEN_REQUIRED}
     parts = [base.join(per_programme, "student", "left").withColumn("category", F.lit("DEL"))]
     for name, (total, completed) in counts.items():
@@ -68,24 +71,28 @@ def profile_remaining(profiles: DataFrame) -> DataFrame:
     return profiles.select("*", kinds).select("student", "category", F.greatest(F.lit(0), of("requirement_totals") - of("requirement_completed")).alias("remaining"))
 
 
-def membership(pairs: DataFrame, categories: DataFrame, humanities: DataFrame, progress_rows: DataFrame | None = None) -> DataFrame:
+def membership(pairs: DataFrame, categories: DataFrame, humanities: DataFrame, progress_rows: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
     """Add is_cdc, is_del, is_huel, known and is_opel to (student, programme, course) pairs.
 
     A course is an open elective unless it is core, an elective of the
     discipline while such are still due, or in the humanities pool while such
-    are still due.
+    are still due. What depends on the student is joined first. Joins are dealt
+    to ``tasks``.
     """
-    marks = categories.groupBy("programme", "course").agg(F.max(F.col("category") == "CDC").alias("is_cdc"), F.max(F.col("category") == "DEL").alias("is_del"))
-    pool = humanities.select("course").distinct().withColumn("is_huel", F.lit(True))
-    known = categories.select("programme").distinct().withColumn("known", F.lit(True))
-    rows = pairs.join(marks, ["programme", "course"], "left").join(pool, "course", "left").join(known, "programme", "left")
+    marks = spread(categories, tasks, "programme", "course").groupBy("programme", "course").agg(F.max(F.col("category") == "CDC").alias("is_cdc"), F.max(F.col("category") == "DEL").alias("is_del"))
+    pool = spread(humanities.select("course"), tasks, "course").distinct().withColumn("is_huel", F.lit(True))
+    known = F.broadcast(categories.select("programme").distinct().withColumn("known", F.lit(True)))  # as many rows as there are programmes
+    rows = pairs
+    if progress_rows is not None:
+        due = spread(progress_rows, tasks, "student").groupBy("student").agg(
+            F.max(F.when((F.col("category") == "DEL") & (F.col("remaining") > 0), True).otherwise(False)).alias("del_due"),
+            F.max(F.when((F.col("category") == "HUEL") & (F.col("remaining") > 0), True).otherwise(False)).alias("huel_due"),
+        )
+        rows = rows.join(due, "student", "left")
+    rows = rows.join(known, "programme", "left")
+    rows = rows.join(marks, ["programme", "course"], "left").join(pool, "course", "left")
     rows = rows.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("is_cdc", "is_del", "is_huel", "known")})
     if progress_rows is None:
         return rows
-    due = progress_rows.groupBy("student").agg(
-        F.max(F.when((F.col("category") == "DEL") & (F.col("remaining") > 0), True).otherwise(False)).alias("del_due"),
-        F.max(F.when((F.col("category") == "HUEL") & (F.col("remaining") > 0), True).otherwise(False)).alias("huel_due"),
-    )
-    rows = rows.join(due, "student", "left")
     open_elective = ~(F.col("is_cdc") | (F.col("is_del") & F.coalesce("del_due", F.lit(False))) | (F.col("is_huel") & F.coalesce("huel_due", F.lit(False))))
     return rows.withColumn("is_opel", open_elective).drop("del_due", "huel_due")

@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 Names = Sequence[str]
 
 
+def spread(df: DataFrame, tasks: int | None, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` to that many tasks, or as Spark deals it. A join with it by ``keys`` then has as many tasks, unless Spark broadcasts it."""
+    return df if tasks is None else df.repartition(tasks, *keys)
+
+
 def one_per_key(df: DataFrame, keys: Names, order: Sequence[Column | str]) -> DataFrame:
     """The first row of each key in ``order``."""
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

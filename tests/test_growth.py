@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
+import pytest
+
 from almanac.operators import handouts
 
 OUTLINE = "Course No. : CS F111\nCourse Title : Logic\nInstructor : Dr. A\n3. Evaluation Scheme:\nComponent                Duration     Weightage     Remarks\nQuiz                     30 min           40         Closed\nProject                  -                60         Open\n4. Attendance Policy: Attendance is optional.\n"
@@ -147,3 +151,29 @@ def test_pairs_are_dealt_by_the_size_of_the_input(spark, sf_dir):
     assert academic.wishes(spark, sf_dir).rdd.getNumPartitions() == max(4, academic.PER_SPLIT * splits)
     plan = relational.enrolment_anti_join(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(student" in plan and "REPARTITION_BY_NUM" in plan
+
+
+@pytest.mark.parametrize("name", ["equivalence_anti_join", "category_membership", "open_elective_rule", "requirement_progress"])
+def test_joins_of_pairs_are_dealt_by_the_size_of_the_input(spark, sf_dir, name):
+    """No join of orders and items, or of pairs of students and courses, has as many tasks as shuffles have by default."""
+    from almanac.plans import academic, relational
+
+    n, threshold = academic.tasks(spark, sf_dir), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = getattr(relational, name)(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    dealt = {(keys, int(k)) for keys, k in re.findall(r"hashpartitioning\((.*?), (\d+)\)", plan) if re.search("student.*(course|group)|^course|orderkey", keys)}
+    assert n > 4 and dealt and {k for _, k in dealt} == {n}, dealt
+
+
+def test_courses_of_one_title_and_department_have_one_name(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from almanac.plans import academic
+
+    named = academic.equivalents(spark, sf_dir)
+    assert dict(named.dtypes)["group"] == "bigint"
+    rows = named.join(academic.courses(spark, sf_dir), "course").groupBy("title", "department").agg(F.collect_set("group").alias("names"), F.min("course").alias("least"))
+    assert rows.where("names <> array(least)").isEmpty() and rows.count() == named.select("group").distinct().count()
