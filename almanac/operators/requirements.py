@@ -44,21 +44,27 @@ def progress(students: DataFrame, categories: DataFrame, humanities: DataFrame,
         .withColumn("needed", required.cast("long"))
         .groupBy("student").agg(F.sum("needed").alias("total"), F.sum(F.least("needed", F.coalesce("hit", F.lit(0).cast("long")))).alias("completed"))
     )
-    counts = {
-        "CDC": (sets.join(core_sizes, "set").select("student", "total"), hits.where("category = 'CDC'").groupBy("student").agg(F.count_distinct("course").alias("completed"))),
-        "HUEL": (None, taken.distinct().join(spread(humanities.select("course"), tasks, "course").distinct(), "course", "left_semi").groupBy("student").agg(F.count("*").alias("completed"))),
-        "OPEL": (None, open_done.distinct().groupBy("student").agg(F.count("*").alias("completed")) if open_done is not None else None),
-    }
-    base = spread(students.select("student"), tasks, "student").distinct()
+    done = F.count_distinct("course")
+    counts = [
+        per_programme.select("student", F.col("total").alias("DEL_total"), F.col("completed").alias("DEL_done")),
+        sets.join(core_sizes, "set").select("student", F.col("total").alias("CDC_total")),
+        hits.where("category = 'CDC'").groupBy("student").agg(done.alias("CDC_done")),
+        taken.distinct().join(spread(humanities.select("course"), tasks, "course").distinct(), "course", "left_semi").groupBy("student").agg(F.count("*").alias("HUEL_done")),
+    ]
+    if open_done is not None:
+        counts.append(open_done.distinct().groupBy("student").agg(F.count("*").alias("OPEL_done")))
+    # One aggregate brings a student's counts together; a join for each count and category would sort as often in one task.
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), counts, students.select("student", F.lit(True).alias("_here")))
+    rows = spread(both, tasks, "student").groupBy("student").agg(*(F.max(c).alias(c) for c in both.columns if c != "student")).where("_here")
     constant = {"HUEL": fixed.HUMANITIES_REQUIRED, "OPEL": fixed.OPEN_REQUIRED}
-    parts = [base.join(per_programme, "student", "left").withColumn("category", F.lit("DEL"))]
-    for name, (total, completed) in counts.items():
-        part = base.withColumn("category", F.lit(name))
-        part = part.join(total, "student", "left") if total is not None else part.withColumn("total", F.lit(constant.get(name, 0)).cast("long"))
-        parts.append(part.join(completed, "student", "left") if completed is not None else part.withColumn("completed", F.lit(0).cast("long")))
-    rows = reduce(lambda a, b: a.unionByName(b), parts)
-    total, done = F.coalesce("total", F.lit(0)).cast("long"), F.coalesce("completed", F.lit(0)).cast("long")
-    return rows.select("student", "category", total.alias("total"), done.alias("completed"), F.greatest(F.lit(0).cast("long"), total - done).alias("remaining"))
+
+    def count(name: str, otherwise: int) -> Column:
+        value = F.lit(otherwise).cast("long")
+        return F.coalesce(F.col(name).cast("long"), value) if name in both.columns else value
+
+    kinds = [F.struct(F.lit(c).alias("category"), count(f"{c}_total", constant.get(c, 0)).alias("total"), count(f"{c}_done", 0).alias("completed")) for c in ("DEL", "CDC", "HUEL", "OPEL")]
+    rows = rows.select("student", F.inline(F.array(*kinds)))
+    return rows.select("student", "category", "total", "completed", F.greatest(F.lit(0).cast("long"), F.col("total") - F.col("completed")).alias("remaining"))
 
 
 def profile_remaining(profiles: DataFrame) -> DataFrame:

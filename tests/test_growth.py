@@ -177,3 +177,11 @@ def test_courses_of_one_title_and_department_have_one_name(spark, sf_dir):
     assert dict(named.dtypes)["group"] == "bigint"
     rows = named.join(academic.courses(spark, sf_dir), "course").groupBy("title", "department").agg(F.collect_set("group").alias("names"), F.min("course").alias("least"))
     assert rows.where("names <> array(least)").isEmpty() and rows.count() == named.select("group").distinct().count()
+
+
+def test_counts_of_a_student_come_together_in_one_aggregate(spark, sf_dir):
+    """A join for each count and category sorted more than twenty times in one task."""
+    from almanac.plans import relational
+
+    plan = relational.requirement_progress(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan.split("Union", 1)[0] and "Aggregate" in plan.split("Union", 1)[0]
