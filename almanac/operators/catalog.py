@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from almanac.functions import fixed
-from almanac.functions.text import CODE, all_codes, code, compact, fields, found, strip
+from almanac.functions.text import CODE, all_codes, bound, code, compact, fields, found, strip
 from almanac.operators.sequence import carried, first_wins, joined_text, longest_wins, segmented, two_columns
 
 DOC, PLACE = ["source_document"], ["page_no", "line_no"]
@@ -42,7 +42,18 @@ def clauses(lines: DataFrame) -> DataFrame:
 # How lines of a catalogue look.
 TAIL = r"^\s*([A-Za-z][A-Za-z0-9&()/',.\- ]+?)\s{2,}(\d{1,2})(?:\*|\s|$)"
 PREREQUISITE = r"(?i)Pre[- ]?requisites?\s*:\s*(.+)"
-HEADER = r"^\s*([A-Z]{2,8}\s+[A-Z]\s*\d{3}[A-Z]?)\s+(.*?)\s{2,}(\d{1,3}\*?)\s*$"
+
+
+def entries_of(line: Column) -> Column:
+    """(seg_no, course, title, units, segment) of each code of a line that has a title and units to its right, as they stand there."""
+    head = "^" + CODE
+
+    def entry(segment: Column, n: Column) -> Column:
+        parted = fields(TAIL, 2, F.regexp_replace(segment, head, ""))
+        course = code(F.regexp_extract(segment, head, 0))
+        return F.when(F.regexp_like(segment, F.lit(head)), bound(parted, lambda p: F.struct(n.alias("seg_no"), course.alias("course"), F.get(p, F.lit(0)).alias("title"), F.get(p, F.lit(1)).alias("units"), segment.alias("segment"))))
+
+    return F.filter(F.transform(F.split(line, rf"(?={CODE})"), entry), lambda e: e["units"] != "")
 
 
 def catalogue(lines: DataFrame) -> DataFrame:
@@ -51,55 +62,47 @@ def catalogue(lines: DataFrame) -> DataFrame:
     First pass: each code with a title and units to its right; the first units
     and the longest title count. A prerequisite line goes to the codes of the
     last line that has any. Second pass: course descriptions in two columns,
-    whose prerequisites take precedence.
+    whose prerequisites take precedence. Each pass goes through the lines once,
+    and one aggregate brings together what all lines say of a course.
     """
-    cut = F.split("line", rf"(?={CODE})")
-    rows = lines.withColumn("_n", F.size(all_codes(F.col("line"))))
-    segments = rows.select(*DOC, *PLACE, "line", "_n", F.posexplode(cut).alias("seg_no", "segment"))
-    segments = segments.where(F.regexp_like("segment", F.lit("^" + CODE))).withColumn("_rest", F.regexp_replace("segment", "^" + CODE, ""))
-    entries = segments.where(F.regexp_like("_rest", F.lit(TAIL))).select(
-        *DOC, *PLACE, "seg_no", code(F.col("segment")).alias("course"), F.regexp_replace(compact(F.regexp_extract("_rest", TAIL, 1)), r"^[-– ]+|[-– ]+$", "").alias("title"),
-        F.regexp_extract("_rest", TAIL, 2).cast("int").alias("units"), F.col("segment"),
-    )
-    order = [*DOC, *PLACE, "seg_no"]
-    base = first_wins(entries, ["course"], order).select("course", "units").join(longest_wins(entries, ["course"], "title", order).select("course", "title"), "course")
-    found_in = entries.select("course", F.struct(*order).alias("_at"), cited("course catalogue/programme table", F.col("segment")).alias("source"))
-
+    has_codes = F.regexp_like("line", F.lit(CODE))
+    # Only lines with codes and prerequisite lines are put in order.
+    rows = lines.where(has_codes | F.regexp_like("line", F.lit(PREREQUISITE))).withColumn("_entries", F.when(has_codes, entries_of(F.col("line"))))
     # A line with codes replaces the waiting codes, by none if none of them parsed.
-    per_line = entries.groupBy(*DOC, *PLACE).agg(F.array_sort(F.collect_list(F.struct("seg_no", "course"))).alias("_entries"))
-    with_codes = rows.join(per_line, [*DOC, *PLACE], "left")
-    waiting = F.when(F.col("_n") > 0, F.coalesce(F.transform("_entries", lambda e: e["course"]), F.array().cast("array<string>")))
-    asked = carried(with_codes, DOC, PLACE, waiting, "_codes").withColumn("_said", compact(found(PREREQUISITE, F.col("line")))).where("_said IS NOT NULL")
-    first = asked.select(F.explode("_codes").alias("course"), F.lit(1).alias("pass"), F.struct(*DOC, *PLACE, F.lit(0).alias("seg_no")).alias("_at"), F.col("_said").alias("said"), cited("prerequisite", F.col("line")).alias("source"))
-    second = described_prerequisites(lines).select("course", F.lit(2).alias("pass"), "_at", "said", "source")
-    both = first.unionByName(second).join(base.select("course"), "course", "left_semi")
-    last = Window.partitionBy("course").orderBy(F.desc("pass"), F.desc("_at"))
-    chosen = both.withColumn("_n", F.row_number().over(last)).where("_n = 1").select("course", F.col("said").alias("prerequisite_expression"), all_codes(F.col("said")).alias("needs"))
-    cites = found_in.withColumn("pass", F.lit(0)).unionByName(both.select("course", "_at", "source", "pass"))
-    sources = cites.groupBy("course").agg(F.transform(F.array_sort(F.collect_list(F.struct("pass", "_at", "source"))), lambda s: s["source"]).alias("sources"))
+    rows = carried(rows, DOC, PLACE, F.transform("_entries", lambda e: e["course"]), "_codes").withColumn("_said", compact(found(PREREQUISITE, F.col("line"))))
+    kind = "array<struct<seg_no:int,course:string,title:string,units:string,segment:string>>"
+    none = F.array().cast(kind)
+    asked = F.transform("_codes", lambda c: F.struct(F.lit(0).alias("seg_no"), c.alias("course"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("units"), F.col("line").alias("segment")))
+    said = F.concat(F.coalesce(F.col("_entries").cast(kind), none), F.when(F.col("_said").isNotNull() & F.col("_codes").isNotNull(), asked).otherwise(none))
+    first = rows.select(*DOC, *PLACE, "_said", F.inline(said)).where("course IS NOT NULL").withColumn("pass", F.when(F.col("units").isNull(), 1).otherwise(0))
+    first = first.select(
+        "course", "pass", F.struct(*DOC, *PLACE, "seg_no").alias("_at"), F.regexp_replace(compact(F.col("title")), r"^[-– ]+|[-– ]+$", "").alias("title"), F.col("units").cast("int").alias("units"),
+        F.when(F.col("pass") == 1, F.col("_said")).alias("said"), cited(F.when(F.col("pass") == 1, "prerequisite").otherwise("course catalogue/programme table"), F.col("segment")).alias("source"),
+    )
+    second = described_prerequisites(lines).select("course", F.lit(2).alias("pass"), "_at", F.lit(None).cast("string").alias("title"), F.lit(None).cast("int").alias("units"), "said", "source")
+    facts = first.unionByName(second).groupBy("course").agg(F.array_sort(F.collect_list(F.struct("pass", "_at", "title", "units", "said", "source"))).alias("_facts"))
+    opening, closing = F.get("_facts", F.lit(0)), F.element_at("_facts", -1)
+    longest = F.array_max(F.transform("_facts", lambda f, n: F.struct(F.length(f["title"]).alias("length"), (-n).alias("n"), f["title"].alias("title"))))
     empty = F.array().cast("array<string>")
-    return base.join(chosen, "course", "left").join(sources, "course", "left").select(
-        "course", "title", "units", "prerequisite_expression", F.coalesce("needs", empty).alias("needs"), empty.alias("restrictions"), "sources"
-    )
+    found_all = facts.where(opening["pass"] == 0).select("course", longest["title"].alias("title"), opening["units"].alias("units"), closing["said"].alias("prerequisite_expression"), F.transform("_facts", lambda f: f["source"]).alias("sources"))
+    return found_all.select("course", "title", "units", "prerequisite_expression", F.coalesce(all_codes(F.col("prerequisite_expression")), empty).alias("needs"), empty.alias("restrictions"), "sources")
 
 
 def described_prerequisites(lines: DataFrame) -> DataFrame:
     """(course, said, source, _at) from the two columns of description pages; a statement ends with its course, page or column."""
     page = [*DOC, "page_no"]
-    concerned = lines.groupBy(*page).agg(F.bool_or(F.contains("line", F.lit("Course Description")) | F.regexp_like("line", F.lit(r"(?i)Pre[- ]?requisites?\s*:"))).alias("_on")).where("_on")
-    parts = two_columns(lines.join(concerned.drop("_on"), page), page, "line_no", "line")
-    bare = strip(F.col("part"))
-    head = F.coalesce(code(found(HEADER, F.col("part"))), F.when(F.regexp_like(bare, F.lit("^" + CODE)), code(bare)))
+    on = F.contains("line", F.lit("Course Description")) | F.regexp_like("line", F.lit(r"(?i)Pre[- ]?requisites?\s*:"))
+    concerned = lines.withColumn("_on", F.bool_or(on).over(Window.partitionBy(*page))).where("_on").drop("_on")
     column = [*page, "col_no"]
-    rows = segmented(parts.withColumn("_head", head).withColumn("_bare", bare), column, ["line_no"], F.col("_head").isNotNull(), "_course").where("_course > 0")
+    parts = two_columns(concerned, page, "line_no", "line").select(*column, "line_no", strip(F.col("part")).alias("_bare")).where("_bare <> ''")
+    head = F.nullif(F.regexp_extract("_bare", "^" + CODE, 0), F.lit(""))
+    rows = segmented(parts.withColumn("_head", head), column, ["line_no"], F.col("_head").isNotNull(), "_course").where("_course > 0")
     rows = rows.withColumn("_asks", F.when(F.col("_head").isNull(), found(PREREQUISITE, F.col("_bare"))))
     # A second marker in a course starts its statement anew.
-    rows = segmented(rows, [*column, "_course"], ["line_no"], F.col("_asks").isNotNull(), "_statement")
-    latest = F.max("_statement").over(Window.partitionBy(*column, "_course"))
-    course = F.max("_head").over(Window.partitionBy(*column, "_course"))
-    rows = rows.withColumn("course", course).withColumn("_latest", latest).where("_statement = _latest AND _statement > 0")
-    rows = rows.withColumn("_said", F.coalesce("_asks", F.when(F.col("_bare") != "", F.col("_bare"))))
-    said = joined_text(rows, [*column, "_course", "course"], ["line_no"], "_said", "said").withColumn("said", compact(F.col("said")))
+    of_course = Window.partitionBy(*column, "_course")
+    rows = rows.withColumns({"_latest": F.max(F.when(F.col("_asks").isNotNull(), F.col("line_no"))).over(of_course), "course": F.max("_head").over(of_course)}).where("line_no >= _latest")
+    rows = rows.withColumn("_said", F.coalesce("_asks", "_bare"))
+    said = joined_text(rows, [*column, "_course", "course"], ["line_no"], "_said", "said").withColumn("said", compact(F.col("said"))).withColumn("course", code(F.col("course")))
     return said.withColumn("_at", F.struct(*DOC, "page_no", F.col("col_no").alias("line_no"), F.col("_course").cast("int").alias("seg_no"))).withColumn("source", cited("course description prerequisite", F.col("said")))
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from almanac.functions import fixed
 from almanac.operators import catalog, policy
-from almanac.plans.academic import ORDINAL, read
+from almanac.operators.sequence import spread
+from almanac.plans.academic import ORDINAL, read, tasks
 from almanac.plans.outlines import pick
 from almanac.sources.ingest import lines_of
 
@@ -41,15 +42,16 @@ def code_sql(k: str) -> str:
     return f"({letters} || ' F' || lpad(CAST(({k}) % 1000 AS VARCHAR), 3, '0'))"
 
 
-def written(rows: DataFrame, document: Column, order: list[str], pages: list[list[Column | str]]) -> DataFrame:
+def written(rows: DataFrame, document: Column, order: list[str], pages: list[list[Column | str]], tasks: int | None = None) -> DataFrame:
     """Lines of one document per value of ``document``.
 
     A page is a list of texts that stand alone and of columns that give, for
-    each row of the document in order, its lines or null.
+    each row of the document in order, its lines or null. Documents are dealt
+    to ``tasks``, or as Spark deals them, by the size of their packed rows.
     """
     columns = {f"_{i}_{j}": part for i, page in enumerate(pages) for j, part in enumerate(page) if not isinstance(part, str)}
     rows = rows.select(document.cast("string").alias("source_document"), F.struct(*order, *(c.alias(n) for n, c in columns.items())).alias("_row"))
-    docs = rows.groupBy("source_document").agg(F.sort_array(F.collect_list("_row")).alias("_rows"))
+    docs = spread(rows, tasks, "source_document").groupBy("source_document").agg(F.sort_array(F.collect_list("_row")).alias("_rows"))
 
     def part(i: int, j: int, value: Column | str) -> Column:
         return F.lit(value) if isinstance(value, str) else F.nullif(F.array_join(F.transform("_rows", lambda r: r[f"_{i}_{j}"]), "\n"), F.lit(""))
@@ -74,7 +76,7 @@ def catalogue_courses(spark: SparkSession, sf_dir: str) -> DataFrame:
     entry = F.concat(F.rpad(F.concat(code_of(k), F.lit("  "), "title"), WIDE, " "), F.lit("  "), "units")
     asks = F.when(k % 3 == 0, F.lit("Pre-requisite: by consent"))
     described = F.when(k % 5 == 0, F.concat(code_of(k), F.lit("  "), "title", F.lit("   "), "units", F.lit("\nPrerequisite: "), code_of(k + 1), F.lit("\nand "), code_of(k + 2)))
-    lines = written(parts(spark, sf_dir), F.floor(k / PER_DOCUMENT), ["k"], [[F.concat_ws("\n", entry, asks)], ["Course Description".ljust(WIDE) + ".", described]])
+    lines = written(parts(spark, sf_dir), F.floor(k / PER_DOCUMENT), ["k"], [[F.concat_ws("\n", entry, asks)], ["Course Description".ljust(WIDE) + ".", described]], tasks(spark, sf_dir, "part"))
     return catalog.catalogue(lines).select("course", "title", "units", "prerequisite_expression", F.array_join("needs", ", ").alias("needs"), F.size("sources").alias("n_sources"))
 
 
@@ -96,7 +98,7 @@ def programme_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = written(
         rows, F.concat(F.char((65 + F.col("school")).cast("int")), F.floor(k / (25 * PER_DOCUMENT))), ["k", "category"],
         [[left("List of Courses for B.E. / M.Sc. / B.Pharm."), left("SCHOOL ?"), left("CORE COURSES"), F.when(core, line), left("DISCIPLINE ELECTIVE COURSES"), F.when(~core, line), left("Project Type Courses"), left("ZZZZ F999 Special"),
-          left(f"{catalog.POOL} programmes"), F.when(core & (F.col("brand") == "Brand#11"), line), left("Other Courses"), left("ZZZZ F998 Not in the pool")]],
+          left(f"{catalog.POOL} programmes"), F.when(core & (F.col("brand") == "Brand#11"), line), left("Other Courses"), left("ZZZZ F998 Not in the pool")]], tasks(spark, sf_dir, "part"),
     ).withColumn("line", F.replace("line", F.lit("?"), F.substring("source_document", 1, 1)))
     categories, pool = catalog.programme_categories(named)
     return categories.select("programme", "category", "course").unionByName(pool.select(F.lit(None).cast("string").alias("programme"), F.lit("pool").alias("category"), "course"))
@@ -213,5 +215,5 @@ def equivalence_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("k")
     pair, one = F.concat_ws("  ", code_of(k), code_of(k + 1), code_of(k)), code_of(k)
     pages = [["I. Calendar", F.concat_ws(" and ", code_of(k), code_of(k + 1))], ["IX. LIST OF EQUIVALENT COURSES", F.when(k % 5 == 0, pair).when(k % 5 == 1, one)], ["X. Library", pair]]
-    groups = catalog.equivalence_groups(written(parts(spark, sf_dir), F.floor(k / PER_DOCUMENT), ["k"], pages))
+    groups = catalog.equivalence_groups(written(parts(spark, sf_dir), F.floor(k / PER_DOCUMENT), ["k"], pages, tasks(spark, sf_dir, "part")))
     return groups.select("canonical_course", F.array_join("equivalent_courses", ", ").alias("equivalent_courses"))
