@@ -1,11 +1,15 @@
-"""Recommendations for all students and queries of one run, in one plan.
+"""Recommendations for all students and queries of one run.
 
-Filters come before the scores: the pairs of student and course are cut by
-keywords first, and every fact about a course is joined once, by course.
+What depends on the request alone (which courses it may mean, what rejects
+them, their scores) is worked out once for each distinct request, as a list of
+courses. Students go down the list of their request with all that shuts them
+out of courses in one row, so a pair of a student and a course is tested where
+it is made, and only counts and the best go further.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,8 +17,8 @@ from pyspark.sql import functions as F
 
 from almanac.functions import fixed, text
 from almanac.operators import policy, schedule
-from almanac.operators.rounds import settled
-from almanac.operators.sequence import first_wins
+from almanac.operators.rounds import settled, shared_folder
+from almanac.operators.sequence import first_wins, spread
 
 STRICT = {"no_attendance": ("attendance_required", "no attendance requirement"), "no_midsem": ("has_midsem", "no mid-semester exam"), "no_compre": ("has_compre", "no comprehensive exam")}
 HARD = ["no_attendance", "no_quiz", "no_midsem", "no_compre", "project_based", "open_book"]
@@ -142,49 +146,135 @@ def prepared(tables: dict[str, DataFrame], requests: DataFrame) -> tuple[dict[st
     return t | {"courses": settled(courses), "completed": settled(t["completed"]), "current": settled(t["current"])}, settled(asked)
 
 
-def candidates(t: dict[str, DataFrame], asked: DataFrame) -> DataFrame:
-    """The pairs of a request and a course that it is eligible for, with the facts of both. What needs no join is decided where a pair is made."""
-    from almanac.operators.requirements import membership
-
-    courses = t["courses"]
-    student = ["student", "admission_year", "existing_units", "degree_level"]
-    course = ["course", "all_restricted", "chosen_restricted", "load"]
-    newcomer = F.col("admission_year").eqNullSafe(F.lit(fixed.RESTRICTED_YEAR))
-    allowed = policy.batch_allows(F.col("all_restricted"), F.col("admission_year")) & (~F.col("chosen_restricted") | newcomer)
-    allowed &= F.coalesce("existing_units", F.lit(0)) + F.col("load") <= policy.unit_limit(F.col("degree_level"))
-    # A query with keywords meets courses by token; only one without keywords meets all courses.
-    by_token = courses.select(*course, F.explode("descriptive_tokens").alias("token"))
-    with_words = asked.where("size(p.keywords) > 0").select(*student, F.explode("p.keywords").alias("token")).join(by_token, "token").where(allowed).select("student", "course").distinct()
-    without = asked.where("size(p.keywords) = 0").select(*student).distinct().crossJoin(courses.select(*course)).where(allowed).select("student", "course")  # the query asks for every course
-    pairs = with_words.unionByName(without)
-    pairs = policy.not_taken(pairs, t["completed"].unionByName(t["current"]).distinct())
-    pairs = policy.no_equivalent_done(pairs, t["groups"], policy.done_in_groups(t["groups"], t["completed"]))
-    pairs = policy.prerequisites_met(pairs, courses.select("course", F.explode("needs").alias("needs")), t["completed"])
-    pairs = schedule.Exams(courses, t["current"], t["offerings"]).without_clash(pairs)
-    rows = membership(pairs.join(courses, "course").join(asked, "student"), t["categories"], t["humanities"], t["progress"])
-    kind = F.col("p.category")
-    verified = F.when(kind == "cdc", F.col("known") & F.col("is_cdc")).when(kind == "del", F.col("known") & F.col("is_del")).when(kind == "huel", F.col("is_huel")).when(kind == "opel", F.col("is_opel"))
-    return rows.where(kind.isNull() | verified)
-
-
-def unknown_facts(t: dict[str, DataFrame], asked: DataFrame) -> DataFrame:
-    """(student, label, n): how many candidates lack a fact that is asked about. Only requests that ask for such facts are paired, and no section is looked at."""
+#: Courses of a list that a task holds at once, and the places up to which the best are looked for first.
+BLOCK, LEVELS = 16384, [64, 512, 4096]
+
+
+def part(place: Column, levels: list[int]) -> Column:
+    """The part of a list that a place is in, from 0."""
+    return reduce(lambda a, b: a + b, [(place > n).cast("int") for n in levels], F.floor((place - 1) / BLOCK).cast("int"))
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as packed columns in the shared folder."""
+    path = f"{shared_folder(df.sparkSession)}/lists-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def named(asked: DataFrame, *by: str) -> DataFrame:
+    """``asked`` with ``request``, one of the students who ask for the same ``by``."""
+    return asked.withColumn("request", F.min("student").over(Window.partitionBy(*by)))
+
+
+def listed(courses: DataFrame, asked: DataFrame, *by: str) -> DataFrame:
+    """The courses that share a keyword with each distinct request, or all for one without keywords, with the facts of both."""
+    requests = asked.where(F.col("student") == F.col("request")).select("request", *by)
+    with_words = requests.where("size(p.keywords) > 0").select("request", F.explode("p.keywords").alias("token"))
+    pairs = with_words.join(courses.select("course", F.explode("descriptive_tokens").alias("token")), "token").select("request", "course").distinct()
+    every = requests.where("size(p.keywords) = 0").select("request").crossJoin(courses.select("course"))
+    return pairs.unionByName(every).join(requests, "request").join(courses, "course")
+
+
+def screened(t: dict[str, DataFrame], exams: schedule.Exams) -> DataFrame:
+    """The courses on offer with all that decides which students they are open to."""
+    programmes = [F.collect_set(F.when(F.col("category") == c, F.col("programme"))).alias(f"{c.lower()}_of") for c in ("CDC", "DEL")]
+    groups = t["groups"].groupBy("course").agg(F.collect_set("group").alias("groups")).select("course", F.get("groups", F.lit(0)).alias("group"), F.when(F.size("groups") > 1, F.col("groups")).alias("groups"))
+    rows = t["courses"].join(exams.of_courses(), "course", "left").join(groups, "course", "left").join(t["categories"].groupBy("course").agg(*programmes), "course", "left")
+    rows = rows.join(t["humanities"].select("course").distinct().withColumn("is_huel", F.lit(True)), "course", "left")
+    return rows.withColumn("restricted", F.col("all_restricted") | F.col("chosen_restricted")).withColumn("needy", F.coalesce(F.size("needs") > 0, F.lit(False)))
+
+
+SCREEN = ["course", "restricted", "load", *(f"exam_{n}{i}" for i in (0, 1) for n in ("word", "bit")), "group", "groups", "needy", "cdc_of", "del_of", "is_huel"]
+
+
+def bound(t: dict[str, DataFrame], asked: DataFrame, exams: schedule.Exams) -> DataFrame:
+    """``asked`` with all that shuts a student out of courses: one row for each, however many courses there are."""
+    done = t["completed"].distinct()
+    needs = t["courses"].where("size(needs) > 0").withColumn("_all", F.array_distinct("needs")).select("course", F.size("_all").alias("_n"), F.explode("_all").alias("needs"))
+    met = done.withColumnRenamed("course", "needs").join(needs, "needs").groupBy("student", "course", "_n").agg(F.count("*").alias("_met")).where("_met = _n")
+    due = {f"{c.lower()}_due": F.max((F.col("category") == c) & (F.col("remaining") > 0)) for c in ("DEL", "HUEL")}
+    facts = [
+        t["completed"].unionByName(t["current"]).groupBy("student").agg(F.collect_set("course").alias("taken")),
+        policy.done_in_groups(t["groups"], done).groupBy("student").agg(F.collect_set("group").alias("done_groups")),
+        met.groupBy("student").agg(F.collect_set("course").alias("met")), exams.of_students(),
+        t["progress"].groupBy("student").agg(*(v.alias(n) for n, v in due.items())),
+    ]
+    together = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), facts)
+    rows = asked.join(together.groupBy("student").agg(*(F.first(c, ignorenulls=True).alias(c) for c in together.columns if c != "student")), "student", "left")
+    most = policy.unit_limit(F.col("degree_level")) - F.coalesce("existing_units", F.lit(0))
+    return rows.withColumns({"most": most, "newcomer": F.col("admission_year").eqNullSafe(F.lit(fixed.RESTRICTED_YEAR)), "category": F.col("p.category")})
+
+
+BOUND = ["student", "request", "programme", "category", "most", "newcomer", "taken", "done_groups", "met", "busy_exams", "del_due", "huel_due"]
+
+
+def eligible() -> Column:
+    """Whether a row of ``bound`` and one of ``screened`` go together, by built-ins that Spark compiles; what costs little comes first."""
+    def yes(c: Column | str) -> Column:
+        return F.coalesce(c, F.lit(False))
+
+    core, elective = (yes(F.array_contains(c, F.col("programme"))) for c in ("cdc_of", "del_of"))
+    kind, pool = F.col("category"), yes("is_huel")
+    free = ~(core | (elective & yes("del_due")) | (pool & yes("huel_due")))
+    verified = F.when(kind.isNull(), True).when(kind == "cdc", core).when(kind == "del", elective).when(kind == "huel", pool).when(kind == "opel", free).otherwise(False)
+    equivalent = yes(F.array_contains("done_groups", F.col("group"))) | yes(F.arrays_overlap("done_groups", "groups"))
+    able = ~F.col("needy") | yes(F.array_contains("met", F.col("course")))
+    return (F.col("load") <= F.col("most")) & (F.col("newcomer") | ~F.col("restricted")) & schedule.Exams.free() & verified & able & ~yes(F.array_contains("taken", F.col("course"))) & ~equivalent
+
+
+def going_down(asked: DataFrame, lists: DataFrame, parts: DataFrame, which: Column, tasks: int | None) -> DataFrame:
+    """Rows of ``asked`` with rows of the same request and ``part`` of ``lists``, dealt to ``tasks``; ``parts`` (keys of asked, last), of which ``which`` are looked at."""
+    wide = asked.join(parts, [c for c in parts.columns if c != "last"]).withColumn("part", F.explode(which)).drop("last")
+    n = tasks or int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return spread(wide, n, "request", "part").join(spread(lists, n, "request", "part").hint("shuffle_hash"), ["request", "part"])
+
+
+def unknown_facts(t: dict[str, DataFrame], asked: DataFrame, tasks: int | None = None) -> DataFrame:
+    """(student, label, n): how many candidates lack a fact that is asked about. Only requests that ask for such facts meet courses, only such courses as lack them, and no section is looked at."""
     p = F.col("p")
     about = reduce(lambda a, b: a | b, [p[f] for f in [*STRICT, "lenient_makeup", "no_quiz"]])
-    rows = candidates(t, asked.where(about)).withColumns({"n_feasible": F.lit(0), "n_timed": F.lit(0)})
-    return matched(rows).select("student", F.explode("unknown").alias("label")).groupBy("student", "label").agg(F.count("*").alias("n"))
-
-
-def best(t: dict[str, DataFrame], asked: DataFrame, limit: int = fixed.DEFAULT_RESULTS) -> DataFrame:
-    """Each request's best candidates with their evidence, which is written for them only."""
-    kind = F.col("p.category")
-    possible = asked.where(~F.coalesce("p.lenient_makeup", F.lit(False)))  # leniency rejects every course
-    fitted = schedule.Meetings(t["sections"], t["current"]).fitting(candidates(t, possible), F.col("p.free_day"), F.col("p.no_early_classes"))
-    order = Window.partitionBy("student").orderBy(F.desc("score"), "course")
-    ranked = matched(fitted).where("NOT rejected").select(
-        "student", "course", "n_feasible", "n_timed", "sections", F.row_number().over(order).alias("rank"), F.count("*").over(Window.partitionBy("student")).alias("eligible_candidates"),
-    )
-    chosen = matched(ranked.where(F.col("rank") <= limited(limit)).join(t["courses"], "course").join(asked, "student"))
+    exams = schedule.Exams(t["courses"], t["current"], t["offerings"])
+    asked = named(asked.where(about), "p")
+    rows = listed(screened(t, exams), asked, "p").withColumns({"n_feasible": F.lit(0), "n_timed": F.lit(0), "interest_tokens": F.array().cast("array<string>")})
+    place = F.row_number().over(Window.partitionBy("request").orderBy("course"))
+    lacking = matched(rows).where(F.size("unknown") > 0).select("request", *SCREEN, "unknown").withColumn("part", part(place, []))
+    lists = stored(lacking)
+    last = lists.groupBy("request").agg(F.max("part").alias("last"))
+    pairs = going_down(bound(t, asked, exams).select(*BOUND), lists, last, F.sequence(F.lit(0), F.col("last")), tasks).where(eligible())
+    # Counts come first by what is unknown as a whole, as no row is made for a pair and a label.
+    counts = pairs.groupBy("student", "unknown").agg(F.count("*").alias("n"))
+    return counts.select("student", F.explode("unknown").alias("label"), "n").groupBy("student", "label").agg(F.sum("n").alias("n"))
+
+
+def best(t: dict[str, DataFrame], asked: DataFrame, limit: int = fixed.DEFAULT_RESULTS, tasks: int | None = None) -> DataFrame:
+    """Each request's best candidates with their evidence, which is written for them only.
+
+    All pairs that a list allows are tested once for the count of each part of
+    the list, and once more down to the part in which a student's last answer is.
+    """
+    kind, k = F.col("p.category"), limited(limit)
+    exams, meetings = schedule.Exams(t["courses"], t["current"], t["offerings"]), schedule.Meetings(t["sections"], t["current"])
+    asked = named(asked.where(~F.coalesce("p.lenient_makeup", F.lit(False))), "p", "interest_tokens")  # leniency rejects every course
+    rows = listed(screened(t, exams).join(meetings.of_courses(), "course", "left"), asked, "p", "interest_tokens")
+    # A candidate has a section that fits, or none that is listed, so the score is the same for all who ask the same.
+    scored = matched(rows.withColumns({"n_feasible": F.coalesce("has_section", F.lit(False)).cast("int"), "n_timed": F.lit(0)})).where("NOT rejected")
+    narrow = scored.select("request", *SCREEN, "has_section", "untimed", "single", "more", "score")
+    place = F.row_number().over(Window.partitionBy("request").orderBy(F.desc("score"), "course"))
+    lists = stored(narrow.withColumn("place", place).withColumn("part", part(F.col("place"), LEVELS)).drop("score"))
+    facts = lists.agg(F.max(F.size("more"))).first()
+    test = eligible() & meetings.open(facts[0] or 0)
+    students = stored(meetings.closed(bound(t, asked, exams), F.col("p.free_day"), F.col("p.no_early_classes")).select(*BOUND, "closed"))
+    last = lists.groupBy("request").agg(F.max("part").alias("last"))
+    counts = going_down(students, lists, last, F.sequence(F.lit(0), F.col("last")), tasks).where(test).groupBy("student", "part").agg(F.count("*").alias("n"))
+    upto = Window.partitionBy("student").orderBy("part")
+    reached = counts.withColumn("_before", F.sum("n").over(upto) - F.col("n"))
+    totals = stored(reached.groupBy("student").agg(F.sum("n").alias("eligible_candidates"), F.max(F.when(F.col("_before") < k, F.col("part"))).alias("last")))
+    found = going_down(students, lists, totals.select("student", "last"), F.sequence(F.lit(0), F.col("last")), tasks).where(test).select("student", "course", "place")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("student").orderBy("place"))).where(F.col("rank") <= k).drop("place")
+    wanted = asked.select("student", F.col("p.free_day").alias("_free"), F.col("p.no_early_classes").alias("_no_early"))
+    fitted = meetings.fitting(ranked.join(wanted, "student"), F.col("_free"), F.col("_no_early")).drop("_free", "_no_early").join(totals.drop("last"), "student")
+    chosen = matched(fitted.join(t["courses"], "course").join(asked, "student"))
     eligibility = F.array_compact(F.array(
         F.lit("offered this semester"), F.when(F.size("needs") > 0, "explicit prerequisites completed"),
         F.when(kind.isNotNull(), F.concat(F.lit("verified "), F.upper(kind), F.lit(" for "), F.col("programme"))),

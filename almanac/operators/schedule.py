@@ -79,6 +79,21 @@ class Exams:
         clash = F.exists("exams", lambda e: self.calendar.has(F.col("busy"), e))
         return rows.where(~F.coalesce(clash, F.lit(False))).select(*pairs.columns)
 
+    def of_courses(self) -> DataFrame:
+        """(course, exam_words, exam_bits): where the at most two exam slots of a chosen offering are in ``of_students``."""
+        words = F.transform("exams", lambda e: F.floor(e / BITS).cast("int"))
+        bits = F.transform("exams", lambda e: F.call_function("shiftleft", F.lit(1).cast("long"), (e % BITS).cast("int")))
+        return self.wanted.select("course", words.alias("w"), bits.alias("b")).select("course", *(F.get(c, F.lit(i)).alias(f"exam_{n}{i}") for i in (0, 1) for c, n in (("w", "word"), ("b", "bit"))))
+
+    def of_students(self) -> DataFrame:
+        """(student, busy_exams): the slots that current courses take as an array of words."""
+        return self.busy.select("student", F.array(*(F.col("busy")[w] for w in self.calendar.words)).alias("busy_exams"))
+
+    @staticmethod
+    def free() -> Column:
+        """Whether no exam of ``of_courses`` is in a slot of ``of_students``, by built-ins that Spark compiles, for joins that make many pairs."""
+        return reduce(lambda a, b: a & b, [F.coalesce(F.get("busy_exams", F.col(f"exam_word{i}")).bitwiseAND(F.col(f"exam_bit{i}")), F.lit(0).cast("long")) == 0 for i in (0, 1)])
+
 
 def feasible_counts(pairs: DataFrame, offerings: DataFrame, current: DataFrame, unwanted: Column) -> DataFrame:
     """(student, course, n_timed, n_feasible): the sections of each pair's course, and those beside the student's current ones without an ``unwanted`` slot.
@@ -112,8 +127,8 @@ class Meetings:
         self.per_course = known.groupBy("course").agg(F.count_if(timed).alias("n_timed"), F.array_sort(F.collect_list(listed)).alias("_all"), *(F.bit_or(w).alias(w) for w in calendar.words))
         self.held = calendar.held(current, self.per_course.where("n_timed > 0"))
 
-    def fitting(self, rows: DataFrame, free_day: Column, no_early: Column) -> DataFrame:
-        """Add n_feasible, n_timed and the first four feasible sections to rows (student, course): beside what is held, off the ``free_day``, and not in the first period with ``no_early``."""
+    def closed(self, rows: DataFrame, free_day: Column, no_early: Column) -> DataFrame:
+        """Add ``closed``, the slots that a row (student) cannot use as one mask: those held, those of the ``free_day``, and the first period with ``no_early``."""
         c = self.calendar
         rows = rows.withColumns({"_day": free_day, "_early": F.coalesce(no_early, F.lit(False))})
         kinds = F.explode(F.array(F.struct(F.col("slot.day").alias("_day"), F.lit(False).alias("_only")), F.struct(F.lit(None).cast("string").alias("_day"), F.lit(True).alias("_only"))))
@@ -121,11 +136,44 @@ class Meetings:
         unwanted = bits.groupBy("_day").agg(*c.words_of("_slot"))
         day = F.broadcast(unwanted.where("_day IS NOT NULL").select("_day", F.struct(*c.words).alias("_off")))
         early = F.broadcast(unwanted.where("_day IS NULL").select(F.lit(True).alias("_early"), F.struct(*c.words).alias("_first")))
-        rows = rows.join(day, "_day", "left").join(early, "_early", "left").join(self.held, "student", "left").join(self.per_course.select("course", "n_timed", "_all"), "course", "left")
+        rows = rows.join(day, "_day", "left").join(early, "_early", "left").join(self.held, "student", "left")
         none = F.lit(0).cast("long")
         out = F.struct(*(reduce(lambda a, b: a.bitwiseOR(b), [F.coalesce(F.col(m)[w], none) for m in ("busy", "_off", "_first")]).alias(w) for w in c.words))
-        fit = F.filter("_all", lambda s: ~c.meet(F.col("_out"), s["slots"]))
-        rows = rows.withColumn("_out", out).withColumn("_fit", fit)
+        return rows.withColumn("closed", out).drop("_day", "_early", "_off", "_first", "busy")
+
+    def of_courses(self) -> DataFrame:
+        """(course, has_section, untimed, single, more): all that decides whether a course has a section beside a mask.
+
+        That is a section without a slot, the slots that sections of one slot
+        have, as one mask, and the masks of other sections, but for those that
+        hold such a slot: where they fit, that section fits.
+        """
+        words = self.calendar.words
+        masks = F.array_distinct(F.transform("_all", lambda s: s["slots"]))
+        size = lambda m: reduce(lambda a, b: a + b, [F.bit_count(m[w]) for w in words])
+        alone = F.filter("_masks", lambda m: size(m) == 1)
+        zero = F.lit(0).cast("long")
+        either = lambda w: F.aggregate("_alone", zero, lambda a, m: a.bitwiseOR(m[w]))
+        single = F.struct(*(either(w).alias(w) for w in words))
+        rows = self.per_course.select("course", masks.alias("_masks")).withColumn("untimed", F.exists("_masks", lambda m: size(m) == 0)).withColumn("_alone", alone).withColumn("single", single)
+        more = F.filter("_masks", lambda m: ~F.col("untimed") & (size(m) > 1) & ~self.calendar.meet(F.col("single"), m))
+        return rows.select("course", F.lit(True).alias("has_section"), "untimed", "single", more.alias("more"))
+
+    def open(self, most: int) -> Column:
+        """Whether a course (see ``of_courses``; at most that many in ``more``) has a section beside the ``closed`` slots, or none is listed."""
+        def beside(mask: Column) -> Column:
+            return mask.isNotNull() & ~self.calendar.meet(F.col("closed"), mask)
+
+        some = reduce(lambda a, w: a | (F.col("single")[w].bitwiseAND(F.bitwise_not(F.col("closed")[w])) != 0), self.calendar.words, F.lit(False))
+        # A few masks are written out, as Spark compiles no higher-order function.
+        rest = reduce(lambda a, i: a | beside(F.get("more", F.lit(i))), range(most), F.lit(False)) if most <= 4 else F.exists("more", beside)
+        return ~F.coalesce("has_section", F.lit(False)) | F.col("untimed") | some | F.coalesce(rest, F.lit(False))
+
+    def fitting(self, rows: DataFrame, free_day: Column, no_early: Column) -> DataFrame:
+        """Add n_feasible, n_timed and the first four feasible sections to rows (student, course): beside what is held, off the ``free_day``, and not in the first period with ``no_early``."""
+        c = self.calendar
+        rows = self.closed(rows, free_day, no_early).join(self.per_course.select("course", "n_timed", "_all"), "course", "left")
+        rows = rows.withColumn("_fit", F.filter("_all", lambda s: ~c.meet(F.col("closed"), s["slots"])))
         four = F.transform(F.slice("_fit", 1, 4), lambda s: F.struct(*(s[n].alias(n) for n in ("ordinal", "section", "room", "meeting"))))
         counts = {"n_feasible": F.greatest(F.coalesce(F.size("_fit"), F.lit(0)), F.lit(0)), "n_timed": F.coalesce("n_timed", F.lit(0))}
-        return rows.withColumns(counts | {"sections": four}).drop("_day", "_early", "_off", "_first", "busy", "_all", "_out", "_fit")
+        return rows.withColumns(counts | {"sections": four}).drop("_all", "closed", "_fit")

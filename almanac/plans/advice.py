@@ -154,7 +154,7 @@ def asked(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], DataF
 
 def recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All that an answer holds: rank and score, sections, the number before the limit, and the evidence of every preference."""
-    best = recommend.best(*asked(spark, sf_dir))
+    best = recommend.best(*asked(spark, sf_dir), tasks=academic.tasks(spark, sf_dir))
     said = F.transform("claims", lambda c: F.concat(c["claim"], F.lit(" ["), c["source"], F.lit("]")))
     return best.select(
         "student", "course", "title", "units", "computer_code", "score", F.array_join("sections.section", " ").alias("sections"), "eligible_candidates", "rank", "requirement",
@@ -164,7 +164,7 @@ def recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def recommendation_unknowns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every student, how many candidates lack each fact that the request asks about."""
-    return recommend.unknown_facts(*asked(spark, sf_dir))
+    return recommend.unknown_facts(*asked(spark, sf_dir), tasks=academic.tasks(spark, sf_dir))
 
 
 QUERIES |= {"recommendations": recommendations, "recommendation_unknowns": recommendation_unknowns}

@@ -223,3 +223,43 @@ def test_documents_of_parts_are_dealt_by_number(spark, sf_dir):
     for name in ("catalogue_courses", "programme_lists"):
         plan = getattr(bulletins, name)(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert re.search(rf"hashpartitioning\(source_document#\d+, {n}\), REPARTITION_BY_NUM", plan), name
+
+
+def test_sections_of_a_course_are_told_by_a_few_masks(spark):
+    """Whether a course has a section that fits is the same by its masks as by its sections, whichever way the masks are gone through."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from almanac.operators import schedule
+
+    dice = random.Random(4)
+    slot = lambda: f"{dice.choice(['M', 'T', 'W', 'Th', 'F'])} {dice.randint(1, 4)}"
+    sections = [(c, f"s{i}", None, dice.choice([None] if c % 9 == 0 else [slot(), f"{slot()} {slot()}", f"{slot()} {slot()} {slot()}"]), i) for c in range(60) for i in range(c % 5)]
+    current = spark.createDataFrame([(s, dice.randrange(60)) for s in range(12) for _ in range(s % 4)], "student long, course long")
+    meetings = schedule.Meetings(spark.createDataFrame(sections, "course long, section string, room string, meeting_text string, ordinal int"), current)
+    students = spark.createDataFrame([(s, [None, "Mon", "Thu"][s % 3], s % 2 == 0) for s in range(12)], "student long, day string, early boolean")
+    pairs = students.crossJoin(spark.range(60).withColumnRenamed("id", "course"))
+    fitting = meetings.fitting(pairs, F.col("day"), F.col("early"))
+    want = {(r["student"], r["course"]): r["n_feasible"] > 0 or r["course"] % 5 == 0 for r in fitting.collect()}
+    assert len(set(want.values())) == 2
+    rows = meetings.closed(pairs, F.col("day"), F.col("early")).join(meetings.of_courses(), "course", "left")
+    most = rows.agg(F.max(F.size("more"))).first()[0]
+    assert 1 < most <= 4
+    for n in (most, 5):
+        assert {(r["student"], r["course"]): r["open"] for r in rows.withColumn("open", meetings.open(n)).collect()} == want
+
+
+def test_a_pair_is_tested_where_it_is_made(spark, sf_dir):
+    """Pairs of students and courses are neither sorted nor dealt again: one join has all tests, and its rows are counted at once."""
+    from almanac.operators import recommend
+    from almanac.plans import advice
+
+    tables, asked = advice.asked(spark, sf_dir)
+    plan = recommend.unknown_facts(tables | {"sections": None}, asked, tasks=6)._jdf.queryExecution().executedPlan().toString()
+    lines = plan.splitlines()
+    pairs = next(i for i, line in enumerate(lines) if "ShuffledHashJoin [request" in line)
+    assert all(test in lines[pairs] for test in ("taken", "done_groups", "met", "exam_word0", "most"))
+    above = [line.lstrip(" +-:") for line in lines[:pairs]]
+    assert above[-2].startswith("HashAggregate(keys=[student") and "partial_count" in above[-2] and above[-1].startswith("Project"), above
+    assert {int(n) for n in re.findall(r"hashpartitioning\(request#\d+L?, part#\d+, (\d+)\)", plan)} == {6}
