@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac.operators.rounds import settled, shared_folder
+from almanac.operators.rounds import shared_folder
 from almanac.plans.academic import read
 from almanac.sources import ingest
 
@@ -48,10 +48,11 @@ def made(pages: list[str]) -> str:
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, content, file, broken) of PDF files with a page for every document; of every seventh file only a third was written."""
     words = F.filter(F.split(F.coalesce("text", F.lit("")), BLANKS), lambda w: w != "")
-    starts = F.when(F.size("_w") > 0, F.sequence(F.lit(1), F.size("_w"), F.lit(IN_LINE))).otherwise(F.array().cast("array<int>"))
-    lines = F.transform(starts, lambda i: F.array_join(F.slice("_w", i, IN_LINE), " "))
-    docs = read(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select("doc_id", words.alias("_w"))
-    pages = docs.select((F.col("doc_id") / IN_FILE).cast("long").alias("file"), "doc_id", F.array_join(F.concat(F.array(F.concat(F.lit("#"), F.col("doc_id").cast("string"))), lines), "\n").alias("text"))
+    # A line ends after so many words; cutting an array for each line would copy it as often.
+    lines = F.regexp_replace("_text", f"([^ ]+(?: [^ ]+){{{IN_LINE - 1}}}) ", "$1\n")
+    docs = read(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select("doc_id", F.array_join(words, " ").alias("_text"))
+    head = F.concat(F.lit("#"), F.col("doc_id").cast("string"))
+    pages = docs.select((F.col("doc_id") / IN_FILE).cast("long").alias("file"), "doc_id", F.concat(head, F.when(F.col("_text") != "", F.concat(F.lit("\n"), lines)).otherwise("")).alias("text"))
 
     @F.pandas_udf("string")
     def written(texts: pd.Series, file: pd.Series) -> pd.Series:
@@ -79,8 +80,7 @@ SELECT doc_id, doc_id // {IN_FILE} AS file, doc_id % {IN_FILE} + 1 AS page_no, C
 FROM d WHERE (doc_id // {IN_FILE}) % 7 <> 6""")
 def pdf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and lines of every page of every PDF file that can be read."""
-    read_back = settled(ingest.documents(papers(spark, sf_dir)))
-    laid_out = ingest.page_texts(read_back.where("error IS NULL"), ["file"])
+    laid_out = ingest.page_texts(ingest.documents(papers(spark, sf_dir)), ["file"])  # a file that cannot be read has no words
     lines = F.split("text", "\n")
     words = F.filter(F.split(F.array_join(F.slice(lines, 2, F.size(lines)), " "), " +"), lambda w: w != "")
     return laid_out.select(

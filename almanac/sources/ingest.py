@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from almanac.operators.rounds import settled
+from almanac.operators.rounds import settled, spread
 from almanac.sources import pdf
 
 #: Rows of words closer than this are one line; a column is so many points wide.
@@ -78,6 +79,8 @@ def pdf_files(spark: SparkSession, folder: str, limit: int | None = None, patter
     return files.join(F.broadcast(files.select("path").orderBy("path").limit(limit)), "path", "left_semi")
 
 
+WORD = pa.struct([("page", pa.int32()), ("x", pa.float64()), ("y", pa.float64()), ("word", pa.string())])
+WORDS = pa.list_(WORD)
 READ = "struct<error:string,n_pages:int,words:array<struct<page:int,x:double,y:double,word:string>>>"
 
 
@@ -90,13 +93,25 @@ def read_pdf(content: bytes | None) -> tuple:
         return f"{type(e).__name__}: {e}", None, None
 
 
+def packed(content: bytes | None) -> pa.Array:
+    """What ``read_pdf`` gives as an array of one row: Spark would make an object for every word."""
+    error, n, words = read_pdf(content)
+    listed = pa.nulls(1, WORDS) if words is None else pa.ListArray.from_arrays([0, len(words)], pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*words, strict=True) if words else [[]] * 4, WORD, strict=True)], fields=list(WORD)))
+    return pa.StructArray.from_arrays([pa.array([error], pa.string()), pa.array([n], pa.int32()), listed.cast(WORDS)], ["error", "n_pages", "words"])
+
+
+def read_pdfs(contents: pa.Array) -> pa.Array:
+    return pa.concat_arrays([packed(c.as_py()) for c in contents])
+
+
 def documents(files: DataFrame) -> DataFrame:
     """``files`` (path, content) with error, n_pages and words (page, x, y, word) in place of the content.
 
     Reading is a column, so a query that uses none of them decodes nothing; a
-    file that cannot be read is one row with its error.
+    file that cannot be read is one row with its error. Spark would repeat the
+    reading for a filter on its outcome if it took it for a plain expression.
     """
-    read = F.udf(read_pdf, READ, useArrow=True)
+    read = F.arrow_udf(read_pdfs, READ).asNondeterministic()
     others = [c for c in files.columns if c != "content"]
     return files.withColumn("_read", read("content")).select(*others, "_read.error", "_read.n_pages", "_read.words")
 
@@ -151,24 +166,25 @@ def layout_words(words: DataFrame, keys: list[str]) -> DataFrame:
     A word starts a new line if it is more than ``LINE_GAP`` below the line's
     first word; its column is its x in units of ``POINTS``.
     """
-    start = F.struct(F.array().cast("array<struct<x:double,word:string>>").alias("row"), F.lit(None).cast("double").alias("y"), F.array().cast("array<array<struct<x:double,word:string>>>").alias("rows"))
-
-    def step(state: Column, w: Column) -> Column:
-        item = F.struct(w["x"].cast("double").alias("x"), w["word"].alias("word"))
-        near = F.coalesce(F.abs(w["y"] - state["y"]) <= LINE_GAP, F.lit(False))
+    def step(state: Column, at: Column) -> Column:
+        near = F.coalesce(F.abs(at["y"] - state["y"]) <= LINE_GAP, F.lit(False))
         return F.struct(
-            F.when(near, F.array_append(state["row"], item)).otherwise(F.array(item)).alias("row"), F.when(near, state["y"]).otherwise(w["y"].cast("double")).alias("y"),
+            F.when(near, F.concat(state["row"], at["row"])).otherwise(at["row"]).alias("row"), F.when(near, state["y"]).otherwise(at["y"]).alias("y"),
             F.when(near | state["y"].isNull(), state["rows"]).otherwise(F.array_append(state["rows"], state["row"])).alias("rows"),
         )
 
     def place(line: Column, w: Column) -> Column:
-        gap = F.greatest(F.lit(1), F.bround(w["x"] / POINTS, 0).cast("int") - F.length(line))
+        gap = F.greatest(F.lit(1), w["column"] - F.length(line))
         return F.concat(line, F.repeat(F.lit(" "), gap), w["word"])
 
-    ordered = F.array_sort(F.collect_list(F.struct("y", "x", "word")))
-    folded = words.groupBy(*keys).agg(ordered.alias("_w")).withColumn("_s", F.aggregate("_w", start, step))
+    # Words of one height come together first, so a page is a fold over its heights, not its words.
+    one = F.sort_array(F.collect_list(F.struct("x", "word", F.rint(F.col("x") / POINTS).cast("int").alias("column"))))
+    heights = spread(words, *keys).withColumns({c: F.col(c).cast("double") for c in ("x", "y")}).groupBy(*keys, "y").agg(one.alias("row"))
+    row = "array<struct<x:double,word:string,column:int>>"
+    start = F.struct(F.array().cast(row).alias("row"), F.lit(None).cast("double").alias("y"), F.array().cast(f"array<{row}>").alias("rows"))
+    folded = heights.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("y", "row"))).alias("_w")).withColumn("_s", F.aggregate("_w", start, step))
     rows = F.array_append(F.col("_s.rows"), F.col("_s.row"))
-    drawn = F.transform(rows, lambda row: F.aggregate(F.array_sort(row), F.lit(""), place))
+    drawn = F.transform(rows, lambda row: F.aggregate(F.sort_array(row), F.lit(""), place))
     return folded.select(*keys, F.array_join(drawn, "\n").alias("text"))
 
 

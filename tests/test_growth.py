@@ -263,3 +263,50 @@ def test_a_pair_is_tested_where_it_is_made(spark, sf_dir):
     above = [line.lstrip(" +-:") for line in lines[:pairs]]
     assert above[-2].startswith("HashAggregate(keys=[student") and "partial_count" in above[-2] and above[-1].startswith("Project"), above
     assert {int(n) for n in re.findall(r"hashpartitioning\(request#\d+L?, part#\d+, (\d+)\)", plan)} == {6}
+
+
+def test_texts_of_a_pdf_are_gone_through_as_a_whole(monkeypatch):
+    """Letter by letter only where they run backwards, come in halves or have no text."""
+    from almanac.plans import papers
+    from almanac.sources import pdf
+
+    def letters(self, data):
+        raise AssertionError("letter by letter")
+
+    monkeypatch.setattr(pdf.Font, "letters", letters)
+    found = pdf.words(papers.made(["#1\nab zażółć\n漢字  x"]).encode())
+    assert [(w.x, w.y, w.word) for w in found] == [(72, 60, "#1"), (72, 74, "ab"), (90, 74, "zażółć"), (72, 88, "漢字"), (96, 88, "x")]
+
+
+def test_pages_are_laid_out_by_heights(spark):
+    """Lines are the same as word by word, where words of several heights are one line too, and words are dealt by page."""
+    import random
+
+    from almanac.sources import ingest
+
+    dice = random.Random(5)
+    words = [(p, dice.choice([72.0, 80.5, 90.0, 90.0, 300.25, 1.0]), dice.choice([10.0, 11.0, 12.5, 14.0, 40.0, 41.5, 44.0, 90.0]), dice.choice("abcd") * dice.randint(1, 9)) for p in range(30) for _ in range(p)]
+    want: dict[int, list] = {}
+    for page, x, y, word in sorted(words, key=lambda w: (w[0], w[2], w[1], w[3])):
+        rows = want.setdefault(page, [])
+        if rows and y - rows[-1][0] <= ingest.LINE_GAP:
+            rows[-1][1].append((x, word))
+        else:
+            rows.append((y, [(x, word)]))
+
+    def drawn(row):
+        line = ""
+        for x, word in sorted(row):
+            line += " " * max(1, round(x / ingest.POINTS) - len(line)) + word
+        return line
+
+    laid = ingest.layout_words(spark.createDataFrame(words, "page int, x double, y double, word string"), ["page"])
+    assert {r["page"]: r["text"] for r in laid.collect()} == {p: "\n".join(drawn(row) for _, row in rows) for p, rows in want.items()}
+    assert re.search(r"hashpartitioning\(page#\d+, 4\), REPARTITION_BY_NUM", laid._jdf.queryExecution().executedPlan().toString())
+
+
+def test_a_pdf_is_read_once_and_its_words_are_not_stored(spark, sf_dir):
+    from almanac.plans import papers
+
+    plan = papers.pdf_pages(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"EvalPython \[read_pdfs", plan.split("== Initial Plan ==")[0])) == 1 and "ExistingRDD" not in plan, plan
