@@ -101,7 +101,7 @@ def packed(content: bytes | None) -> pa.Array:
 
 
 def read_pdfs(contents: pa.Array) -> pa.Array:
-    return pa.concat_arrays([packed(c.as_py()) for c in contents])
+    return pa.concat_arrays([packed(c.as_py()) for c in contents] or [packed(None).slice(0, 0)])
 
 
 def documents(files: DataFrame) -> DataFrame:
